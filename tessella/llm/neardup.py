@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,20 +103,122 @@ def _matcher(width: int, percent: int):
     return match
 
 
-def _same_texts(width: int):
-    """Of rows (digest, text), those whose text has that digest."""
+def _long_signer(width: int, wide: int):
+    """Of rows (digest, text), those whose text has that digest, with wide signature coordinates of a byte each."""
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                keep = [digest_of(s) == d for s, d in zip(shingle_sets(part.column(1), width), part.column(0).to_pylist(), strict=True)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                sets = shingle_sets(part.column(1), width)
+                keep = [i for i, (s, d) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)) if digest_of(s) == d]
+                if not keep:
+                    continue
+                signed = np.zeros((len(keep), wide), np.uint8)
+                flat_sets = np.concatenate([sets[i] for i in keep])
+                begins = np.concatenate([[0], np.cumsum([len(sets[i]) for i in keep])[:-1]]).astype(np.int64)
+                for j in range(wide):
+                    signed[:, j] = (np.minimum.reduceat(flat_sets * _COORDS[j], begins) & np.uint64(0xFF)).astype(np.uint8)
+                part = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in signed], pa.binary())], names=["digest", "text", "wide"])
 
-    return same
+    return sign
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 32, min_matches: int = 8) -> DataFrame:
+def _merger(wide: int, least_wide: int):
+    """Of rows sorted by (key, i, j), a posting list's blocks i and j: the pairs of members that have different labels
+    and least_wide equal coordinates, from the first of the lists in which they meet only; a row for each member."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        label, block = t.column("label").to_numpy(), t.column("block").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(t), wide)
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        us, vs = [], []
+        for at in range(0, len(left), 32):
+            rows = left[at : at + 32]
+            same = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2, dtype=np.int32) >= least_wide
+            same &= label[rows][:, None] != label[right][None, :]
+            if i == j:
+                same &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(same)
+            us.append(rows[x])
+            vs.append(right[y])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if not len(u):
+            return None
+        lists = t.column("keys").to_pylist()
+        most = max(map(len, lists))
+        table = np.array([x + [-1 - n] * (most - len(x)) for n, x in enumerate(lists)], np.int64)
+        first = np.zeros(len(u), bool)
+        for at in range(0, len(u), 4096):
+            a, b = table[u[at : at + 4096]], table[v[at : at + 4096]]
+            first[at : at + 4096] = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1) == key
+        names = t.column("digest").to_pylist()
+        met: dict[int, list[bytes]] = {}
+        for x, y in zip(u[first].tolist(), v[first].tolist(), strict=True):
+            met.setdefault(x, []).append(names[y])
+            met.setdefault(y, [])
+        if not met:
+            return None
+        n = len(met)
+        return pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array([names[x] for x in met], pa.binary()), pa.array(list(met.values()), pa.list_(pa.binary()))], names=["key", "i", "j", "digest", "partners"])
+
+    return _by_block(pairs)
+
+
+def _by_block(work: Callable[[pa.Table], pa.RecordBatch | None]):
+    """Applies work to each block pair of rows sorted by (key, i, j); holds one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            begin = 0
+            for end in (np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist():
+                if (out := work(t.slice(begin, end - begin))) is not None:
+                    yield out
+                begin = end
+            held = t.slice(begin)
+        if held is not None and (out := work(held)) is not None:
+            yield out
+
+    return run
+
+
+def _confirmer(width: int, percent: int):
+    """Of members (key, i, j, digest, partners, text) of block pairs: the partners that are similar on full sets."""
+
+    def confirm(t: pa.Table) -> pa.RecordBatch | None:
+        names = t.column("digest").to_pylist()
+        sets = shingle_sets(t.column("text").combine_chunks(), width)
+        every, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        parts = np.split(dense, np.cumsum([len(s) for s in sets])[:-1])
+        place = {d: n for n, d in enumerate(names)}
+        flag = np.zeros(len(every), np.int32)
+        us, vs = [], []
+        for n, partners in enumerate(t.column("partners").to_pylist()):
+            others = [place[p] for p in partners]
+            if not others:
+                continue
+            flag[parts[n]] = 1
+            sizes = np.array([len(parts[o]) for o in others])
+            shared = np.add.reduceat(flag[np.concatenate([parts[o] for o in others])], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            flag[parts[n]] = 0
+            for o in np.flatnonzero(100 * shared >= percent * (sizes + len(parts[n]) - shared)).tolist():
+                us.append(min(names[n], partners[o]))
+                vs.append(max(names[n], partners[o]))
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"]) if us else None
+
+    return _by_block(confirm)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 32, min_matches: int = 11, wide: int = 256, least_wide: int = 150, block: int = 256) -> DataFrame:
     """Components of the graph that links documents whose sets of word shingles have a Jaccard similarity of percent.
 
     1. Equal sets are one class from the start, by digest, so that exact copies, however many, are one node.
@@ -124,12 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        pair. Two classes with min_matches equal coordinates must meet among the k - min_matches + 1 rarest pairs of
        each (prefix rule), so only those that others share as well are posted: pairs that only one class has need no
        list, and passages that many documents have do not make long ones unless they make up most of a document.
-    3. Merging skips what cannot add a link: first each list is linked to its least member; then, in lists that still
-       hold several components, only the members outside the list's largest component are paired with members of
-       other components. No list is expanded into all pairs, and no link between components is missed.
-    4. Pairs with at least min_matches equal coordinates are confirmed on the full sets of both whole texts.
+    3. Merging skips what cannot add a link: first each list is linked to its least member; then lists that still hold
+       several components are compared, block against block, on signatures of wide coordinates of a byte each: pairs of
+       members from different components that reach the match threshold least_wide come out, each from the first list
+       only in which it meets. Nothing else of a list is ever emitted.
+       A row holds a member and its partners in the block, so that no table has a row for each pair, and a text goes
+       once to each block where it has a partner.
+    4. The pairs are confirmed on the full sets of both whole texts.
 
-    A pair at the least similarity has 24 of 32 equal coordinates on average; fewer than 8 have a chance of 5e-10.
+    A pair at the least similarity has 24 of 32 equal coordinates on average, and fewer than 11 with a chance of 3e-7;
+    of 256 bytes it has 192 equal on average, and fewer than 150 with a chance of 2e-9. No other link is lost.
 
     Returns (id_col, n_shingles long, component_id, kept boolean), a row for each row of docs. component_id is the
     least id that can be reached; kept is whether that is the document's own. Texts without a word or null: n_shingles
@@ -164,9 +270,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("u", "v")
         )
 
-    posted = postings.join(lists.select("key"), "key", "left_semi").select("digest").distinct()
+    posted = postings.join(lists.select("key"), "key", "left_semi").groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # k entries at most
+    posted = stash(posted, "posted")
     wanted = classes.join(posted, "digest", "left_semi").select("digest", F.col("least").alias("id"))
-    texts = stash(picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(_same_texts(width), "digest binary, text string").dropDuplicates(["digest"]), "texts")
+    texts = stash(
+        picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(_long_signer(width, wide), "digest binary, text string, wide binary").dropDuplicates(["digest"]),
+        "texts",
+    )
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("digest").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("digest").alias("u"), F.col("text").alias("tu")), "u")
@@ -175,21 +285,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stash(confirm(collide(met)), "links1")
     labels = connected_components(first)
 
-    labelled = stash(postings.join(lists.select("key"), "key", "left_semi").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label")), "labelled")
-    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1").select("key", F.col("most.label").alias("most"))
-    within = labelled.join(mixed, "key")
-    odd = within.where("label <> most").select("key", F.col("digest").alias("u"), F.col("label").alias("lu"))
-    cross = (
-        within.select("key", F.col("digest").alias("v"), F.col("label").alias("lv"), "most")
-        .join(odd, "key")
-        .where("lu <> lv and (lv = most or u < v)")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-        .join(met, ["u", "v"], "left_anti")
+    labelled = stash(
+        posted.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.xxhash64(F.coalesce("label", "digest")).alias("label"), F.explode("keys").alias("key")),
+        "labelled",
+    )
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
+    dealt = (
+        labelled.join(mixed, "key")
+        .withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+        .select("key", "digest", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", "digest", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(posted, "digest")
+        .join(texts.select("digest", "wide"), "digest")
     )
-    second = stash(confirm(collide(cross)), "links2")
-    for done in (labelled, texts, met, postings):
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cross = stash(dealt.mapInArrow(_merger(wide, least_wide), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
+    members = cross.join(texts.select("digest", "text"), "digest").select("key", "i", "j", "digest", "partners", "text")
+    second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirmer(width, percent), "u binary, v binary").distinct(), "links2")
+    for done in (labelled, texts, met, postings, posted, cross):
         drop_stash(done)
     final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
     named = classes.select("digest", "least").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
