@@ -11,6 +11,7 @@ from .common import table
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import best_fit_packing
+from .perplexity import quality_rules
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op7_best_fit_packing, op10_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_quality_rules, op7_best_fit_packing, op10_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
