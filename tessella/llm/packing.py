@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,26 +28,38 @@ def chunk_ids(path: str, texts: list[str], max_kept: int = 1_000_000) -> list[by
     """For each text its ids, as little-endian 32-bit integers, by the tokenizers library.
 
     The vocabulary drops white space and never merges across it, so that the ids of a text are those of its chunks
-    between spaces and line ends; each different chunk is encoded by the library once while it is kept.
+    between spaces and line ends. Nor does it merge letters or digits with stops behind them, and it lower-cases: a
+    plain ASCII word is looked up in lower case and without its stops. What is not kept yet goes to the library.
     """
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        _tokenizers[path], _chunks[path] = Tokenizer.from_file(path), {}
+        _tokenizers[path], _chunks[path] = Tokenizer.from_file(path), {"": b""}
     kept = _chunks[path]
     cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({c for chunks in cut for c in chunks if c not in kept})
+    new = {c for chunks in cut for c in chunks if c not in kept}
     if len(kept) + len(new) > max_kept:
         kept.clear()
-        new = list({c for chunks in cut for c in chunks})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        found = _tokenizers[path].encode_batch_fast(some, add_special_tokens=False)  # type: ignore[attr-defined]
-        kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, found, strict=True))
-    out = [b"".join([kept[c] for c in chunks]) for chunks in cut]
+        kept[""] = b""
+        new = {c for chunks in cut for c in chunks if c}
+    words: dict[str, tuple[str, str]] = {}
     for c in new:
+        if c.isascii():
+            low = c.lower()
+            word = low.rstrip(".,")
+            if word.isalnum() and word != c:
+                words[c] = (word, low[len(word) :])
+    ask = {c for c in new if c not in words}
+    ask.update(p for pair in words.values() for p in pair if p not in kept)
+    some = list(ask)
+    for at in range(0, len(some), 20_000):
+        found = _tokenizers[path].encode_batch_fast(some[at : at + 20_000], add_special_tokens=False)  # type: ignore[attr-defined]
+        kept.update((c, array("I", e.ids).tobytes()) for c, e in zip(some[at : at + 20_000], found, strict=True))
+    kept.update((c, kept[word] + kept[stops]) for c, (word, stops) in words.items())
+    out = [b"".join([kept[c] for c in chunks]) for chunks in cut]
+    for c in new | ask:
         if len(c) > 256:
-            del kept[c]
+            kept.pop(c, None)
     return out
 
 
