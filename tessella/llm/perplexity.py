@@ -19,8 +19,9 @@ SYMBOLS = "#*$%&|<>"
 #: The classes of characters that the model tells apart. a to z are 1 to 26; an accented letter is its base.
 PAD, BLANK, LINE, DIGIT, LETTER, STOP, MARK, SYMBOL, CAPITAL = 0, 27, 28, 29, 30, 31, 32, 33, 34
 CLASSES = CAPITAL + 1
-ALPHABET_BITS = 6
 ORDER = 4
+#: Characters that are judged together, by the language that explains them best.
+WINDOW = 64
 STOPS = ".,;:!?"
 MARKS = "'\"()-/’“”«»¿¡–—"
 
@@ -71,53 +72,45 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         shifted[back:] = found[:-back]
         for ahead in range(back):  # nothing of the text before
             shifted[np.minimum(first + ahead, len(found) - 1)] = PAD
-        code |= shifted << (ALPHABET_BITS * back)
+        code += shifted * CLASSES**back
     return code, ends
 
 
 @dataclass
 class KneserNey:
-    """An interpolated model with three discounts an order, in arrays sorted by the key (language, n-gram).
+    """An interpolated model with three discounts an order, in arrays sorted by the key: language, then n-gram hash.
 
-    keys[n], logp[n]: n-grams of n + 1 classes and the natural logarithm of their probability; back_keys[n], back[n]:
-    contexts of n + 1 classes and the logarithm of the weight of what is shorter. All n-grams of an order are at most
-    languages << (ALPHABET_BITS * order).
+    The hash of an n-gram is its classes as digits of a number, the oldest first: without collisions, and less than
+    CLASSES ** n. keys[n], logp[n]: n-grams of n + 1 classes and the natural logarithm of their probability;
+    back_keys[n], back[n]: contexts of n + 1 classes and the logarithm of the weight of what is shorter.
     """
 
-    languages: list[str | None]
     keys: list[np.ndarray] = field(default_factory=list)
     logp: list[np.ndarray] = field(default_factory=list)
     back_keys: list[np.ndarray] = field(default_factory=list)
     back: list[np.ndarray] = field(default_factory=list)
 
     def score(self, lang: int, codes: np.ndarray) -> np.ndarray:
-        """Log-probability of the last class of each packed n-gram, with back-off where it has not been seen."""
+        """Log-probability of the last class of each n-gram, with back-off where it has not been seen."""
         out, weight = np.full(len(codes), np.nan), np.zeros(len(codes))
         left = np.arange(len(codes))
         for order in range(ORDER, 0, -1):
-            bits = ALPHABET_BITS * order
-            key = (codes[left] & ((1 << bits) - 1)) | (lang << bits)
-            at = np.minimum(np.searchsorted(self.keys[order - 1], key), len(self.keys[order - 1]) - 1)
-            hit = self.keys[order - 1][at] == key if len(self.keys[order - 1]) else np.zeros(len(key), bool)
+            at, hit = _find(self.keys[order - 1], codes[left] % CLASSES**order + lang * CLASSES**order)
             out[left[hit]] = self.logp[order - 1][at[hit]] + weight[left[hit]]
             left = left[~hit]
-            if order > 1 and len(left):
-                bits = ALPHABET_BITS * (order - 1)
-                context = ((codes[left] >> ALPHABET_BITS) & ((1 << bits) - 1)) | (lang << bits)
-                at = np.minimum(np.searchsorted(self.back_keys[order - 2], context), len(self.back_keys[order - 2]) - 1)
-                hit = self.back_keys[order - 2][at] == context if len(self.back_keys[order - 2]) else np.zeros(len(left), bool)
+            if order > 1:
+                at, hit = _find(self.back_keys[order - 2], codes[left] // CLASSES % CLASSES ** (order - 1) + lang * CLASSES ** (order - 1))
                 weight[left[hit]] += self.back[order - 2][at[hit]]
-        out[left] = weight[left] - np.log(1 << ALPHABET_BITS)
+        out[left] = weight[left] - np.log(CLASSES)
         return out
 
 
-def unpack(keys: np.ndarray, logp: np.ndarray, lang: int) -> np.ndarray:
-    """One language's n-grams of the highest order from the sorted arrays, by place, for many fast lookups."""
-    bits = ALPHABET_BITS * ORDER
-    a, b = np.searchsorted(keys, [lang << bits, (lang + 1) << bits])
-    out = np.zeros(1 << bits, np.float32)
-    out[keys[a:b] & ((1 << bits) - 1)] = logp[a:b]
-    return out
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -130,35 +123,32 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.1), c - 0.05) for c, d in zip((1, 2, 3), found, strict=True))])
 
 
-def kneser_ney(languages: list[str | None], lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserNey:
+def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserNey:
     """The model from counts of n-grams of the highest order; lower orders count the different classes in front."""
-    model = KneserNey(languages)
+
+    def without_oldest(key: np.ndarray, order: int) -> np.ndarray:
+        return key // CLASSES**order * CLASSES ** (order - 1) + key % CLASSES ** (order - 1)
+
+    model = KneserNey()
     levels: list[tuple[np.ndarray, np.ndarray]] = []
-    key, n = (lang.astype(np.int64) << (ALPHABET_BITS * ORDER)) | gram, count.astype(np.int64)
+    key, n = lang.astype(np.int64) * CLASSES**ORDER + gram, count.astype(np.int64)
     order_of = np.argsort(key)
     key, n = key[order_of], n[order_of]
     for order in range(ORDER, 0, -1):
         levels.insert(0, (key, n))
-        bits = ALPHABET_BITS * order
-        lower = ((key >> bits) << (bits - ALPHABET_BITS)) | (key & ((1 << (bits - ALPHABET_BITS)) - 1))
-        key, n = np.unique(lower, return_counts=True)
+        key, n = np.unique(without_oldest(key, order), return_counts=True)
     below: tuple[np.ndarray, np.ndarray] | None = None
     for order, (key, n) in enumerate(levels, 1):
-        context, begin = np.unique(key >> ALPHABET_BITS, return_index=True)
+        context, begin = np.unique(key // CLASSES, return_index=True)
         size = np.diff(np.append(begin, len(key)))
         total = np.add.reduceat(n, begin) if len(key) else np.zeros(0, np.int64)
         cut = discounts(n)[np.minimum(n, 3)]
         freed = np.add.reduceat(cut, begin) / total if len(key) else np.zeros(0)
-        if below is None:
-            shorter = np.full(len(key), 1.0 / (1 << ALPHABET_BITS))
-        else:
-            bits = ALPHABET_BITS * order
-            lower = ((key >> bits) << (bits - ALPHABET_BITS)) | (key & ((1 << (bits - ALPHABET_BITS)) - 1))
-            shorter = below[1][np.searchsorted(below[0], lower)]
+        shorter = np.full(len(key), 1.0 / CLASSES) if below is None else below[1][np.searchsorted(below[0], without_oldest(key, order))]
         p = (n - cut) / np.repeat(total, size) + np.repeat(freed, size) * shorter
         model.keys.append(key)
         model.logp.append(np.log(p))
-        if order > 1:  # contexts of one class and more
+        if order > 1:
             model.back_keys.append(context)
             model.back.append(np.log(freed))
         below = (key, p)
@@ -225,31 +215,35 @@ def quality_rules(
     max_languages: int = 15,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    low_spread: float = 8.0,
-    high_spread: float = 8.0,
+    low_spread: float = 6.0,
+    high_spread: float = 7.0,
     min_spread: float = 0.025,
 ) -> DataFrame:
-    """Base rules, then a perplexity band for each language.
+    """Base rules, then perplexity bands by language.
 
     The model is one of character classes, of order 4, for each value of lang_col: a word model's counts would grow with
-    the corpus beyond what a worker can hold, these are bounded by the alphabet (CLASSES) whatever the corpus.
-    Counts cover all rows, base-failed ones too; tasks count into arrays and send each n-gram once. The max_languages
-    values with most rows have models and bands of their own, all others share one. The band of a language is the
-    median of the mean log-probability over its documents that pass the base rules, from an exact histogram of STEP,
-    minus high_spread and plus low_spread times the median absolute deviation (min_spread nats at least).
+    the corpus beyond what a worker can hold, these are bounded by the alphabet (CLASSES) whatever the corpus. Counts
+    cover all rows, base-failed ones too; tasks count into arrays and send each n-gram once. The max_languages values
+    with most rows have models of their own, all others share one.
+
+    Each language's band lies around the median of the mean log-probability of its documents that pass the base rules,
+    from an exact histogram of STEP; its unit is the median absolute deviation, min_spread nats at least. Documents are
+    cut into windows of WINDOW characters, each judged by the language that gives it the highest probability, so that
+    a document of several languages is not taken for noise. deviation is the mean over the characters of a document of
+    how far they lie above that language's median, in its units: above low_spread, perplexity is below the lower bound
+    (repetitive, formulaic), below -high_spread it is above the upper one.
 
     Returns (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
-    perplexity double, band_low double, band_high double), a row for each row of docs. Null and empty texts have no
-    words, fail the base rules and have null perplexity. A null language is a language. Repeated rows count each time
-    and give repeated results; other columns are ignored; empty input gives no rows. Bounds are inclusive.
+    perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules
+    and have null perplexity. A null language is a language. Repeated rows count each time and give repeated results;
+    other columns are ignored; empty input gives no rows. Bounds are inclusive.
     """
     spark = docs.sparkSession
     ship(spark)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     top = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    names = [r["lang"] for r in top]
-    number = {x: i for i, x in enumerate(names)}
-    other = len(names)
+    number = {r["lang"]: i for i, r in enumerate(top)}
+    other = len(number)
 
     def by_language(batch: pa.RecordBatch, column: int) -> np.ndarray:
         return np.array([number.get(x, other) for x in batch.column(column).to_pylist()], np.int64)
@@ -264,65 +258,74 @@ def quality_rules(
                     codes, _ = grams(pc.fill_null(texts.filter(pa.array(of == x)), "").to_pylist())
                     at, n = np.unique(codes.astype(np.int32), return_counts=True)
                     if x not in total:
-                        total[x] = np.zeros(1 << ALPHABET_BITS * ORDER, np.int32)
-                    total[x][at] += n.astype(np.int32)
-            if len(total) > 4:  # languages of a task are few; if not, what is counted goes on its way
-                yield from emit(total)
-                total.clear()
-        yield from emit(total)
-
-    def emit(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+                        total[x] = np.zeros(CLASSES**ORDER, np.int64)
+                    total[x][at] += n
         for x, counted in total.items():
             at = np.flatnonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at].astype(np.int64))], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
 
-    counted = stash(picked.select("text", "lang").mapInArrow(count, "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    # CLASSES ** ORDER rows a language at most, whatever the corpus: 24 million if every n-gram of 16 languages occurs;
-    # natural languages use a few in a hundred of them.
-    table = counted.toArrow()
-    model = kneser_ney([*names, None], *(table.column(c).to_numpy() for c in ("lang", "gram", "n")))
-    sent = spark.sparkContext.broadcast((model.keys[-1], model.logp[-1].astype(np.float32)))
+    # (max_languages + 1) * CLASSES ** ORDER rows at most, 24 million, whatever the corpus; languages use a few in a hundred.
+    table = picked.select("text", "lang").mapInArrow(count, "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    model = kneser_ney(*(table.column(c).to_numpy() for c in ("lang", "gram", "n")))
+    sent = spark.sparkContext.broadcast((model, other + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacked: dict[int, np.ndarray] = {}
+        kn, languages = sent.value
+        every = np.arange(CLASSES**ORDER)
+        unpacked: dict[int, np.ndarray] = {}  # whole numbers of 2**-24 nats, by n-gram: sums do not depend on their order
         for batch in batches:
             langs = by_language(batch, 2)
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):
                 texts, of = batch.column(1).slice(a, b - a), langs[a:b]
                 base = base_counts(texts)
-                mean = np.full(b - a, np.nan)
-                for x in np.unique(of).tolist():
-                    mine = np.flatnonzero(of == x)
-                    codes, ends = grams(pc.fill_null(texts.take(pa.array(mine)), "").to_pylist())
-                    if not len(codes):
-                        continue
+                codes, ends = grams(pc.fill_null(texts, "").to_pylist())
+                size = np.diff(ends)
+                per = -(-size // WINDOW)
+                owner = np.repeat(np.arange(b - a), per)
+                begin = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
+                long = np.minimum(WINDOW, ends[1:][owner] - begin)
+                best = np.full(len(owner), np.iinfo(np.int64).min)
+                who = np.zeros(len(owner), np.int64)
+                own = np.zeros(b - a, np.int64)
+                for x in range(languages) if len(owner) else ():
                     if x not in unpacked:
-                        if len(unpacked) >= 4:
-                            unpacked.clear()
-                        unpacked[x] = unpack(*sent.value, x)  # all n-grams of these texts have been counted
-                    sums = np.concatenate([[0.0], np.cumsum(np.rint(unpacked[x][codes].astype(np.float64) * 2**24))])  # whole numbers: sums are exact
-                    size = np.diff(ends)
-                    some = size > 0
-                    mean[mine[some]] = (sums[ends[1:]] - sums[ends[:-1]])[some] / size[some] / 2**24
+                        unpacked[x] = np.rint(kn.score(x, every) * 2**24).astype(np.int32)
+                    sums = np.add.reduceat(unpacked[x][codes], begin, dtype=np.int64)
+                    who[sums > best] = x
+                    best = np.maximum(best, sums)
+                    mine = of[owner] == x
+                    np.add.at(own, owner[mine], sums[mine])
+                chars, total = np.zeros((b - a, languages), np.int64), np.zeros((b - a, languages), np.int64)
+                np.add.at(chars, (owner, who), long)
+                np.add.at(total, (owner, who), best)
                 failed = (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(failed), pa.array(of.astype(np.int32)), pa.array(mean, mask=np.isnan(mean))],
-                    names=["id", *BASE, "base_failed", "lang", "mean"],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        *(pa.array(base[c], pa.int64()) for c in BASE),
+                        pa.array(failed),
+                        pa.array(of.astype(np.int32)),
+                        pa.array(own / np.maximum(size, 1) / 2**24, mask=size == 0),
+                        pa.array(list(chars), pa.list_(pa.int64())),
+                        pa.array(list(total), pa.list_(pa.int64())),
+                    ],
+                    names=["id", *BASE, "base_failed", "lang", "mean", "chars", "total"],
                 )
 
-    scored = stash(picked.mapInArrow(score, f"id {id_type(docs, id_col)}, {', '.join(f'{c} bigint' for c in BASE)}, base_failed boolean, lang int, mean double"), "scored")
+    fields = ", ".join(f"{c} bigint" for c in BASE)
+    scored = stash(picked.mapInArrow(score, f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>"), "scored")
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    bands = {x: band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), low_spread, high_spread, min_spread) for x in range(other + 1)}
-    limits = spark.createDataFrame([(x, *map(float, b)) for x, b in bands.items()], "lang int, least double, most double")
-    joined = scored.join(F.broadcast(limits), "lang")  # max_languages + 1 rows
-    return joined.select(
+    bands = [band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in range(other + 1)]
+    away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in enumerate(bands)]
+    whole = " + ".join(f"chars[{x}]" for x in range(other + 1))
+    judged = scored.withColumn("deviation", F.expr(f"case when mean is not null then ({' + '.join(away)}) / ({whole}) end"))
+    return judged.select(
         F.col("id").alias(id_col),
         *BASE,
         "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("mean").between(F.col("least"), F.col("most")), F.lit(False))).alias("kept"),
-        F.exp(-F.col("mean")).alias("perplexity"),
-        F.exp(-F.col("most")).alias("band_low"),
-        F.exp(-F.col("least")).alias("band_high"),
+        (~F.col("base_failed") & F.coalesce(F.col("deviation").between(-high_spread, low_spread), F.lit(False))).alias("kept"),
+        F.expr(f"case when mean is not null then exp(-({' + '.join(f'total[{x}]' for x in range(other + 1))}) / 16777216D / ({whole})) end").alias("perplexity"),
+        "deviation",
     )
 
 
@@ -330,10 +333,10 @@ def quality_rules(
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def band(bins: np.ndarray, n: np.ndarray, low_spread: float, high_spread: float, min_spread: float) -> tuple[float, float]:
-    """The least and the most mean log-probability that is kept, from a histogram; without a document, all are."""
+def band(bins: np.ndarray, n: np.ndarray, min_spread: float) -> tuple[float, float]:
+    """The median of a histogram and the median distance from it; 0 and 1 without a document."""
     if not len(bins):
-        return -np.inf, np.inf
+        return 0.0, 1.0
 
     def median(x: np.ndarray) -> float:
         order = np.argsort(x)
@@ -341,5 +344,4 @@ def band(bins: np.ndarray, n: np.ndarray, low_spread: float, high_spread: float,
 
     centre = (bins + 0.5) * STEP
     middle = median(centre)
-    spread = max(min_spread, median(np.abs(centre - middle)))
-    return middle - high_spread * spread, middle + low_spread * spread
+    return middle, max(min_spread, median(np.abs(centre - middle)))
