@@ -12,6 +12,7 @@ from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import best_fit_packing
 from .perplexity import quality_rules
+from .transducer import token_counts
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_quality_rules, op7_best_fit_packing, op10_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_quality_rules, op6_token_counts, op7_best_fit_packing, op10_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
