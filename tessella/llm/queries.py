@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_bpe, digests
-from .common import table
+from .common import stash, table
+from .flac import media_digests, to_media
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import best_fit_packing
 from .perplexity import quality_rules
 from .transducer import token_counts
+from .warc import deduplicate_archives
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_archives(table(spark, sf_dir, "pages"))
+
+
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return media_digests(docs, stash(to_media(docs), "media"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(byte_bpe(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_quality_rules, op6_token_counts, op7_best_fit_packing, op10_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_quality_rules, op6_token_counts, op7_best_fit_packing, op8_warc_revisits, op9_flac_media, op10_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
