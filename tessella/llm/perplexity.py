@@ -218,6 +218,7 @@ def quality_rules(
     low_spread: float = 6.0,
     high_spread: float = 7.0,
     min_spread: float = 0.025,
+    carry: bool = False,
 ) -> DataFrame:
     """Base rules, then perplexity bands by language.
 
@@ -240,7 +241,7 @@ def quality_rules(
     """
     spark = docs.sparkSession
     ship(spark)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
     top = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     number = {r["lang"]: i for i, r in enumerate(top)}
     other = len(number)
@@ -308,12 +309,14 @@ def quality_rules(
                         pa.array(own / np.maximum(size, 1) / 2**24, mask=size == 0),
                         pa.array(list(chars), pa.list_(pa.int64())),
                         pa.array(list(total), pa.list_(pa.int64())),
+                        *(c.slice(a, b - a) for c in batch.columns[3:]),
                     ],
-                    names=["id", *BASE, "base_failed", "lang", "mean", "chars", "total"],
+                    names=["id", *BASE, "base_failed", "lang", "mean", "chars", "total", *batch.schema.names[3:]],
                 )
 
     fields = ", ".join(f"{c} bigint" for c in BASE)
-    scored = stash(picked.mapInArrow(score, f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>"), "scored")
+    row = f", carried {docs.schema.simpleString()}" if carry else ""
+    scored = stash(picked.mapInArrow(score, f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>{row}"), "scored")
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     bands = [band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in range(other + 1)]
     away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in enumerate(bands)]
@@ -326,6 +329,7 @@ def quality_rules(
         (~F.col("base_failed") & F.coalesce(F.col("deviation").between(-high_spread, low_spread), F.lit(False))).alias("kept"),
         F.expr(f"case when mean is not null then exp(-({' + '.join(f'total[{x}]' for x in range(other + 1))}) / 16777216D / ({whole})) end").alias("perplexity"),
         "deviation",
+        *(["carried"] if carry else []),
     )
 
 

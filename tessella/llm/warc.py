@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,8 +17,6 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: What ends a header and, twice, a record.
 LINE = "\r\n"
-#: Namespace of the record ids that are made from page ids.
-NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Salts over which the rows of one digest are dealt where they are joined.
 SALTS = 16
 
@@ -181,3 +178,15 @@ def deduplicate_archives(pages: DataFrame, id_col: str = "page_id", url_col: str
     revisits = records.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["refers_to", "payload_digest", "salt"])
     columns = [F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return records.where("record_type = 'response'").withColumnRenamed("stored_bytes", "payload_bytes").select(*columns).unionByName(revisits.withColumnRenamed("full", "payload_bytes").select(*columns))
+
+
+#: The same result as deduplicate_archives in DuckDB's SQL.
+REVISIT_SQL = """
+WITH h AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM h
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
