@@ -97,11 +97,11 @@ WITH c AS (
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY turns[1] ORDER BY id NULLS FIRST) - 1 AS place FROM c
 ), p AS (
-  SELECT a.id AS pair_id, coalesce(b.said > a.said, false) AS swap, a.id AS ai, b.id AS bi, a.turns AS at, b.turns AS bt
+  SELECT a.id AS pair_id, coalesce(b.said > a.said, false) AS swap, a.id AS ai, b.id AS bi, a.turns AS first_turns, b.turns AS second_turns
   FROM k a LEFT JOIN k b ON a.turns[1] = b.turns[1] AND b.place = a.place + 1 WHERE a.place % 2 = 0
 ), q AS (
   SELECT pair_id, CASE WHEN swap THEN bi ELSE ai END AS chosen_id, CASE WHEN swap THEN ai ELSE bi END AS rejected_id,
-    CASE WHEN swap THEN bt ELSE at END AS c, CASE WHEN swap THEN at ELSE bt END AS r FROM p
+    CASE WHEN swap THEN second_turns ELSE first_turns END AS c, CASE WHEN swap THEN first_turns ELSE second_turns END AS r FROM p
 ), n AS (
   SELECT *, CAST(CASE WHEN r IS NULL
     THEN coalesce(list_max(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant')) - 1, len(c))
