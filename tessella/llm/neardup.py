@@ -218,7 +218,7 @@ def _confirmer(width: int, percent: int):
     return _by_block(confirm)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 32, min_matches: int = 11, wide: int = 256, least_wide: int = 150, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 32, min_matches: int = 11, wide: int = 256, least_wide: int = 150, block: int = 1024) -> DataFrame:
     """Components of the graph that links documents whose sets of word shingles have a Jaccard similarity of percent.
 
     1. Equal sets are one class from the start, by digest, so that exact copies, however many, are one node.
@@ -293,10 +293,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = (
         labelled.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-        .select("key", "digest", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("key", "digest", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(posted, "digest")
         .join(texts.select("digest", "wide"), "digest")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "label", "block", "keys", "wide")
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     cross = stash(dealt.mapInArrow(_merger(wide, least_wide), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
