@@ -24,7 +24,7 @@ _tokenizers: dict[str, object] = {}
 _chunks: dict[str, dict[str, bytes]] = {}
 
 
-def chunk_ids(path: str, texts: list[str], max_kept: int = 1_000_000) -> list[bytes]:
+def chunk_ids(path: str, texts: list[str], max_kept: int = 800_000) -> list[bytes]:
     """For each text its ids, as little-endian 32-bit integers, by the tokenizers library.
 
     The vocabulary drops white space and never merges across it, so that the ids of a text are those of its chunks
@@ -35,13 +35,18 @@ def chunk_ids(path: str, texts: list[str], max_kept: int = 1_000_000) -> list[by
 
     if path not in _tokenizers:
         _tokenizers[path], _chunks[path] = Tokenizer.from_file(path), {"": b""}
+    if len(_chunks[path]) > max_kept:
+        _chunks[path] = {"": b""}
     kept = _chunks[path]
     cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {c for chunks in cut for c in chunks if c not in kept}
-    if len(kept) + len(new) > max_kept:
-        kept.clear()
-        kept[""] = b""
-        new = {c for chunks in cut for c in chunks if c}
+    found: list[list[bytes | None]] = [list(map(kept.get, chunks)) for chunks in cut]
+    holes: list[tuple[int, int]] = []
+    for d, parts in enumerate(found):
+        at = -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            holes.append((d, at))
+    new = {cut[d][at] for d, at in holes}
     words: dict[str, tuple[str, str]] = {}
     for c in new:
         if c.isascii():
@@ -53,10 +58,12 @@ def chunk_ids(path: str, texts: list[str], max_kept: int = 1_000_000) -> list[by
     ask.update(p for pair in words.values() for p in pair if p not in kept)
     some = list(ask)
     for at in range(0, len(some), 20_000):
-        found = _tokenizers[path].encode_batch_fast(some[at : at + 20_000], add_special_tokens=False)  # type: ignore[attr-defined]
-        kept.update((c, array("I", e.ids).tobytes()) for c, e in zip(some[at : at + 20_000], found, strict=True))
-    kept.update((c, kept[word] + kept[stops]) for c, (word, stops) in words.items())
-    out = [b"".join([kept[c] for c in chunks]) for chunks in cut]
+        coded = _tokenizers[path].encode_batch_fast(some[at : at + 20_000], add_special_tokens=False)  # type: ignore[attr-defined]
+        kept.update([(c, array("I", e.ids).tobytes()) for c, e in zip(some[at : at + 20_000], coded, strict=True)])
+    kept.update([(c, kept[word] + kept[stops]) for c, (word, stops) in words.items()])
+    for d, at in holes:
+        found[d][at] = kept[cut[d][at]]
+    out = [b"".join(parts) for parts in found]  # type: ignore[arg-type]
     for c in new | ask:
         if len(c) > 256:
             kept.pop(c, None)
