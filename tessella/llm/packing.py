@@ -39,14 +39,10 @@ def chunk_ids(path: str, texts: list[str], max_kept: int = 800_000) -> list[byte
         _chunks[path] = {"": b""}
     kept = _chunks[path]
     cut = [t.replace("\n", " ").split(" ") for t in texts]
-    found: list[list[bytes | None]] = [list(map(kept.get, chunks)) for chunks in cut]
-    holes: list[tuple[int, int]] = []
-    for d, parts in enumerate(found):
-        at = -1
-        for _ in range(parts.count(None)):
-            at = parts.index(None, at + 1)
-            holes.append((d, at))
-    new = {cut[d][at] for d, at in holes}
+    here: set[str] = set()
+    for chunks in cut:
+        here.update(chunks)
+    new = [c for c in here if c not in kept]
     words: dict[str, tuple[str, str]] = {}
     for c in new:
         if c.isascii():
@@ -61,10 +57,9 @@ def chunk_ids(path: str, texts: list[str], max_kept: int = 800_000) -> list[byte
         coded = _tokenizers[path].encode_batch_fast(some[at : at + 20_000], add_special_tokens=False)  # type: ignore[attr-defined]
         kept.update([(c, array("I", e.ids).tobytes()) for c, e in zip(some[at : at + 20_000], coded, strict=True)])
     kept.update([(c, kept[word] + kept[stops]) for c, (word, stops) in words.items()])
-    for d, at in holes:
-        found[d][at] = kept[cut[d][at]]
-    out = [b"".join(parts) for parts in found]  # type: ignore[arg-type]
-    for c in new | ask:
+    own = {c: kept[c] for c in here}.__getitem__
+    out = [b"".join(map(own, chunks)) for chunks in cut]
+    for c in {*new, *ask}:
         if len(c) > 256:
             kept.pop(c, None)
     return out
@@ -80,7 +75,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
         path = tokenizer if os.sep in tokenizer else vocabulary(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 22):
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(chunk_ids(path, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])):
                     ids += end
