@@ -23,9 +23,15 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
+def stash(df: DataFrame, tag: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
+
+    narrow: df's last step is a shuffle and its rows are a few numbers, so that an eighth of the tasks that documents
+    need will do; it saves as many small files and the processes that set up each of them.
+    """
     path = new_folder(df.sparkSession, tag)
+    if narrow:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     short and a lost executor costs one round. Loops and repeated edges are ignored; no edges give no rows. Raises if
     max_rounds (logarithmic growth in the longest path) do not settle it.
     """
-    now = stash(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    now = stash(edges.where("u <> v").select("u", "v").distinct(), "edges", narrow=True)
     mark = None
     for _ in range(max_rounds):
-        after = stash(_star(_star(now, True), False), "stars")
+        after = stash(_star(_star(now, True), False), "stars", narrow=True)
         seen = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         drop_stash(now)
         now = after

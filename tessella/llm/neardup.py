@@ -256,9 +256,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = stash(
         common.where(F.size("keys") >= min_matches).select("digest", F.explode(F.expr(f"transform(slice(keys, 1, {prefix - k} + size(keys)), x -> x.key)")).alias("key")),
         "postings",
+        narrow=True,
     )
     lists = postings.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    met = stash(postings.join(lists, "key").where("digest <> head").select(F.col("head").alias("u"), F.col("digest").alias("v")).distinct(), "met")
+    met = stash(postings.join(lists, "key").where("digest <> head").select(F.col("head").alias("u"), F.col("digest").alias("v")).distinct(), "met", narrow=True)
 
     sigs = classes.select("digest", "sig")
 
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     posted = postings.join(lists.select("key"), "key", "left_semi").groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # k entries at most
-    posted = stash(posted, "posted")
+    posted = stash(posted, "posted", narrow=True)
     wanted = classes.join(posted, "digest", "left_semi").select("digest", F.col("least").alias("id"))
     texts = stash(
         picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(_long_signer(width, wide), "digest binary, text string, wide binary").dropDuplicates(["digest"]),
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = stash(
         posted.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.xxhash64(F.coalesce("label", "digest")).alias("label"), F.explode("keys").alias("key")),
         "labelled",
+        narrow=True,
     )
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
     dealt = (
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     cross = stash(dealt.mapInArrow(_merger(wide, least_wide), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
     members = cross.join(texts.select("digest", "text"), "digest").select("key", "i", "j", "digest", "partners", "text")
-    second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirmer(width, percent), "u binary, v binary").distinct(), "links2")
+    second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirmer(width, percent), "u binary, v binary").distinct(), "links2", narrow=True)
     for done in (labelled, texts, met, postings, posted, cross):
         drop_stash(done)
     final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
