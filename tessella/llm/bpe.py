@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ship
+from .common import id_type, lean, ship
 from .textkit import slices
 
 #: Bytes that stand for themselves in the printable alphabet of byte-level vocabularies.
@@ -182,7 +182,7 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {id_type(docs, id_col)}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

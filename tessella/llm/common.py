@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,8 +48,26 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(hconf).delete(path, True)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work; memory that a task has freed goes back to the system when it ends, as workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once a context, wherever the driver was started."""
+    """Gives this package to the Python workers, once a context, wherever the driver was started. Where the number of
+    rows in an Arrow batch has been left at its default, it is lowered: rows are whole documents here."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if getattr(sc, "_tessella_shipped", False):
         return

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ship
+from .common import id_type, lean, ship
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
@@ -257,7 +257,7 @@ def classify_quality(
 
     drawn = picked.join(wanted, picked["id"] == wanted["lid"]).drop("lid")
     fields = f"id {kind}, label int, td array<double>, tb array<int>, md array<double>, mb array<int>"
-    rows = drawn.mapInArrow(extract, fields).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toArrow()  # sample + pool rows at most
+    rows = drawn.mapInArrow(lean(extract), fields).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toArrow()  # sample + pool rows at most
 
     def dense(column: str, width: int) -> np.ndarray:
         return np.array(rows.column(column).to_pylist(), float).reshape(-1, width)
@@ -285,4 +285,4 @@ def classify_quality(
 
     rows_in = _picked(docs, id_col, text_col, lang_col, source_col, size_col, carry)
     row = f", carried {docs.schema.simpleString()}" if carry else ""
-    return rows_in.mapInArrow(score, f"id {kind}, text_score double, meta_score double, score double, kept boolean{row}").withColumnRenamed("id", id_col)
+    return rows_in.mapInArrow(lean(score), f"id {kind}, text_score double, meta_score double, score double, kept boolean{row}").withColumnRenamed("id", id_col)

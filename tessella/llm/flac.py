@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ship
+from .common import id_type, lean, ship
 from .textkit import slices
 
 BLOCK = 2048
@@ -585,7 +585,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_encoded, f"id {id_type(docs, id_col)}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(_encoded), f"id {id_type(docs, id_col)}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -605,7 +605,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 )
 
     picked = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return picked.mapInArrow(run, f"id {id_type(media, id_col)}, n_samples bigint, payload binary, feature string").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), f"id {id_type(media, id_col)}, n_samples bigint, payload binary, feature string").withColumnRenamed("id", id_col)
 
 
 def read_pcm(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", samples: int = 4096) -> DataFrame:
@@ -644,4 +644,4 @@ def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") ->
 
     picked = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
     fields = f"id {id_type(docs, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return picked.mapInArrow(run, fields).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), fields).withColumnRenamed("id", id_col)

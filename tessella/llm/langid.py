@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ship
+from .common import id_type, lean, ship
 from .textkit import slices
 
 BUCKETS = 1 << 13
@@ -145,7 +145,7 @@ def fit(
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
+    found = rows.select("text").mapInArrow(lean(frequencies), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
     df = np.zeros(BUCKETS + 1, np.int64)
     for r in found:
         df[r["bucket"]] = r["n"]
@@ -168,7 +168,7 @@ def fit(
         drawn = drawn.where(F.pmod(F.xxhash64("place"), F.lit(1 << 20)) < int(share * (1 << 20)))
     last = drawn.select("place").distinct().orderBy("place").limit(sample).agg(F.max("place")).first()[0]
     drawn = drawn.where(F.col("place") <= last) if last is not None else drawn.limit(0)
-    drawn = drawn.mapInArrow(features, "label string, place bigint, at array<int>, n array<int>").dropDuplicates(["place"]).toArrow()
+    drawn = drawn.mapInArrow(lean(features), "label string, place bigint, at array<int>, n array<int>").dropDuplicates(["place"]).toArrow()
     labels = sorted(set(drawn.column("label").to_pylist()))
     if not labels:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang), pa.array(score)], names=["id", "lang_pred", "score"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {id_type(docs, id_col)}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def fold(id_col: str = "doc_id", folds: int = 4) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, id_type, ship, stash
+from .common import drop_stash, id_type, lean, ship, stash
 from .components import connected_components
 from .textkit import LOWER, flat, mix64, slices, span_hashes, word_spans
 
@@ -135,6 +135,8 @@ def _merger(wide: int, least_wide: int):
         sig = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(t), wide)
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return None
         us, vs = [], []
         for at in range(0, len(left), 32):
             rows = left[at : at + 32]
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     kind = id_type(docs, id_col)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stash(picked.mapInArrow(_signer(width, k), f"id {kind}, n bigint, digest binary, sig array<int>"), "signed")
+    signed = stash(picked.mapInArrow(lean(_signer(width, k)), f"id {kind}, n bigint, digest binary, sig array<int>"), "signed")
     classes = stash(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.first("sig").alias("sig")), "classes")
 
     coords = classes.select("digest", F.posexplode("sig").alias("j", "value")).select("digest", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("value").cast("long") + F.lit(2**31)).alias("key"))
@@ -275,13 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = stash(posted, "posted", narrow=True)
     wanted = classes.join(posted, "digest", "left_semi").select("digest", F.col("least").alias("id"))
     texts = stash(
-        picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(_long_signer(width, wide), "digest binary, text string, wide binary").dropDuplicates(["digest"]),
+        picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("digest", "text").mapInArrow(lean(_long_signer(width, wide)), "digest binary, text string, wide binary").dropDuplicates(["digest"]),
         "texts",
     )
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("digest").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("digest").alias("u"), F.col("text").alias("tu")), "u")
-        return both.select("u", "v", "tu", "tv").mapInArrow(_matcher(width, percent), "u binary, v binary")
+        return both.select("u", "v", "tu", "tv").mapInArrow(lean(_matcher(width, percent)), "u binary, v binary")
 
     first = stash(confirm(collide(met)), "links1")
     labels = connected_components(first)
@@ -301,9 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "label", "block", "keys", "wide")
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    cross = stash(dealt.mapInArrow(_merger(wide, least_wide), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
+    cross = stash(dealt.mapInArrow(lean(_merger(wide, least_wide)), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
     members = cross.join(texts.select("digest", "text"), "digest").select("key", "i", "j", "digest", "partners", "text")
-    second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirmer(width, percent), "u binary, v binary").distinct(), "links2", narrow=True)
+    second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_confirmer(width, percent)), "u binary, v binary").distinct(), "links2", narrow=True)
     for done in (labelled, texts, met, postings, posted, cross):
         drop_stash(done)
     final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import id_type, ship, stash
+from .common import id_type, lean, ship, stash
 from .textkit import slices
 
 _tokenizers: dict[str, object] = {}
@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
                 )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {id_type(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return picked.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
@@ -358,7 +358,7 @@ def best_fit_packing(
 
     fields = f"id {id_type(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint"
     columns = ["id", "piece", "start", "length", "ids_crc32"]
-    large = ranked.where(F.col("length") > limit).select(*columns, "rank").mapInArrow(seat, f"{fields}, rank bigint, bin bigint, slot bigint")
+    large = ranked.where(F.col("length") > limit).select(*columns, "rank").mapInArrow(lean(seat), f"{fields}, rank bigint, bin bigint, slot bigint")
     # A sequence holds fewer than small_share large pieces, so that its window is small.
     over = Window.partitionBy("bin").orderBy("slot")
     large = stash(large.withColumn("offset", F.sum("length").over(over) - F.col("length")).withColumn("room", size - F.sum("length").over(Window.partitionBy("bin"))), "large")
@@ -381,7 +381,7 @@ def best_fit_packing(
                 behind[mine] = t[at, 4] + r % t[at, 3] * x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(origin), pa.array(number), pa.array(behind)], names=[*batch.schema.names, "room", "number", "behind"])
 
-    small = ranked.where(F.col("length") <= limit).select(*columns, "rank").mapInArrow(pour, f"{fields}, rank bigint, room bigint, number bigint, behind bigint")
+    small = ranked.where(F.col("length") <= limit).select(*columns, "rank").mapInArrow(lean(pour), f"{fields}, rank bigint, room bigint, number bigint, behind bigint")
     numbered = _ranked(bins.where("room > 0"), ["room"], ["bin"], ["bin"], max(1, sum(free.values())), "number")
     hosted = small.where("room >= 0").join(numbered, ["room", "number"]).select(*columns, F.col("bin").alias("sequence_id"), (F.lit(size) - F.col("room") + F.col("behind")).alias("offset"))
     alone = small.where("room < 0").select(*columns, (F.lit(n_bins) + F.col("number")).alias("sequence_id"), F.col("behind").alias("offset"))

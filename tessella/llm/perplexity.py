@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ship, stash
+from .common import id_type, lean, ship, stash
 from .textkit import flat, mix64, slices, span_hashes, word_spans
 
 #: The characters that count as symbols.
@@ -82,7 +82,7 @@ class KneserNey:
 
     The hash of an n-gram is its classes as digits of a number, the oldest first: without collisions, and less than
     CLASSES ** n. keys[n], logp[n]: n-grams of n + 1 classes and the natural logarithm of their probability;
-    back_keys[n], back[n]: contexts of n + 1 classes and the logarithm of the weight of what is shorter.
+    back_keys[n], back[n]: contexts of n classes and the logarithm of the weight of what is shorter.
     """
 
     keys: list[np.ndarray] = field(default_factory=list)
@@ -98,9 +98,8 @@ class KneserNey:
             at, hit = _find(self.keys[order - 1], codes[left] % CLASSES**order + lang * CLASSES**order)
             out[left[hit]] = self.logp[order - 1][at[hit]] + weight[left[hit]]
             left = left[~hit]
-            if order > 1:
-                at, hit = _find(self.back_keys[order - 2], codes[left] // CLASSES % CLASSES ** (order - 1) + lang * CLASSES ** (order - 1))
-                weight[left[hit]] += self.back[order - 2][at[hit]]
+            at, hit = _find(self.back_keys[order - 1], codes[left] // CLASSES % CLASSES ** (order - 1) + lang * CLASSES ** (order - 1))
+            weight[left[hit]] += self.back[order - 1][at[hit]]
         out[left] = weight[left] - np.log(CLASSES)
         return out
 
@@ -148,9 +147,8 @@ def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserN
         p = (n - cut) / np.repeat(total, size) + np.repeat(freed, size) * shorter
         model.keys.append(key)
         model.logp.append(np.log(p))
-        if order > 1:
-            model.back_keys.append(context)
-            model.back.append(np.log(freed))
+        model.back_keys.append(context)
+        model.back.append(np.log(freed))
         below = (key, p)
     return model
 
@@ -266,7 +264,7 @@ def quality_rules(
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
 
     # (max_languages + 1) * CLASSES ** ORDER rows at most, 24 million, whatever the corpus; languages use a few in a hundred.
-    table = picked.select("text", "lang").mapInArrow(count, "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = picked.select("text", "lang").mapInArrow(lean(count), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     model = kneser_ney(*(table.column(c).to_numpy() for c in ("lang", "gram", "n")))
     sent = spark.sparkContext.broadcast((model, other + 1))
 
@@ -316,7 +314,7 @@ def quality_rules(
 
     fields = ", ".join(f"{c} bigint" for c in BASE)
     row = f", carried {docs.schema.simpleString()}" if carry else ""
-    scored = stash(picked.mapInArrow(score, f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>{row}"), "scored")
+    scored = stash(picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>{row}"), "scored")
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     bands = [band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in range(other + 1)]
     away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in enumerate(bands)]

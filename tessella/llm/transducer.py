@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, vocabulary
-from .common import id_type, ship
+from .common import id_type, lean, ship
 from .textkit import slices
 
 # Classes of symbols. QUOTE and the letters of contractions are told apart from other marks and letters.
@@ -372,4 +372,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {id_type(docs, id_col)}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)

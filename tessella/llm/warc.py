@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, new_folder, ship, stash
+from .common import id_type, lean, new_folder, ship, stash
 
 #: Fixed values of the format: its version line, and the profile of revisits that are found by payload digest.
 VERSION = "WARC/1.1"
@@ -150,7 +150,7 @@ def read_archives(spark: SparkSession, folder: str, id_kind: str = "bigint") ->
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    found = files.mapInArrow(run, "id string, uri string, record_type string, refers_to string, stored_bytes bigint, payload_digest string, payload binary")
+    found = files.mapInArrow(lean(run), "id string, uri string, record_type string, refers_to string, stored_bytes bigint, payload_digest string, payload binary")
     return found.withColumns({c: F.col(c).cast(id_kind) for c in ("id", "refers_to")})
 
 
