@@ -87,9 +87,9 @@ def next_level(chunks: DataFrame, chunk: int, factor: int) -> DataFrame:
             parts[p.cy % factor, p.cx % factor] = (sums // n).astype(p.dtype)
         h = max(y * side + v.shape[0] for (y, _), v in parts.items())
         w = max(x * side + v.shape[1] for (_, x), v in parts.items())
-        out = np.zeros((h, w, int(first.bands)), first.dtype)
+        out = np.zeros((h, w, int(first.bands)), first["dtype"])
         for (y, x), v in parts.items():
             out[y * side : y * side + v.shape[0], x * side : x * side + v.shape[1]] = v
-        return pd.DataFrame([(first.subdir, int(first.level) + 1, int(first.cx) // factor, int(first.cy) // factor, h, w, int(first.bands), first.dtype, out.tobytes(), b"")], columns=["subdir", "level", "cx", "cy", "h", "w", "bands", "dtype", "data", "mask"])
+        return pd.DataFrame([(first.subdir, int(first.level) + 1, int(first.cx) // factor, int(first.cy) // factor, h, w, int(first.bands), first["dtype"], out.tobytes(), b"")], columns=["subdir", "level", "cx", "cy", "h", "w", "bands", "dtype", "data", "mask"])
 
     return chunks.groupBy("subdir", F.expr(f"cx div {factor}"), F.expr(f"cy div {factor}")).applyInPandas(shrink, CHUNK)
