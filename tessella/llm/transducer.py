@@ -151,8 +151,6 @@ class Merger:
         self.children: list[dict[int, int]] = [{}]
         self.entry: list[bytes | None] = [None]
         for token in vocab:
-            if self._merge(token) != [token]:
-                continue  # never the result of merges
             node = 0
             for b in token:
                 if b not in self.children[node]:
@@ -161,6 +159,7 @@ class Merger:
                     self.entry.append(None)
                 node = self.children[node][b]
             self.entry[node] = token
+        self.whole: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self._forget()
 
@@ -174,8 +173,10 @@ class Merger:
         return parts
 
     def _follows(self, last: bytes | None, token: bytes) -> bool:
-        if last is None:
-            return True
+        if token not in self.whole:
+            self.whole[token] = self._merge(token) == [token]  # else it is never the result of merges
+        if last is None or not self.whole[token]:
+            return self.whole[token]
         found = self.pairs.get((last, token))
         if found is None:
             found = self.pairs[last, token] = self._merge(last + token) == [last, token]
