@@ -15,11 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lzw import lzw_encode
 from ..sources import tiff as T
 from . import store
 
 #: Compression tags. The other codecs need encoders that are not at hand, and are refused.
-CODECS = {"UNCOMPRESSED": 1, "ZLIB": 8, "DEFAULT": 8}
+CODECS = {"UNCOMPRESSED": 1, "LZW": 5, "ZLIB": 8, "DEFAULT": 8}
+
+
+def compress(raw: bytes, compression: str) -> bytes:
+    tag = CODECS[compression]
+    return raw if tag == 1 else lzw_encode(raw) if tag == 5 else zlib.compress(raw, 6)
 
 
 def encode_tiles(chunks: DataFrame, edge: int, compression: str) -> DataFrame:
@@ -36,7 +42,7 @@ def encode_tiles(chunks: DataFrame, edge: int, compression: str) -> DataFrame:
                         full = np.zeros((edge, edge, r["bands"]), np.dtype(r["dtype"]).newbyteorder("<"))
                         part = x[ty * edge : (ty + 1) * edge, tx * edge : (tx + 1) * edge]
                         full[: part.shape[0], : part.shape[1]] = part
-                        raw = full.tobytes() if CODECS[compression] == 1 else zlib.compress(full.tobytes(), 6)
+                        raw = compress(full.tobytes(), compression)
                         rows.append((r["subdir"], r["level"], r["cy"] * per + ty, r["cx"] * per + tx, len(raw), raw))
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["subdir", "level", "ty", "tx", "size", "data"])

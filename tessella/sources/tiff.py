@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.lzw import lzw_decode
+
 #: Tags of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 273, 277, 278, 279
 X_RES, Y_RES, PLANAR, X_POS, Y_POS = 282, 283, 284, 286, 287
-TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT, PREDICTOR = 322, 323, 324, 325, 339, 317
 TYPES = {1: "B", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "ii"}
 
 HEADER_SCHEMA = "path string, x_res double, y_res double, x_pos double, y_pos double, w int, h int"
@@ -72,14 +74,15 @@ def read_headers(files: DataFrame) -> DataFrame:
 
 
 def decode(raw: bytes) -> np.ndarray | None:
-    """Pixels as rows, columns, bands: chunky images of unsigned 8 or 16 bit samples in strips or tiles, plain or
-    deflated. None for what is not read."""
+    """Pixels as rows, columns, bands: chunky images of unsigned 8 or 16 bit samples in strips or tiles, plain,
+    deflated or LZW, with or without differences between neighbours. None for what is not read."""
     tags = read_tags(raw)
     if not tags or WIDTH not in tags or HEIGHT not in tags or tags.get(PLANAR, (1,))[0] != 1:
         return None
     width, height, bands = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
     bits, codec = tags.get(BITS, (1,))[0], tags.get(COMPRESSION, (1,))[0]
-    if bits not in (8, 16) or codec not in (1, 8, 32946):
+    differs = tags.get(PREDICTOR, (1,))[0]
+    if bits not in (8, 16) or codec not in (1, 5, 8, 32946) or differs not in (1, 2):
         return None
     kind = np.dtype("u1") if bits == 8 else np.dtype("<u2" if raw[:2] == b"II" else ">u2")
     tiled = TILE_OFFSETS in tags
@@ -90,9 +93,11 @@ def decode(raw: bytes) -> np.ndarray | None:
         for i, (at, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)):
             y, x = i // across * th, i % across * tw
             block = raw[at : at + n]
-            data = np.frombuffer(block if codec == 1 else zlib.decompress(block), kind)
+            data = np.frombuffer(block if codec == 1 else lzw_decode(block) if codec == 5 else zlib.decompress(block), kind)
             rows = th if tiled else min(th, height - y)
             data = data[: rows * tw * bands].reshape(rows, tw, bands)
+            if differs == 2 and codec != 1:
+                data = np.cumsum(data, 1, dtype=out.dtype)
             out[y : y + rows, x : x + tw] = data[: height - y, : width - x]
     except (KeyError, ValueError, zlib.error):
         return None

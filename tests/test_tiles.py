@@ -130,6 +130,30 @@ def test_config_to_tiff(spark, slides):
     assert [(r.status, r.path) for r in api.run(spark, bad, chunk=16, edge=16).collect()] == [("failed", None)]
 
 
+def test_lzw_round_trip():
+    from tessella.functions.lzw import lzw_decode, lzw_encode
+
+    rng = np.random.default_rng(1)
+    steps = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (*range(250, 260), 765, 766, 767, 3900, 30000)]
+    for raw in (b"", b"a", b"a" * 20000, bytes(range(256)) * 40, *steps, b"ab" * 5000 + steps[-1]):
+        assert lzw_decode(lzw_encode(raw)) == raw
+    assert len(lzw_encode(b"\xff" * 65536)) < 1000
+
+
+def test_lzw_tiff_reads_elsewhere(spark, slides):
+    folder, a, b, c = slides
+    cfg = StitchConfig(FILE_NAME, str(folder / "in"), str(folder), "LZW", 0.5, 1.0, "g", 1.0)
+    assert [(r.status, r.n_tiles) for r in api.run(spark, cfg, chunk=16, edge=16).collect()] == [("ok", 3)]
+    path = str(folder / "g1.ome.tif")
+    want = _expected(a, b, c)
+    with open(path, "rb") as f:
+        assert (tiff.decode(f.read()) == want).all()
+    image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(path))
+    for y, x in ((0, 0), (3, 9), (9, 3), (12, 22), (15, 27)):
+        rgb = image.getRGB(x, y) & 0xFFFFFF
+        assert [rgb >> 16, rgb >> 8 & 255, rgb & 255] == want[y, x].tolist()
+
+
 def test_tags_and_scans(spark, tmp_path):
     p = np.zeros((4, 5), np.uint16)
     _tile(tmp_path / "in" / "v", "a.tif", p, x_res=(20000, 1), y_res=(20000, 2), x_pos=(1, 2), y_pos=(3, 1000))
