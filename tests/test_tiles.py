@@ -208,9 +208,23 @@ def test_plans_push_filters_and_prune_columns(spark, sf):
     assert "PushedFilters: [IsNotNull(p_partkey), LessThan(p_partkey,200)" in plan.replace("p_partkey, ", "p_partkey,") or "LessThan(p_partkey" in plan
 
 
-def test_entry_without_the_optional_part(spark):
+def test_entry_without_the_optional_part(spark, monkeypatch):
+    import importlib
+
     import __spark_entry__ as E
 
     assert E.entry(spark).count() == 3
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert E._optional("corpus_pipeline") is not None or True
+
+    def gone(name):
+        raise ModuleNotFoundError(name, name="corpus_pipeline" if name == "corpus_pipeline" else "tessella.llm")
+
+    monkeypatch.setattr(importlib, "import_module", gone)
+    assert set(E.queries()) == set(Q.QUERIES) and set(E.oracle_sql()) == set(Q.SQL)
+
+    def broken(name):
+        raise ModuleNotFoundError("a dependency", name="numpy")
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        E.queries()
