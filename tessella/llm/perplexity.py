@@ -82,13 +82,16 @@ class KneserNey:
 
     The hash of an n-gram is its classes as digits of a number, the oldest first: without collisions, and less than
     CLASSES ** n. keys[n], logp[n]: n-grams of n + 1 classes and the natural logarithm of their probability;
-    back_keys[n], back[n]: contexts of n classes and the logarithm of the weight of what is shorter.
+    back_keys[n], back[n]: contexts of n classes and the logarithm of the weight of what is shorter. seen[n] and
+    back_seen[n]: how often they are met in all texts.
     """
 
     keys: list[np.ndarray] = field(default_factory=list)
     logp: list[np.ndarray] = field(default_factory=list)
     back_keys: list[np.ndarray] = field(default_factory=list)
     back: list[np.ndarray] = field(default_factory=list)
+    seen: list[np.ndarray] = field(default_factory=list)
+    back_seen: list[np.ndarray] = field(default_factory=list)
 
     def score(self, lang: int, codes: np.ndarray) -> np.ndarray:
         """Log-probability of the last class of each n-gram, with back-off where it has not been seen."""
@@ -103,6 +106,30 @@ class KneserNey:
         out[left] = weight[left] - np.log(CLASSES)
         return out
 
+    def score_apart(self, lang: int, codes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """As score, for the places at of codes, but what is met in no other document than its own counts as unseen: a
+        document must not be likely because the model has counted it. doc numbers the document of each code."""
+
+        def apart(keys: np.ndarray, seen: np.ndarray, digits: int, key: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place, hit = _find(keys, key[left] + lang * CLASSES**digits)
+            mine = doc * CLASSES**digits + key
+            inside = np.sort(mine)
+            own = np.searchsorted(inside, mine[left], "right") - np.searchsorted(inside, mine[left])
+            hit[hit] = seen[place[hit]] > own[hit]
+            return place, hit
+
+        out, weight, rest = np.full(len(codes), np.nan), np.zeros(len(codes)), at
+        for order in range(ORDER, 0, -1):
+            place, hit = apart(self.keys[order - 1], self.seen[order - 1], order, codes % CLASSES**order, rest)
+            out[rest[hit]] = self.logp[order - 1][place[hit]] + weight[rest[hit]]
+            rest = rest[~hit]
+            if not len(rest):
+                break
+            place, hit = apart(self.back_keys[order - 1], self.back_seen[order - 1], order - 1, codes // CLASSES % CLASSES ** (order - 1), rest)
+            weight[rest[hit]] += self.back[order - 1][place[hit]]
+        out[rest] = weight[rest] - np.log(CLASSES)
+        return out[at]
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the wanted keys, and whether they are there."""
@@ -129,15 +156,17 @@ def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserN
         return key // CLASSES**order * CLASSES ** (order - 1) + key % CLASSES ** (order - 1)
 
     model = KneserNey()
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     key, n = lang.astype(np.int64) * CLASSES**ORDER + gram, count.astype(np.int64)
     order_of = np.argsort(key)
     key, n = key[order_of], n[order_of]
+    seen = n
     for order in range(ORDER, 0, -1):
-        levels.insert(0, (key, n))
-        key, n = np.unique(without_oldest(key, order), return_counts=True)
+        levels.insert(0, (key, n, seen))
+        key, of, n = np.unique(without_oldest(key, order), return_inverse=True, return_counts=True)
+        seen = np.bincount(of, seen, len(key)).astype(np.int64)
     below: tuple[np.ndarray, np.ndarray] | None = None
-    for order, (key, n) in enumerate(levels, 1):
+    for order, (key, n, seen) in enumerate(levels, 1):
         context, begin = np.unique(key // CLASSES, return_index=True)
         size = np.diff(np.append(begin, len(key)))
         total = np.add.reduceat(n, begin) if len(key) else np.zeros(0, np.int64)
@@ -149,6 +178,8 @@ def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserN
         model.logp.append(np.log(p))
         model.back_keys.append(context)
         model.back.append(np.log(freed))
+        model.seen.append(seen)
+        model.back_seen.append(np.add.reduceat(seen, begin) if len(key) else np.zeros(0, np.int64))
         below = (key, p)
     return model
 
@@ -201,6 +232,8 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(first), "word_chars": total(in_word & ((buf & 0xC0) != 0x80)), "n_symbols": total(symbols[buf]), "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
+#: Stands for an n-gram in the counts: the language has a document that passes the base rules.
+PASSING = -1
 #: Resolution of the distributions that bands come from, in nats a character.
 STEP = 0.001
 
@@ -228,7 +261,9 @@ def quality_rules(
     Each language's band lies around the median of the mean log-probability of its documents that pass the base rules,
     from an exact histogram of STEP; its unit is the median absolute deviation, min_spread nats at least. Documents are
     cut into windows of WINDOW characters, each judged by the language that gives it the highest probability, so that
-    a document of several languages is not taken for noise. deviation is the mean over the characters of a document of
+    a document of several languages is not taken for noise. Only languages with a document that passes the base rules
+    judge, as others have no band; without any of them all judge, and deviations are null. In its own language an n-gram
+    that is met in no other document is taken as unseen, so that rare noise is not likely by its own counts. deviation is the mean over the characters of a document of
     how far they lie above that language's median, in its units: above low_spread, perplexity is below the lower bound
     (repetitive, formulaic), below -high_spread it is above the upper one.
 
@@ -247,14 +282,22 @@ def quality_rules(
     def by_language(batch: pa.RecordBatch, column: int) -> np.ndarray:
         return np.array([number.get(x, other) for x in batch.column(column).to_pylist()], np.int64)
 
+    def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+        return (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        passing: set[int] = set()
         for batch in batches:
             langs = by_language(batch, 1)
             for a, b in slices(batch.column(0)):
                 texts, of = batch.column(0).slice(a, b - a), langs[a:b]
                 for x in np.unique(of).tolist():
-                    codes, _ = grams(pc.fill_null(texts.filter(pa.array(of == x)), "").to_pylist())
+                    mine = texts.filter(pa.array(of == x))
+                    for at in range(0, len(mine), 16):  # a few texts, as a rule: the first that passes will do
+                        if x not in passing and not base_failed(base_counts(mine.slice(at, 16))).all():
+                            passing.add(x)
+                    codes, _ = grams(pc.fill_null(mine, "").to_pylist())
                     at, n = np.unique(codes.astype(np.int32), return_counts=True)
                     if x not in total:
                         total[x] = np.zeros(CLASSES**ORDER, np.int64)
@@ -262,15 +305,21 @@ def quality_rules(
         for x, counted in total.items():
             at = np.flatnonzero(counted)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(passing), pa.int32()), pa.array([PASSING] * len(passing), pa.int32()), pa.array([1] * len(passing), pa.int64())], names=["lang", "gram", "n"])
 
     # (max_languages + 1) * CLASSES ** ORDER rows at most, 24 million, whatever the corpus; languages use a few in a hundred.
     table = picked.select("text", "lang").mapInArrow(lean(count), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    marks = pc.equal(table["gram"], PASSING)
+    passing = sorted(set(table.filter(marks)["lang"].to_pylist()))
+    table = table.filter(pc.invert(marks))
     model = kneser_ney(*(table.column(c).to_numpy() for c in ("lang", "gram", "n")))
-    sent = spark.sparkContext.broadcast((model, other + 1))
+    judges = passing or sorted(set(table["lang"].to_pylist()))
+    sent = spark.sparkContext.broadcast((model, other + 1, judges))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn, languages = sent.value
+        kn, languages, judging = sent.value
         every = np.arange(CLASSES**ORDER)
+        counted: dict[int, np.ndarray] = {}
         unpacked: dict[int, np.ndarray] = {}  # whole numbers of 2**-24 nats, by n-gram: sums do not depend on their order
         for batch in batches:
             langs = by_language(batch, 2)
@@ -279,6 +328,7 @@ def quality_rules(
                 base = base_counts(texts)
                 codes, ends = grams(pc.fill_null(texts, "").to_pylist())
                 size = np.diff(ends)
+                doc = np.repeat(np.arange(b - a), size)
                 per = -(-size // WINDOW)
                 owner = np.repeat(np.arange(b - a), per)
                 begin = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
@@ -286,18 +336,28 @@ def quality_rules(
                 best = np.full(len(owner), np.iinfo(np.int64).min)
                 who = np.zeros(len(owner), np.int64)
                 own = np.zeros(b - a, np.int64)
-                for x in range(languages) if len(owner) else ():
+                for x in sorted({*judging, *of[owner].tolist()}):
                     if x not in unpacked:
                         unpacked[x] = np.rint(kn.score(x, every) * 2**24).astype(np.int32)
-                    sums = np.add.reduceat(unpacked[x][codes], begin, dtype=np.int64)
-                    who[sums > best] = x
-                    best = np.maximum(best, sums)
+                        counted[x] = np.zeros(CLASSES**ORDER, np.int32)
+                        a4, b4 = np.searchsorted(kn.keys[-1], [x * CLASSES**ORDER, (x + 1) * CLASSES**ORDER])
+                        counted[x][kn.keys[-1][a4:b4] - x * CLASSES**ORDER] = np.minimum(kn.seen[-1][a4:b4], 1 << 30)
+                    found = unpacked[x][codes]
+                    in_x = np.flatnonzero(of[doc] == x)
+                    if len(in_x):
+                        some = codes[in_x]
+                        rare = np.flatnonzero(counted[x][some] <= np.bincount(some, minlength=CLASSES**ORDER)[some])
+                        found[in_x[rare]] = np.rint(kn.score_apart(x, some, doc[in_x], rare) * 2**24)
+                    sums = np.add.reduceat(found, begin, dtype=np.int64)
+                    if x in judging:
+                        who[sums > best] = x
+                        best = np.maximum(best, sums)
                     mine = of[owner] == x
                     np.add.at(own, owner[mine], sums[mine])
                 chars, total = np.zeros((b - a, languages), np.int64), np.zeros((b - a, languages), np.int64)
                 np.add.at(chars, (owner, who), long)
                 np.add.at(total, (owner, who), best)
-                failed = (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
+                failed = base_failed(base)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -316,10 +376,10 @@ def quality_rules(
     row = f", carried {docs.schema.simpleString()}" if carry else ""
     scored = stash(picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>{row}"), "scored")
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    bands = [band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in range(other + 1)]
-    away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in enumerate(bands)]
+    bands = {x: band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in passing}
+    away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in bands.items()]
     whole = " + ".join(f"chars[{x}]" for x in range(other + 1))
-    judged = scored.withColumn("deviation", F.expr(f"case when mean is not null then ({' + '.join(away)}) / ({whole}) end"))
+    judged = scored.withColumn("deviation", F.expr(f"case when mean is not null then ({' + '.join(away)}) / ({whole}) end" if away else "cast(null as double)"))
     return judged.select(
         F.col("id").alias(id_col),
         *BASE,
@@ -336,9 +396,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def band(bins: np.ndarray, n: np.ndarray, min_spread: float) -> tuple[float, float]:
-    """The median of a histogram and the median distance from it; 0 and 1 without a document."""
-    if not len(bins):
-        return 0.0, 1.0
+    """The median of a histogram of one document at least, and the median distance from it."""
 
     def median(x: np.ndarray) -> float:
         order = np.argsort(x)

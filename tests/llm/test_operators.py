@@ -185,6 +185,23 @@ def test_quality_counts(spark, sf, docs, odd, none):
     assert perplexity.quality_rules(none).count() == 0
 
 
+def test_rare_gibberish_is_rejected(spark, sf):
+    rng = random.Random(5)
+    made = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz0123456789", "zxqjkvwZXQJKVW0123456789"]
+    noise = [(9_000_000 + i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(80)), "en") for i, a in enumerate(made)]
+    prose = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rows = prose.unionByName(spark.createDataFrame([*noise, (9_500_000, "xq zj kw", "zz")], prose.schema))  # zz: no band
+    got = {r.doc_id: r for r in perplexity.quality_rules(rows).collect()}
+    assert all(not got[i].base_failed and not got[i].kept and got[i].deviation < -7 for i, _, _ in noise)
+    passed = [r for i, r in got.items() if i < 9_000_000 and not r.base_failed]
+    assert sum(r.kept for r in passed) >= 0.9 * len(passed) > 100
+
+
+def test_no_language_with_a_band(spark):
+    got = perplexity.quality_rules(spark.createDataFrame([(1, "three short words", "en"), (2, None, "en")], "doc_id long, text string, lang string")).orderBy("doc_id").collect()
+    assert [(r.kept, r.deviation) for r in got] == [(False, None), (False, None)] and got[0].perplexity > 1 and got[1].perplexity is None
+
+
 def test_kneser_ney_is_a_distribution():
     codes, _ = perplexity.grams(["the cat sat on the mat. the dog sat."])
     gram, n = np.unique(codes, return_counts=True)
