@@ -243,7 +243,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_languages: int = 15,
+    at_once: int = 15,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     low_spread: float = 6.0,
@@ -255,17 +255,17 @@ def quality_rules(
 
     The model is one of character classes, of order 4, for each value of lang_col: a word model's counts would grow with
     the corpus beyond what a worker can hold, these are bounded by the alphabet (CLASSES) whatever the corpus. Counts
-    cover all rows, base-failed ones too; tasks count into arrays and send each n-gram once. The max_languages values
-    with most rows have models of their own, all others share one.
+    cover all rows, base-failed ones too; tasks count into arrays. Each value's model is sent by itself; at_once bounds how
+    many languages a task counts or keeps unpacked at a time, and the result does not depend on it.
 
     Each language's band lies around the median of the mean log-probability of its documents that pass the base rules,
     from an exact histogram of STEP; its unit is the median absolute deviation, min_spread nats at least. Documents are
     cut into windows of WINDOW characters, each judged by the language that gives it the highest probability, so that
     a document of several languages is not taken for noise. Only languages with a document that passes the base rules
     judge, as others have no band; without any of them all judge, and deviations are null. In its own language an n-gram
-    that is met in no other document is taken as unseen, so that rare noise is not likely by its own counts. deviation is the mean over the characters of a document of
-    how far they lie above that language's median, in its units: above low_spread, perplexity is below the lower bound
-    (repetitive, formulaic), below -high_spread it is above the upper one.
+    that is met in no other document is taken as unseen, so that rare noise is not likely by its own counts. deviation is
+    the mean over the characters of a document of how far they lie above that language's median, in its units: above
+    low_spread, perplexity is below the lower bound (repetitive, formulaic), below -high_spread it is above the upper one.
 
     Returns (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
     perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules
@@ -275,16 +275,20 @@ def quality_rules(
     spark = docs.sparkSession
     ship(spark)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
-    top = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    number = {r["lang"]: i for i, r in enumerate(top)}
-    other = len(number)
+    number = {r["lang"]: i for i, r in enumerate(picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect())}
+    languages = len(number)
 
     def by_language(batch: pa.RecordBatch, column: int) -> np.ndarray:
-        return np.array([number.get(x, other) for x in batch.column(column).to_pylist()], np.int64)
+        return np.array([number[x] for x in batch.column(column).to_pylist()], np.int64)
 
     def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
         return (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
 
+    def sent_counts(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, counted in total.items():
+            at = np.flatnonzero(counted)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         passing: set[int] = set()
@@ -299,28 +303,42 @@ def quality_rules(
                             passing.add(x)
                     codes, _ = grams(pc.fill_null(mine, "").to_pylist())
                     at, n = np.unique(codes.astype(np.int32), return_counts=True)
+                    if x not in total and len(total) == at_once:
+                        yield from sent_counts(total)
+                        total.clear()
                     if x not in total:
                         total[x] = np.zeros(CLASSES**ORDER, np.int64)
                     total[x][at] += n
-        for x, counted in total.items():
-            at = np.flatnonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
+        yield from sent_counts(total)
         yield pa.RecordBatch.from_arrays([pa.array(sorted(passing), pa.int32()), pa.array([PASSING] * len(passing), pa.int32()), pa.array([1] * len(passing), pa.int64())], names=["lang", "gram", "n"])
 
-    # (max_languages + 1) * CLASSES ** ORDER rows at most, 24 million, whatever the corpus; languages use a few in a hundred.
-    table = picked.select("text", "lang").mapInArrow(lean(count), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    marks = pc.equal(table["gram"], PASSING)
-    passing = sorted(set(table.filter(marks)["lang"].to_pylist()))
-    table = table.filter(pc.invert(marks))
-    model = kneser_ney(*(table.column(c).to_numpy() for c in ("lang", "gram", "n")))
-    judges = passing or sorted(set(table["lang"].to_pylist()))
-    sent = spark.sparkContext.broadcast((model, other + 1, judges))
+    table = picked.select("text", "lang").mapInArrow(lean(count), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if languages > at_once:
+        table = stash(table, "grams")
+    models: list = []
+    passing: list[int] = []
+    for low in range(0, languages, at_once):  # CLASSES ** ORDER rows a language at most, a few in a hundred as a rule
+        some = table.where(F.col("lang").between(low, low + at_once - 1)).toArrow()
+        for x in range(low, min(low + at_once, languages)):
+            one = some.filter(pc.equal(some["lang"], x))
+            marks = pc.equal(one["gram"], PASSING)
+            passing += [x] if pc.any(marks).as_py() else []
+            one = one.filter(pc.invert(marks))
+            models.append(spark.sparkContext.broadcast(kneser_ney(np.zeros(len(one), np.int64), one["gram"].to_numpy(), one["n"].to_numpy())) if len(one) else None)
+    judges = passing or [x for x in range(languages) if models[x]]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn, languages, judging = sent.value
+        judging = set(judges)
         every = np.arange(CLASSES**ORDER)
-        counted: dict[int, np.ndarray] = {}
-        unpacked: dict[int, np.ndarray] = {}  # whole numbers of 2**-24 nats, by n-gram: sums do not depend on their order
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def looked_up(kn: KneserNey, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log-probabilities in whole numbers of 2**-24 nats, whose sums do not depend on their order; and counts."""
+            at, hit = _find(kn.keys[-1], wanted)
+            n = np.zeros(len(wanted), np.int32)
+            n[hit] = np.minimum(kn.seen[-1][at[hit]], 1 << 30)
+            return np.rint(kn.score(0, wanted) * 2**24).astype(np.int32), n
+
         for batch in batches:
             langs = by_language(batch, 2)
             for a, b in slices(batch.column(1), 1 << 20):
@@ -336,27 +354,35 @@ def quality_rules(
                 best = np.full(len(owner), np.iinfo(np.int64).min)
                 who = np.zeros(len(owner), np.int64)
                 own = np.zeros(b - a, np.int64)
+                met: tuple[np.ndarray, np.ndarray] | None = None
                 for x in sorted({*judging, *of[owner].tolist()}):
-                    if x not in unpacked:
-                        unpacked[x] = np.rint(kn.score(x, every) * 2**24).astype(np.int32)
-                        counted[x] = np.zeros(CLASSES**ORDER, np.int32)
-                        a4, b4 = np.searchsorted(kn.keys[-1], [x * CLASSES**ORDER, (x + 1) * CLASSES**ORDER])
-                        counted[x][kn.keys[-1][a4:b4] - x * CLASSES**ORDER] = np.minimum(kn.seen[-1][a4:b4], 1 << 30)
-                    found = unpacked[x][codes]
+                    if x in kept or len(kept) < at_once:
+                        if x not in kept:
+                            kept[x] = looked_up(models[x].value, every)
+                        (values, counts), place = kept[x], codes
+                    else:
+                        if met is None:
+                            met = np.unique(codes, return_inverse=True)
+                        (values, counts), place = looked_up(models[x].value, met[0]), met[1]
+                    found = values[place]
                     in_x = np.flatnonzero(of[doc] == x)
                     if len(in_x):
                         some = codes[in_x]
-                        rare = np.flatnonzero(counted[x][some] <= np.bincount(some, minlength=CLASSES**ORDER)[some])
-                        found[in_x[rare]] = np.rint(kn.score_apart(x, some, doc[in_x], rare) * 2**24)
+                        rare = np.flatnonzero(counts[place[in_x]] <= np.bincount(some, minlength=CLASSES**ORDER)[some])
+                        found[in_x[rare]] = np.rint(models[x].value.score_apart(0, some, doc[in_x], rare) * 2**24)
+                    if len(models) > at_once:
+                        vars(models[x]).pop("_value", None)  # read again when needed: workers hold one at a time
                     sums = np.add.reduceat(found, begin, dtype=np.int64)
                     if x in judging:
                         who[sums > best] = x
                         best = np.maximum(best, sums)
                     mine = of[owner] == x
                     np.add.at(own, owner[mine], sums[mine])
-                chars, total = np.zeros((b - a, languages), np.int64), np.zeros((b - a, languages), np.int64)
-                np.add.at(chars, (owner, who), long)
-                np.add.at(total, (owner, who), best)
+                pair, of_pair = np.unique(owner * max(1, languages) + who, return_inverse=True)
+                chars, total = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+                np.add.at(chars, of_pair, long)
+                np.add.at(total, of_pair, best)
+                begins = pa.array(np.searchsorted(pair, np.arange(b - a + 1) * max(1, languages)).astype(np.int32))
                 failed = base_failed(base)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -365,27 +391,27 @@ def quality_rules(
                         pa.array(failed),
                         pa.array(of.astype(np.int32)),
                         pa.array(own / np.maximum(size, 1) / 2**24, mask=size == 0),
-                        pa.array(list(chars), pa.list_(pa.int64())),
-                        pa.array(list(total), pa.list_(pa.int64())),
+                        *(pa.ListArray.from_arrays(begins, pa.array(x)) for x in ((pair % max(1, languages)).astype(np.int32), chars, total)),
                         *(c.slice(a, b - a) for c in batch.columns[3:]),
                     ],
-                    names=["id", *BASE, "base_failed", "lang", "mean", "chars", "total", *batch.schema.names[3:]],
+                    names=["id", *BASE, "base_failed", "lang", "mean", "who", "chars", "total", *batch.schema.names[3:]],
                 )
 
     fields = ", ".join(f"{c} bigint" for c in BASE)
     row = f", carried {docs.schema.simpleString()}" if carry else ""
-    scored = stash(picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, chars array<bigint>, total array<bigint>{row}"), "scored")
+    scored = stash(picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, who array<int>, chars array<bigint>, total array<bigint>{row}"), "scored")
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     bands = {x: band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in passing}
-    away = [f"(total[{x}] / 16777216D - chars[{x}] * {middle!r}D) / {spread!r}D" for x, (middle, spread) in bands.items()]
-    whole = " + ".join(f"chars[{x}]" for x in range(other + 1))
-    judged = scored.withColumn("deviation", F.expr(f"case when mean is not null then ({' + '.join(away)}) / ({whole}) end" if away else "cast(null as double)"))
+    middles, spreads = (F.array(*(F.lit(bands[x][i] if x in bands else None).cast("double") for x in range(languages))) for i in (0, 1))
+    whole = F.expr("aggregate(chars, 0L, (a, x) -> a + x)")
+    away = F.aggregate(F.arrays_zip("who", "chars", "total"), F.lit(0.0), lambda a, s: a + (s["total"] / F.lit(16777216.0) - s["chars"] * F.get(middles, s["who"])) / F.get(spreads, s["who"]))
+    judged = scored.withColumn("deviation", F.when(F.col("mean").isNotNull(), away / whole))
     return judged.select(
         F.col("id").alias(id_col),
         *BASE,
         "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("deviation").between(-high_spread, low_spread), F.lit(False))).alias("kept"),
-        F.expr(f"case when mean is not null then exp(-({' + '.join(f'total[{x}]' for x in range(other + 1))}) / 16777216D / ({whole})) end").alias("perplexity"),
+        F.when(F.col("mean").isNotNull(), F.exp(-F.expr("aggregate(total, 0L, (a, x) -> a + x)") / F.lit(16777216.0) / whole)).alias("perplexity"),
         "deviation",
         *(["carried"] if carry else []),
     )

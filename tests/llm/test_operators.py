@@ -197,6 +197,23 @@ def test_rare_gibberish_is_rejected(spark, sf):
     assert sum(r.kept for r in passed) >= 0.9 * len(passed) > 100
 
 
+def test_every_language_has_a_band(spark):
+    rng = random.Random(3)
+    rows = []
+    for x in range(19):  # each with words of its own, from few to many; the last ones have fewest rows
+        words = ["".join(rng.choice("aeioubcdfghlmnprst") for _ in range(rng.randint(3, 8))) for _ in range(8 * (x % 4 + 1) ** 3)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(120)), f"l{x:02}" if x else None) for i in range(31 - x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
+    by = collections.defaultdict(list)
+    for i, _, lang in rows:
+        if not got[i].base_failed:
+            by[lang].append(got[i].deviation)
+    assert len(by) > 15 and all(abs(sorted(d)[len(d) // 2]) < 1 for d in by.values())
+    few = {r.doc_id: r for r in perplexity.quality_rules(docs, at_once=2).collect()}
+    assert few == got
+
+
 def test_no_language_with_a_band(spark):
     got = perplexity.quality_rules(spark.createDataFrame([(1, "three short words", "en"), (2, None, "en")], "doc_id long, text string, lang string")).orderBy("doc_id").collect()
     assert [(r.kept, r.deviation) for r in got] == [(False, None), (False, None)] and got[0].perplexity > 1 and got[1].perplexity is None
