@@ -121,5 +121,16 @@ def translate_origin(tiles: DataFrame) -> DataFrame:
 
 
 def unique_places(names: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Numbers equal names from 1."""
-    return names.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Numbers equal names from 1 (K6, K7, J7). A name's rows are numbered within ranges of the order columns, cut at as many
+    drawn rows as there are shuffle partitions; counts of the ranges before are added, so that no name goes to one task."""
+    key = F.struct(*order)
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = names.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(parts).agg(F.sort_array(F.collect_list("k")).alias("_cuts"))
+    dealt = names.crossJoin(F.broadcast(drawn)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    tally = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = tally.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_of"), (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
+    local = dealt.withColumn("place", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same &= local[c].eqNullSafe(before[f"_{c}"])
+    return local.join(before, same).select(*names.columns, (F.col("place") + F.col("_before")).cast("int").alias("place"))

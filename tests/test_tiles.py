@@ -130,6 +130,19 @@ def test_config_to_tiff(spark, slides):
     assert [(r.status, r.path) for r in api.run(spark, bad, chunk=16, edge=16).collect()] == [("failed", None)]
 
 
+def test_hot_names_are_numbered_in_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, f"n{i % 50}"])) for i in rng.sample(range(100_000), 4000)]
+    got = P.unique_places(spark.createDataFrame(rows, "id long, base string"), ["base"], ["id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(base#" in plan and all("_range#" in x.split("ASC")[0] for x in plan.split("row_number() windowspecdefinition(")[1:])
+    count, want = {}, set()
+    for i, b in sorted(rows):
+        count[b] = count.get(b, 0) + 1
+        want.add((i, b, count[b]))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+
+
 def test_lzw_round_trip():
     from tessella.functions.lzw import lzw_decode, lzw_encode
 
