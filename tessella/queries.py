@@ -316,8 +316,10 @@ def pyramid_level(spark, sf_dir):
 
 @query(f"WITH {PIXELS_SQL}, k AS (SELECT x, y FROM (SELECT CAST(unnest(range(200)) AS INTEGER) AS x) CROSS JOIN (SELECT CAST(unnest(range(640)) AS INTEGER) AS y)) SELECT k.x, k.y, coalesce(v, 255) AS v FROM k LEFT JOIN px ON k.x = px.px AND k.y = px.py")
 def white_fill(spark, sf_dir):
-    """J3, F16, P10."""
-    canvas = spark.range(200 * 640).select((F.col("id") % 200).cast("int").alias("x"), F.expr("cast(id div 200 as int)").alias("y"))
+    """J3, F16, P10. The canvas is as high as the SQL's, or higher where the pixels are."""
+    high = _table(spark, sf_dir, "embeddings").agg(F.expr("cast(greatest(640, (max(vec_id) div 25 + 1) * 8) as int)").alias("high"))
+    rows = high.select(F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"))
+    canvas = rows.crossJoin(spark.range(200).select(F.col("id").cast("int").alias("x"))).select("x", "y")
     return C.fill_white(canvas, pixels(spark, sf_dir).select(F.col("px").alias("x"), F.col("py").alias("y"), "v"), 255, ["x", "y"])
 
 

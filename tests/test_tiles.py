@@ -215,6 +215,13 @@ def test_queries_equal_sql(spark, sf):
         assert a == sorted(repr(tuple(map(plain, r))) for r in rel.fetchall()), name
 
 
+def test_white_fill_keeps_all_pixels(spark, tmp_path):
+    rows = [(i, "a", [0.5] * 64) for i in (1, 2000, 2531)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Q.white_fill(spark, str(tmp_path))
+    assert got.count() == 200 * (2531 // 25 + 1) * 8 and got.where("v <> 255").count() == 3 * 64
+
+
 def test_plans_push_filters_and_prune_columns(spark, sf):
     plan = Q.filename_tiles(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(event_type,i)" in plan and "props" not in plan
