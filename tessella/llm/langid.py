@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, lean, ship
+from .common import id_type, lean, ship, stash
 from .textkit import slices
 
 BUCKETS = 1 << 13
@@ -119,6 +119,7 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     sample: int = 6000,
+    least: int = 20,
     epochs: int = 3,
     alpha: float = 0.5,
     beta: float = 1.0,
@@ -127,8 +128,8 @@ def fit(
 ) -> LanguageModel:
     """Learns from the rows where may_learn holds and the label is not null.
 
-    Document frequencies cover all such rows. The regression learns from sample different texts at most, an even draw by
-    the hash of text and label; a fifth of them, chosen by that hash, only set the temperature. Labels are ordered by name. Without
+    Document frequencies cover all such rows. The regression learns from the sample different texts of least hash of text
+    and label, copies counting once, and least of each label, or all it has; a fifth of them, chosen by that hash, only set the temperature. Labels are ordered by name. Without
     a row to learn from the model has no labels.
     """
     ship(docs.sparkSession)
@@ -153,7 +154,6 @@ def fit(
     if not df[BUCKETS]:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), np.zeros(0))
 
-    share = min(1.0, 1.5 * sample / float(df[BUCKETS]))
     order = F.xxhash64("text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,12 @@ def fit(
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([x.astype(np.int32) for x in n], pa.list_(pa.int32()))], names=["label", "place", "at", "n"])
 
     drawn = rows.select("label", order.alias("place"), "text")
-    if share < 1:
-        drawn = drawn.where(F.pmod(F.xxhash64("place"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    last = drawn.select("place").distinct().orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    drawn = drawn.where(F.col("place") <= last) if last is not None else drawn.limit(0)
+    different = stash(drawn.select("label", "place").distinct(), "places", narrow=True)
+    last = different.orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    # Tasks send least rows a label at most to this window: a limit on row_number is applied before the shuffle.
+    first = different.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("place"))).where(F.col("r") <= least)
+    cuts = first.groupBy(F.col("label").alias("_label")).agg(F.greatest(F.max("place"), F.lit(last)).alias("_last"))
+    drawn = drawn.join(F.broadcast(cuts), (F.col("label") == F.col("_label")) & (F.col("place") <= F.col("_last"))).select("label", "place", "text")
     drawn = drawn.mapInArrow(lean(features), "label string, place bigint, at array<int>, n array<int>").dropDuplicates(["place"]).toArrow()
     labels = sorted(set(drawn.column("label").to_pylist()))
     if not labels:
@@ -178,6 +180,7 @@ def fit(
     x = [tfidf(a, np.array(n), idf) for a, n in zip(at, drawn.column("n").to_pylist(), strict=True)]
     order_of = np.lexsort((y, place))
     held = place % 5 == 0
+    held &= np.isin(y, y[~held])  # a label that only has held rows learns from them
     leader = ProximalLeader(BUCKETS + 1, len(labels), alpha, beta, l1, l2)
     learn = [i for i in order_of if not held[i]] or list(order_of)
     for epoch in range(epochs):

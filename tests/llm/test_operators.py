@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import bpe, cotrain, flac, langid, neardup, packing, perplexity, preference, queries, transducer, warc
 from tessella.llm.common import new_folder, table
@@ -152,6 +153,18 @@ def test_language(spark, sf, odd, none):
     assert langid.identify_languages(none).count() == 0
 
 
+def test_draw_counts_different_texts_and_holds_each_label(spark):
+    word = lambda a, i: " ".join(a[(i * 7 + j * j) % len(a)] * (1 + (i + j) % 3) for j in range(12)) + f" {a[i % 5]}{i}"
+    copies = [(i, "the same text again and again", "en") for i in range(5000)]
+    mixed = [(10_000 + i, word("abcdefghi" if i % 2 else "rstuvwxyz", i), "aa" if i % 2 else "rr") for i in range(80)]
+    schema = "doc_id long, text string, lang string"
+    always = F.lit(True)
+    assert {"aa", "rr"} <= set(langid.fit(spark.createDataFrame(copies + mixed, schema), always, sample=60).labels)
+    rare = [(20_000, "qqq kkk qqq", "qq")]
+    many = [(30_000 + i, word("abcdefghi", i), "aa") for i in range(600)]
+    assert langid.fit(spark.createDataFrame(many + rare, schema), always, sample=5).labels == ["aa", "qq"]
+
+
 def test_leader_gives_sparse_weights():
     leader = langid.ProximalLeader(50, 2, 0.5, 1.0, 0.5, 1.0)
     rng = np.random.default_rng(0)
