@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, lean, ship
+from .common import id_type, lean, ship, stash
 from .textkit import slices
 
 BLOCK = 2048
@@ -616,18 +616,42 @@ def read_pcm(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
     return decoded.where("n_samples > 0").select(id_col, F.inline(cut))
 
 
-def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest columns of stored streams and of what is read back from them, in one pass over the stored table."""
+def to_pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Decodes a stored table to PCM: (id_col, n_bytes, media_bytes long, media_sha256 string, blocks), blocks an array of
+    (first_sample long, pcm binary); sample s lies in blocks[s div 4096]."""
     ship(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for a, b in slices(batch.column(2), 1 << 21):
                 part = batch.slice(a, b - a)
                 media = part.column(2).to_pylist()
-                payload = decode_streams(media)
+                cut = [pcm_blocks(p) for p in decode_streams(media)]
+                ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
+                blocks = pa.StructArray.from_arrays([pa.array([x for c in cut for x, _ in c], pa.int64()), pa.array([x for c in cut for _, x in c], pa.binary())], names=["first_sample", "pcm"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.ListArray.from_arrays(pa.array(ends), blocks)],
+                    names=["id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
+                )
+
+    picked = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    fields = f"id {id_type(stored, id_col)}, n_bytes bigint, media_bytes bigint, media_sha256 string, blocks array<struct<first_sample: bigint, pcm: binary>>"
+    return picked.mapInArrow(lean(run), fields).withColumnRenamed("id", id_col)
+
+
+def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digest columns of stored streams and of what is read back from their PCM blocks, which are written first."""
+    ship(stored.sparkSession)
+    blocks = stash(to_pcm(stored, id_col), "pcm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        for batch in batches:
+            column = batch.column(4)
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                payload = [b"".join(x["pcm"] for x in sorted(row, key=lambda x: x["first_sample"])) for row in column.slice(a, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -635,13 +659,13 @@ def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") ->
                         pa.array([len(p) for p in payload], pa.int64()),
                         pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
                         pa.array([zlib.crc32(p[-64:]) for p in payload], pa.int64()),
-                        pa.array([len(m) for m in media], pa.int64()),
-                        pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+                        part.column(2),
+                        part.column(3),
                         pa.array([features(p) for p in payload]),
                     ],
                     names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    picked = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    picked = blocks.select(F.col(id_col).alias("id"), "n_bytes", "media_bytes", "media_sha256", "blocks")
     fields = f"id {id_type(docs, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return picked.mapInArrow(lean(run), fields).withColumnRenamed("id", id_col)

@@ -446,6 +446,18 @@ def test_byte_bpe(spark, sf, docs, odd, none):
     assert bpe.byte_bpe(none).count() == 0
 
 
+def test_media_query_writes_pcm_blocks(spark, sf, odd, docs, monkeypatch):
+    written = {}
+    monkeypatch.setattr(flac, "stash", lambda df, tag, **options: written.setdefault(tag, queries.stash(df, tag, **options)), raising=False)
+    got = {r.doc_id: r for r in queries.op9_flac_media(spark, sf).collect()}
+    rows = written["pcm"].collect()
+    assert len(rows) == len(docs) == len(got)
+    for r in rows:
+        payload = flac.media_payload(docs[r.doc_id])
+        assert [(b.first_sample, bytes(b.pcm)) for b in r.blocks] == [(i, payload[i : i + 4096]) for i in range(0, len(payload), 4096)]
+        assert got[r.doc_id].payload_sha256 == hashlib.sha256(payload).hexdigest()
+
+
 def test_pipeline(spark, sf, odd):
     import corpus_pipeline as c
 
