@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, lean, ship
+from .common import drop_stash, id_type, lean, ship, stash
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
@@ -110,21 +110,47 @@ def fit_view(dense: np.ndarray, buckets: list[np.ndarray], y: np.ndarray, weight
     return View(w, v, float(bias), centre, scale)
 
 
+#: Held-out rows of each class that a calibration needs, and the least rise of log-odds over one deviation of a score.
+LEAST_HELD, LEAST_RISE = 5, 0.05
+
+
 def calibrate(view: View, raw: np.ndarray, y: np.ndarray) -> None:
-    """Sets slope and shift to the logistic regression of y on the raw score, targets drawn in a little from 0 and 1."""
+    """Sets slope and shift to the logistic regression of y on the raw score, targets drawn in a little from 0 and 1.
+
+    Newton steps are halved until the loss falls, so that separable rows end at a finite line too. With few rows of a class
+    the raw score is kept and only shifted by the log-odds of the labels. The slope is positive whatever the rows say: a
+    score that does not rise with quality is flattened, its order is kept.
+    """
     good, bad = float(y.sum()), float(len(y) - y.sum())
+    prior = float(np.log((good + 1) / (bad + 1)))
+    centre, spread = float(raw.mean()), float(raw.std())
+    if min(good, bad) < LEAST_HELD or spread < 1e-9:
+        view.slope, view.shift = 1.0, prior
+        return
+    x = (raw - centre) / spread
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * raw + b)
-        g = p - target
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * raw * raw).sum() + 1e-3, (s * raw).sum()], [(s * raw).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(g * raw).sum() + 1e-3 * (a - 1), g.sum()])
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+
+    def loss(line: np.ndarray) -> float:
+        z = line[0] * x + line[1]
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    line = np.array([0.0, prior])
+    best = loss(line)
+    for _ in range(100):
+        p = _sigmoid(line[0] * x + line[1])
+        g, s = p - target, p * (1 - p)
+        gradient = np.array([(g * x).sum(), g.sum()])
+        step = np.linalg.solve(np.array([[(s * x * x).sum() + 1e-6, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]]), gradient)
+        scale = 1.0
+        while scale > 1e-8 and loss(line - scale * step) > best - 1e-4 * scale * float(gradient @ step):
+            scale /= 2
+        line = line - scale * step
+        now = loss(line)
+        if scale <= 1e-8 or best - now < 1e-10 * (1 + abs(best)):
             break
-    view.slope, view.shift = max(float(a), 0.0), float(b)
+        best = now
+    rise, shift = (float(line[0]), float(line[1])) if line[0] >= LEAST_RISE else (LEAST_RISE, prior)
+    view.slope, view.shift = rise / spread, shift - rise * centre / spread
 
 
 @dataclass
@@ -142,50 +168,50 @@ def _balance(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
 
 
-def co_train(text: tuple[np.ndarray, list], meta: tuple[np.ndarray, list], label: np.ndarray, rounds: int = 4, per_round: int = 200, confidence: float = 0.95) -> CoTrained | None:
-    """Learns from rows with a label (0, 1) and without one (-1), in the order given.
+@dataclass
+class Rows:
+    """Both views of some rows, with a label of each row for each view: 0, 1, or -1 for none."""
+
+    text: tuple[np.ndarray, list]
+    meta: tuple[np.ndarray, list]
+    for_text: np.ndarray
+    for_meta: np.ndarray
+
+    def part(self, name: str, at: np.ndarray) -> tuple[np.ndarray, list]:
+        dense, buckets = getattr(self, name)
+        return dense[at], [buckets[i] for i in at.tolist()]
 
-    A third of the labelled rows only calibrate. In each round each view is fitted, calibrated, and scores the rows
-    without a label; the per_round most confident of them (a share for each class as among the labels; confidence at
-    least) become pseudo-labels for the other view. None if a class is missing.
+    def joined(self, more: "Rows") -> "Rows":
+        return Rows(
+            *((np.concatenate([a[0], b[0]]), a[1] + b[1]) for a, b in ((self.text, more.text), (self.meta, more.meta))),
+            np.concatenate([self.for_text, more.for_text]),
+            np.concatenate([self.for_meta, more.for_meta]),
+        )
+
+
+def fit_pair(rows: Rows, n_labelled: int) -> CoTrained | None:
+    """Both views from rows, the first n_labelled with labels, the others with pseudo-labels that weigh half.
+
+    A third of the labelled rows only calibrate. None if a class is missing among the labels.
     """
-    known = np.flatnonzero(label >= 0)
-    if len(np.unique(label[known])) < 2:
+    known = np.arange(n_labelled)
+    label = rows.for_text[:n_labelled]
+    if len(np.unique(label)) < 2:
         return None
-    held = known[np.arange(len(known)) % 3 == 2]
-    learn = known[np.arange(len(known)) % 3 != 2]
+    held, learn = known[known % 3 == 2], known[known % 3 != 2]
     if len(np.unique(label[learn])) < 2 or len(np.unique(label[held])) < 2:
         held = learn = known
-    pool = np.flatnonzero(label < 0)
-    share = float(label[learn].mean())
-    views = {"text": (text, TEXT_BUCKETS), "meta": (meta, META_BUCKETS)}
-    given: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-    models: dict[str, View] = {}
-
-    def part(view: tuple[np.ndarray, list], at: np.ndarray) -> tuple[np.ndarray, list]:
-        return view[0][at], [view[1][i] for i in at.tolist()]
-
-    for turn in range(rounds + 1):
-        for name, (view, buckets) in views.items():
-            extra = np.array(sorted(given[name]), np.int64)
-            at = np.concatenate([learn, extra])
-            y = np.concatenate([label[learn], [given[name][i] for i in extra.tolist()]]).astype(float)
-            weight = _balance(y) * np.where(np.arange(len(at)) < len(learn), 1.0, 0.5)
-            models[name] = fit_view(*part(view, at), y, weight, buckets)
-            calibrate(models[name], models[name].raw(*part(view, held)), label[held].astype(float))
-        if turn == rounds or not len(pool):
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            free = np.array([i for i in pool.tolist() if i not in given[other]], np.int64)
-            if not len(free):
-                continue
-            p = _sigmoid(models[name].logit(*part(views[name][0], free)))
-            order = np.argsort(p, kind="stable")
-            bad, good = max(1, round(per_round * (1 - share))), max(1, round(per_round * share))
-            given[other].update((int(free[i]), 0) for i in order[:bad] if p[i] <= 1 - confidence)
-            given[other].update((int(free[i]), 1) for i in order[::-1][:good] if p[i] >= confidence)
+    views = {}
+    for name, n_buckets in (("text", TEXT_BUCKETS), ("meta", META_BUCKETS)):
+        given = getattr(rows, f"for_{name}")
+        extra = n_labelled + np.flatnonzero(given[n_labelled:] >= 0)
+        at = np.concatenate([learn, extra])
+        y = given[at].astype(float)
+        weight = _balance(y) * np.where(at < n_labelled, 1.0, 0.5)
+        views[name] = fit_view(*rows.part(name, at), y, weight, n_buckets)
+        calibrate(views[name], views[name].raw(*rows.part(name, held)), label[held].astype(float))
     base = float(np.clip(label[held].mean(), 0.01, 0.99))
-    return CoTrained(models["text"], models["meta"], float(np.log(base / (1 - base))))
+    return CoTrained(views["text"], views["meta"], float(np.log(base / (1 - base))))
 
 
 def _views(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
@@ -204,6 +230,10 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
     )
 
 
+#: Width of the classes of log-odds by which the most confident rows are found.
+STEP = 0.05
+
+
 def classify_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -214,59 +244,78 @@ def classify_quality(
     size_col: str = "n_chars",
     label_col: str = "quality",
     sample: int = 4000,
-    pool: int = 4000,
+    rounds: int = 3,
+    per_round: int = 200,
+    confidence: float = 0.95,
     threshold: float = 0.5,
     carry: bool = False,
-    **options,
 ) -> DataFrame:
     """Scores every document with two co-trained views: its text, and its metadata (language, source, length).
 
-    The views learn from at most sample labelled rows and pool rows without a label, even draws by the hash of the id;
-    every row is scored on its whole text. Returns (id_col, text_score, meta_score, score double, kept boolean), a row
-    for each row of docs: calibrated probabilities of good quality, and score >= threshold.
-
-    Labels other than 0 and 1 and null labels count as none; of several labels of an id the least counts. Null texts are
-    empty, null metadata is a value of its own. Without labels of both classes all scores are null and all rows kept.
-    Repeated rows give repeated results; other columns are ignored; empty input gives no rows. With carry there is one
-    more column, carried, a struct of the whole row: a filter needs no join to come back to its rows.
+    The views learn from at most sample labelled rows, an even draw by the hash of the id. In each round both views score
+    all rows without a label; of each view, the per_round most confident different texts (a share for each class as among
+    the labels, confidence at least) become pseudo-labels for the other view. Every row is scored on its whole text at the
+    end. Returns (id_col, text_score, meta_score, score double, kept boolean), a row for each row of docs: calibrated
+    probabilities of good quality, and score >= threshold.
+
+    Labels other than 0 and 1 and null labels count as none; of several labels of an id the least counts, and of several
+    rows of a labelled id the text of least hash. Rows with a null id are scored but not learnt from. Null texts are empty,
+    null metadata is a value of its own; texts of any length are read whole, a slice of them at a time. Equally confident
+    texts are ordered by their hash. Without labels of both classes all scores are null and all rows kept. Repeated rows
+    give repeated results; other columns are ignored; empty input gives no rows. With carry there is one more column,
+    carried, a struct of the whole row: a filter needs no join to come back to its rows.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = id_type(docs, id_col)
     picked = _picked(docs, id_col, text_col, lang_col, source_col, size_col)
+    hashed = picked.where(F.col("id").isNotNull()).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.min(label_col).cast("int").alias("label"))
 
-    def lowest(ids: DataFrame, column: str, most: int) -> DataFrame:
-        """At most so many different ids, those of least hash; a number of rows that the parameter bounds."""
-        return ids.select(F.col(column).alias("lid")).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64("lid"), "lid").limit(most)
-
-    ids = picked.select("id")
-    chosen = lowest(known.join(ids, known["lid"] == ids["id"], "left_semi"), "lid", sample).join(known, "lid")
-    free = lowest(ids.join(known, ids["id"] == known["lid"], "left_anti"), "id", pool).withColumn("label", F.lit(-1))
-    wanted = F.broadcast(chosen.unionByName(free))  # sample + pool rows
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                (td, tb), (md, mb) = _views(part)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"), pa.array(list(td), pa.list_(pa.float64())), pa.array(tb, pa.list_(pa.int32())), pa.array(list(md), pa.list_(pa.float64())), pa.array(mb, pa.list_(pa.int32()))],
-                    names=["id", "label", "td", "tb", "md", "mb"],
-                )
-
-    drawn = picked.join(wanted, picked["id"] == wanted["lid"]).drop("lid")
-    fields = f"id {kind}, label int, td array<double>, tb array<int>, md array<double>, mb array<int>"
-    rows = drawn.mapInArrow(lean(extract), fields).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toArrow()  # sample + pool rows at most
-
-    def dense(column: str, width: int) -> np.ndarray:
-        return np.array(rows.column(column).to_pylist(), float).reshape(-1, width)
-
-    def sparse(column: str) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in rows.column(column).to_pylist()]
-
-    label = rows.column("label").to_numpy()
-    model = co_train((dense("td", TEXT_DENSE), sparse("tb")), (dense("md", META_DENSE), sparse("mb")), label, **options) if len(label) else None
+    def features(wanted: DataFrame, on: list[str]) -> pa.Table:
+        """Both views of the rows that wanted names, a few thousand at most; one row for each id, in an even order."""
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in slices(batch.column("text")):
+                    part = batch.slice(a, b - a)
+                    (td, tb), (md, mb) = _views(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in ("id", "h", "for_text", "for_meta")), pa.array(list(td), pa.list_(pa.float64())), pa.array(tb, pa.list_(pa.int32())), pa.array(list(md), pa.list_(pa.float64())), pa.array(mb, pa.list_(pa.int32()))],
+                        names=["id", "h", "for_text", "for_meta", "td", "tb", "md", "mb"],
+                    )
+
+        drawn = hashed.join(F.broadcast(wanted.withColumnsRenamed({c: f"_{c}" for c in on})), [hashed[c] == F.col(f"_{c}") for c in on]).drop(*(f"_{c}" for c in on))
+        rows = drawn.mapInArrow(lean(extract), f"id {kind}, h bigint, for_text int, for_meta int, td array<double>, tb array<int>, md array<double>, mb array<int>")
+        least = rows.groupBy("id").agg(F.min(F.struct("h", "for_text", "for_meta", "td", "tb", "md", "mb")).alias("r"))
+        return least.select("id", "r.*").orderBy(F.xxhash64("id"), "id").toArrow()
+
+    def as_rows(found: pa.Table) -> Rows:
+        def view(dense: str, sparse: str, width: int) -> tuple[np.ndarray, list]:
+            return np.array(found[dense].to_pylist(), float).reshape(-1, width), [np.array(x, np.int32) for x in found[sparse].to_pylist()]
+
+        return Rows(view("td", "tb", TEXT_DENSE), view("md", "mb", META_DENSE), found["for_text"].to_numpy(), found["for_meta"].to_numpy())
+
+    matched = stash(known.join(hashed.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), "labels", narrow=True)
+    share = (1.25 * sample + 64) / max(1, matched.count())
+    drawn = matched if share >= 1 else matched.where(F.xxhash64("lid") < int((2 * share - 1) * 2**63))  # so that one task sorts what sample bounds
+    chosen = drawn.orderBy(F.xxhash64("lid"), "lid").limit(sample).select(F.col("lid").alias("id"), F.col("label").alias("for_text"), F.col("label").alias("for_meta"))
+    rows = as_rows(features(chosen, ["id"]))
+    n_labelled = len(rows.for_text)
+    model = fit_pair(rows, n_labelled) if n_labelled else None
+    limit = float(np.log(confidence / (1 - confidence)))
+    share_good = float(rows.for_text[:n_labelled].mean()) if n_labelled else 0.0
+    used: dict[str, set[int]] = {"text": set(), "meta": set()}
+    for _ in range(rounds if model else 0):
+        found = _most_confident(hashed, known, model, used, kind, limit, {1: max(1, round(per_round * share_good)), 0: max(1, round(per_round * (1 - share_good)))})
+        if not found:
+            break
+        for name in used:
+            used[name].update(h for (_, h), given in found.items() if name in given)
+        wanted = spark.createDataFrame([(i, h, given.get("text", -1), given.get("meta", -1)) for (i, h), given in found.items()], f"id {kind}, h bigint, for_text int, for_meta int")
+        rows = rows.joined(as_rows(features(wanted, ["id", "h"])))
+        model = fit_pair(rows, n_labelled)
+    drop_stash(matched)
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,3 +335,41 @@ def classify_quality(
     rows_in = _picked(docs, id_col, text_col, lang_col, source_col, size_col, carry)
     row = f", carried {docs.schema.simpleString()}" if carry else ""
     return rows_in.mapInArrow(lean(score), f"id {kind}, text_score double, meta_score double, score double, kept boolean{row}").withColumnRenamed("id", id_col)
+
+
+def _most_confident(hashed: DataFrame, known: DataFrame, model: CoTrained, used: dict[str, set[int]], kind: str, limit: float, most: dict[int, int]) -> dict[tuple, dict[str, int]]:
+    """For each view and class the different texts without a label that the other view is surest of, most[class] at most:
+    {(id, hash of the text): {view to teach: class}}. Rows are scored where they lie; only sure ones are moved, equal
+    texts are merged, and a histogram of the log-odds tells which are worth ordering."""
+    sent = hashed.sparkSession.sparkContext.broadcast((model, {k: np.array(sorted(v), np.int64) for k, v in used.items()}))
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, done = sent.value
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                text, meta = _views(part)
+                h = part.column("h").to_numpy()
+                for teach, z in (("meta", m.text.logit(*text)), ("text", m.meta.logit(*meta))):
+                    at = np.flatnonzero((np.abs(z) >= limit) & ~np.isin(h, done[teach]))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(h[at]), pa.array([teach] * len(at), pa.string()), pa.array(z[at])], names=["id", "h", "teach", "z"])
+
+    rows = hashed.mapInArrow(lean(sure), f"id {kind}, h bigint, teach string, z double")
+    rows = rows.join(known, rows["id"] == known["lid"], "left_anti")
+    merged = rows.groupBy("teach", "h").agg(F.min(F.struct("id", "z")).alias("r"))
+    merged = stash(merged.select("teach", "h", "r.id", (F.col("r.z") > 0).cast("int").alias("y"), F.abs("r.z").alias("z")).withColumn("bin", F.floor(F.least("z", F.lit(30.0)) / STEP)), "sure", narrow=True)
+    counts: dict[tuple[str, int], list] = {}
+    for r in merged.groupBy("teach", "y", "bin").agg(F.count(F.lit(1)).alias("n")).collect():  # a few hundred classes
+        counts.setdefault((r["teach"], r["y"]), []).append((r["bin"], r["n"]))
+    out: dict[tuple, dict[str, int]] = {}
+    for (teach, y), bins in sorted(counts.items()):
+        total, low = 0, 0
+        for low, n in sorted(bins, reverse=True):
+            total += n
+            if total >= most[y]:
+                break
+        best = merged.where((F.col("teach") == teach) & (F.col("y") == y) & (F.col("bin") >= low)).orderBy(F.desc("z"), F.xxhash64("h"), "h").limit(most[y])
+        for r in best.select("id", "h").collect():
+            out.setdefault((r["id"], r["h"]), {})[teach] = y
+    drop_stash(merged)
+    return out

@@ -119,27 +119,75 @@ def test_components(spark):
 
 def test_co_training(spark, sf, odd, none):
     rows = {r.doc_id: r for r in queries.op2_co_training_quality(spark, sf).collect()}
-    labels = dict(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall())
     assert len(rows) == duckdb.sql(f"select count(*) n from '{sf}/documents.parquet'").fetchall()[0][0]
-    right = sum(rows[i].kept == (q == 1) for i, q in labels.items() if i in rows)
-    assert right >= 0.85 * len(labels)
     some = table(spark, sf, "labels")
     got = cotrain.classify_quality(odd, some, carry=True)
     assert got.count() == len(ODD) and got.select("carried.*").columns == odd.columns
     empty = cotrain.classify_quality(odd, some.limit(0)).collect()
     assert all(r.kept and r.score is None for r in empty)
     assert cotrain.classify_quality(none, some).count() == 0
+    strange = spark.createDataFrame([(4, 0), (4, 1), (5, None), (6, 2), (9, 1), (10, 1), (None, 1)], "doc_id long, quality int")
+    rows = {r.doc_id: r.score for r in cotrain.classify_quality(odd, strange).collect()}
+    assert rows[4] < min(rows[9], rows[10]) and len(rows) == len({r[0] for r in ODD})
 
 
-def test_co_training_rounds_use_the_pool():
-    rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 600)
-    a, b = y[:, None] * 3 + rng.normal(size=(600, 2)), y[:, None] * 2 + rng.normal(size=(600, 3))
-    none = [np.zeros(0, np.int32)] * 600
-    label = np.where(np.arange(600) < 60, y, -1)
-    model = cotrain.co_train((a, none), (b, none), label)
-    p = model.score((a, none), (b, none))
-    assert ((p > 0.5) == y).mean() > 0.95 and 0 <= p.min() and p.max() <= 1
+def _auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score))
+    good = y > 0
+    return (rank[good].mean() - (good.sum() - 1) / 2) / (~good).sum()
+
+
+@pytest.mark.parametrize("split", range(4))
+def test_co_training_on_labels_held_out(spark, split):
+    path = "/root/testdata/sf0.01"
+    labels = table(spark, path, "labels")
+    half = F.crc32(F.concat(F.lit(f"{split}-"), F.col("doc_id").cast("string"))) % 2 == 0
+    got = {r.doc_id: r.score for r in cotrain.classify_quality(table(spark, path, "documents"), labels.where(half)).collect()}
+    held = [(got[r.doc_id], r.quality) for r in labels.where(~half).collect() if r.doc_id in got]
+    score, y = np.array([s for s, _ in held]), np.array([q for _, q in held])
+    assert ((score >= 0.5) == (y > 0)).mean() > max(y.mean(), 1 - y.mean()) and _auc(score, y) >= 0.9
+    assert len(np.unique(score.round(6))) > 0.5 * len(score)
+
+
+@pytest.mark.parametrize("case", ["separable", "tiny", "reversed", "flat"])
+def test_calibration_is_a_finite_rising_line(case):
+    rng = np.random.default_rng(0)
+    y = (np.arange(90) % 6 > 0).astype(float)
+    raw = {"separable": y * 50 - 20, "tiny": rng.normal(size=90) + 9e4, "reversed": -y + rng.normal(size=90) * 0.1, "flat": np.zeros(90)}[case]
+    if case == "tiny":
+        raw, y = raw[:7], y[:7]
+    view = cotrain.View(np.zeros(1), np.zeros(1), 0.0, np.zeros(1), np.ones(1))
+    cotrain.calibrate(view, raw, y)
+    z = raw * view.slope + view.shift
+    assert 0 < view.slope < np.inf and np.isfinite(view.shift)
+    if case != "tiny":
+        assert np.abs(z).max() < 6 and abs(cotrain._sigmoid(z).mean() - y.mean()) < 0.1
+
+
+def test_pseudo_labels_teach_the_other_view(spark):
+    """Only the texts tell quality among the labels; among the rest the source follows it, which the metadata view can
+    learn from pseudo-labels alone. Copies of one text count once."""
+    rng = random.Random(4)
+    good, bad = ["river", "stone", "meadow", "light", "evening"], ["buy", "cheap", "click", "winner", "casino"]
+    rows, labels = [], []
+    for i in range(900):
+        y = i % 2
+        text = " ".join(rng.choice(good if y else bad) for _ in range(40))
+        labelled = i < 90
+        rows.append((i, text, "en", "web" if labelled else "press" if y else "spam", 200))
+        if labelled:
+            labels.append((i, y))
+    rows += [(10_000 + i, "river stone meadow light evening " * 8, "en", "copies", 200) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    one = {r.doc_id: r.meta_score for r in cotrain.classify_quality(docs, given, rounds=0, confidence=0.8).collect()}
+    more = {r.doc_id: r.meta_score for r in cotrain.classify_quality(docs, given, rounds=2, confidence=0.8).collect()}
+    rest = range(100, 900)
+    y = np.array([i % 2 for i in rest])
+    assert abs(_auc(np.array([one[i] for i in rest]), y) - 0.5) < 0.1
+    assert _auc(np.array([more[i] for i in rest]), y) > 0.9
 
 
 def test_language(spark, sf, odd, none):
