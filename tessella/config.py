@@ -17,6 +17,18 @@ TILE_CONFIG = "Coordinates in TileConfiguration.txt file"
 VECTRA = "Vectra tiles with metadata"
 
 
+@dataclass(frozen=True)
+class Preferences:
+    """What a form starts from (S14): fixed values, texts as they are typed."""
+
+    folder_location: str = "C:/"
+    image_pixel_size_um: str = "7.2"
+    downsample: str = "1"
+    search_string: str = "20x"
+    compression_type: str = "J2K"
+    stitching_method: str = TILE_CONFIG
+
+
 @dataclass(frozen=True)
 class StitchConfig:
     """What to stitch, and how. Nothing is checked here: a null format and unknown names are only refused where used.

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 EDGES = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
 
 
+def java_int(x: Column) -> Column:
+    """The low 32 bits of a long, as an int: what narrowing does, without an error."""
+    return F.shiftright(F.shiftleft(x.cast("bigint"), 32), 32).cast("int")
+
+
 def java_round(x: Column) -> Column:
-    """Half up towards positive infinity, as an int; exact next to .5, and defined by saturation beyond the int range
-    for finite numbers (the cast fails there under ANSI; callers bound their input)."""
-    return F.when(x - F.floor(x) >= F.lit(0.5), F.ceil(x)).otherwise(F.floor(x)).cast("int")
+    """Half up towards positive infinity, exact next to .5: to a long, which is 0 for NaN and ends at its range, and then
+    to its low 32 bits as an int."""
+    return java_int(F.when(F.isnan(x), F.lit(0).cast("bigint")).when(x - F.floor(x) >= F.lit(0.5), F.ceil(x)).otherwise(F.floor(x)))
 
 
 def java_trim(s: Column) -> Column:
@@ -38,8 +43,8 @@ def clamp(x: Column, low: Column, high: Column) -> Column:
 
 
 def level_size(size: Column, downsample: Column) -> Column:
-    """Size of a pyramid level: truncated."""
-    return (size / downsample).cast("int")
+    """Size of a pyramid level: truncated (P11), and at the int range's end beyond it."""
+    return clamp(size / downsample, F.lit(-2147483648.0), F.lit(2147483647.0)).cast("int")
 
 
 def level_tiles(size: Column, edge: int = 1024) -> Column:

@@ -55,10 +55,6 @@ def server_type(kind: Column, is_rgb: Column, n_channels: Column) -> Column:
     return F.when(is_wrapped(is_rgb, n_channels), F.concat(kind, F.lit(WHITE_LABEL))).otherwise(kind)
 
 
-def is_black(bands: Column) -> Column:
-    return F.forall(bands, lambda b: b == 0)
-
-
 def white_value(max_value: Column, pixel_type: Column) -> Column:
     """The metadata's maximum, else the type's upper bound, else 255 (P10)."""
     bound = F.when(pixel_type == "uint8", 255.0).when(pixel_type == "int8", 127.0).when(pixel_type == "uint16", 65535.0).when(pixel_type == "int16", 32767.0)

@@ -9,13 +9,14 @@ from ..functions.numeric import level_size, level_tiles
 
 
 def group_bounds(tiles: DataFrame) -> DataFrame:
-    """(subdir, n, x0, y0, width, height): one pass, partial sums before the shuffle."""
+    """(subdir, n, x0, y0 int, width, height long): one pass, partial sums before the shuffle. Sizes are longs, so that
+    tiles at both ends of the int range do not fail."""
     return tiles.groupBy("subdir").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("x").alias("x0"),
         F.min("y").alias("y0"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("width"),
-        (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("height"),
+        (F.max(F.col("x").cast("bigint") + F.col("w")) - F.min("x")).alias("width"),
+        (F.max(F.col("y").cast("bigint") + F.col("h")) - F.min("y")).alias("height"),
     )
 
 
@@ -37,12 +38,12 @@ def level_tile_counts(bounds: DataFrame, downsamples: list[float], channels: int
     return found.select("subdir", "level", (across * down * F.lit(channels * planes)).cast("bigint").alias("tiles"))
 
 
-def pyramid_levels(base: float, width: int, height: int, edge: int, step: int) -> list[float]:
-    """Downsamples from base on, each step times the one before, until a level fits into one tile."""
-    out = [float(base)]
-    while max(width, height) / out[-1] > edge:
-        out.append(out[-1] * step)
-    return out
+def level_depth(width: int, height: int, edge: int, step: int, fixed: int | None = None) -> int:
+    """How many levels, each step times smaller than the one before, until one fits into edge; or the fixed number."""
+    n, size = 1, max(width, height)
+    while size > edge:
+        n, size = n + 1, -(-size // step)
+    return fixed or n
 
 
 def run_status(outputs: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import java_round, java_trim, try_double
+from ..functions.numeric import java_int, java_round, java_trim, try_double
 from ..functions.text import matches_group, named_coordinates, split_dropping_trailing
 
-TILE_COLUMNS = ("path", "file_name", "subdir", "x", "y", "w", "h", "z", "t")
+TILE_COLUMNS = ("path", "file_name", "subdir", "x", "y", "w", "h", "z", "t", "bands", "bits", "rgb", "max_value", "channels")
 
 
 def _check(pixel_size_um: float) -> None:
@@ -17,7 +17,7 @@ def _check(pixel_size_um: float) -> None:
 
 
 def _tiles(df: DataFrame) -> DataFrame:
-    """The tile relation; planes are always 0 (M2)."""
+    """The tile relation; planes are always 0 (M2). What headers say of pixels goes with it, where it is known."""
     found = df.withColumns({"z": F.lit(0), "t": F.lit(0)})
     return found.select(*[c for c in TILE_COLUMNS if c in found.columns])
 
@@ -115,9 +115,10 @@ def root_or_subdirs(in_root: DataFrame, in_groups: DataFrame, root_has_config: b
 
 def translate_origin(tiles: DataFrame) -> DataFrame:
     """Coordinates from each group's least ones (P5). Minima are counted before the shuffle and joined back: a group may
-    be a third of all tiles, so that they are not gathered in a window."""
+    be a third of all tiles, so that they are not gathered in a window. Differences beyond an int wrap, as the reference's."""
     least = tiles.groupBy("subdir").agg(F.min("x").alias("_x"), F.min("y").alias("_y"))
-    return tiles.join(least, "subdir").withColumns({"x": F.col("x") - F.col("_x"), "y": F.col("y") - F.col("_y")}).drop("_x", "_y")
+    moved = {c: java_int(F.col(c).cast("bigint") - F.col(f"_{c}")) for c in ("x", "y")}
+    return tiles.join(least, "subdir").withColumns(moved).drop("_x", "_y")
 
 
 def unique_places(names: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -134,3 +135,24 @@ def unique_places(names: DataFrame, by: list[str], order: list[str]) -> DataFram
     for c in by:
         same &= local[c].eqNullSafe(before[f"_{c}"])
     return local.join(before, same).select(*names.columns, (F.col("place") + F.col("_before")).cast("int").alias("place"))
+
+
+def free_numbers(names: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """names and number: 1 for the first row of each base, which keeps its plain name, and for each further row the next
+    number from 2 on whose name, base_number, is not itself a base here (K6, K7, J7). So no two rows share a name:
+    existing files are rows that come first in the order.
+
+    A base that reads prefix_n takes n from that prefix. The i-th least number taken, less i - 1, is the place from which
+    it pushes others up, so that ranking places and these thresholds together counts the numbers to be passed over.
+    """
+    placed = unique_places(names, [base], order)
+    bases = names.select(F.col(base).alias("_b")).distinct()
+    taken = bases.select(F.regexp_extract("_b", "^(.*)_([1-9][0-9]*)$", 1).alias("_p"), F.regexp_extract("_b", "^(.*)_([1-9][0-9]*)$", 2).try_cast("bigint").alias("_n"))
+    taken = taken.where("_n >= 2").join(bases.withColumnRenamed("_b", "_p"), "_p", "left_semi")
+    steps = unique_places(taken, ["_p"], ["_n"]).select(F.col("_p").alias("_b"), (F.col("_n") - F.col("place") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_n").alias("_tie"))
+    held = taken.select(F.col("_p").alias("_b")).distinct()  # other bases have nothing to pass over
+    places = placed.where("place > 1").select(F.col(base).alias("_b"), F.col("place").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_tie"))
+    ranked = unique_places(steps.unionByName(places.join(held, "_b", "left_semi")), ["_b"], ["_at", "_kind", "_tie"])
+    moved = ranked.where("_kind = 1").select("_b", F.col("_at").alias("_place"), (F.col("place") + 1).alias("number"))
+    found = placed.join(moved, placed[base].eqNullSafe(moved["_b"]) & (placed["place"] == moved["_place"]), "left")
+    return found.select(*names.columns, F.coalesce(F.col("number"), F.col("place")).cast("int").alias("number"))

@@ -4,82 +4,170 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import OutputFormat, StitchConfig
-from ..functions.text import TIFF_CODECS, zarr_codec
+from ..functions.text import TIFF_CODECS, numbered_name, output_base, output_name, zarr_codec
 from ..operators import raster
-from ..operators.mosaic import group_bounds, pyramid_levels
-from ..operators.placement import translate_origin
+from ..operators.mosaic import group_bounds, level_depth
+from ..operators.placement import free_numbers, translate_origin
+from ..runtime import Scratch, ship, stash
 from ..sinks import store, tiff, zarr
 from .strategies import strategy
 
 log = logging.getLogger(__name__)
 OUTPUT = "subdir string, n_tiles bigint, status string, path string, error string"
+#: Levels of an array whose base downsample is not 1.
+BASE_LEVELS = 4
 
 
 def place(spark: SparkSession, cfg: StitchConfig) -> DataFrame:
+    ship(spark)
     return strategy(cfg.stitching_type)(spark, cfg)
 
 
-def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 512, fill_background: bool = True) -> DataFrame:
+def _with_levels(groups: DataFrame, base: float, edge: int, step: int, fixed: int | None) -> DataFrame:
+    """Adds heights and widths of each group's levels; a level has a pixel for each block that begins in the image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes: list[list[list[int]]] = [[], []]
+            for h, w in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True):
+                h, w = (int((n - 1) // base) + 1 if n > 0 else 0 for n in (h, w))
+                depth = level_depth(w, h, edge, step, fixed)
+                for out, n in zip(sizes, (h, w), strict=True):
+                    out.append([-(-n // step**k) for k in range(depth)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int64())) for x in sizes)], names=[*batch.schema.names, "heights", "widths"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema)
+    return groups.mapInArrow(run, f"{fields}, heights array<bigint>, widths array<bigint>")
+
+
+def _with_paths(groups: DataFrame, cfg: StitchConfig, extension: str) -> DataFrame:
+    """Adds each group's path: its name, or the next number that neither a file that is there nor another group has."""
+    spark, folder = groups.sparkSession, cfg.output_path.rstrip("/")
+    there = [n[: -len(extension) - 1] for n in store.names(folder) if n.endswith(f".{extension}")]
+    file = output_name(output_base(F.col("subdir"), cfg.output_filename), F.lit(float(cfg.base_downsample)), extension)
+    mine = groups.select("subdir", F.regexp_replace(file, f"\\.{extension.replace('.', chr(92) + '.')}$", "").alias("title"), F.lit(1).alias("new"))
+    known = spark.createDataFrame([(None, n, 0) for n in there], "subdir string, title string, new int")
+    numbered = free_numbers(mine.unionByName(known), "title", ["new", "subdir", "title"]).where("new = 1")
+    named = numbered.select("subdir", F.concat(F.lit(f"{folder}/"), numbered_name(F.col("title"), F.col("number"), extension)).alias("path"))
+    return groups.join(named, "subdir")
+
+
+def _few(images: DataFrame, n: int) -> DataFrame:
+    """A table of one row a group, n rows, sent to all tasks if its size is known to be small."""
+    return F.broadcast(images) if n <= 100_000 else images
+
+
+def _finish(images: DataFrame, chunk: int, codec: str | None, scales: list[float], pixel_size_um: float, z_spacing_um: float) -> DataFrame:
+    """Writes the metadata of arrays whose chunks are there and gives them their names; takes the others away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                error = r["error"]
+                try:
+                    if error is None:
+                        if not store.exists(r["path"]):  # a task that runs again has done this
+                            levels = list(zip(r["heights"], r["widths"], strict=True))
+                            zarr.write_metadata(r["folder"], levels, chunk, r["bands"], r["dtype"], codec, scales[: len(levels)], pixel_size_um, z_spacing_um)
+                            store.move(r["folder"], r["path"])
+                    else:
+                        store.remove(r["folder"])
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((r["subdir"], error))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())], names=["subdir", "error"])
+
+    return images.mapInArrow(run, "subdir string, error string")
+
+
+def level_zero(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, fill_background: bool = True) -> DataFrame:
+    """The composed image of every group in chunks, at full size and without writing it: what region reads and thumbnails
+    work on (E4, E5). Groups that cannot be composed are left out."""
+    tiles = place(spark, cfg)
+    images = group_bounds(tiles).join(raster.group_shapes(tiles, fill_background), "subdir").where("error is null")
+    return _composed(tiles, images, chunk)
+
+
+def _composed(tiles: DataFrame, images: DataFrame, chunk: int) -> DataFrame:
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = translate_origin(tiles).join(images.select("subdir"), "subdir", "left_semi").repartition(tasks, "path")  # rows are small, files are not
+    return raster.compose(raster.cut_tiles(cut, chunk), images, chunk)
+
+
+def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 512, fill_background: bool = True, progress: Callable[[float], None] | None = None, max_chunks: int = 1 << 24) -> DataFrame:
     """Places, composes and writes every group; (subdir, n_tiles, status, path, error) ordered by subdir.
 
-    A colour image (three 8-bit bands) gets white where no tile lies, others 0. Levels are four times apart in TIFF, twice in
-    arrays, until one fits into a chunk; a base downsample of 2 and more is averaged once before. No tiles give no rows.
-    Without an output format it is TIFF. What a group cannot be written for is in its error; the others go on.
+    Gaps of a colour image are white, of others 0 (see group_shapes: each group is looked at by itself). The base downsample
+    is any number from 1 on: level 0 is the image made that many times smaller. Levels are four times apart in TIFF, twice in
+    arrays, until one fits into a chunk; arrays with a base downsample other than 1 have four. No tiles give no rows. Without
+    an output format it is TIFF.
+
+    What a group cannot be written for is in its error, and the others go on: unreadable or damaged files, tiles that differ
+    in bands, an extent of more than max_chunks chunks, a codec that is not at hand, a store that refuses. Outputs have
+    another name until they are complete. progress is told the share of steps done, after each.
     """
     began = time.monotonic()
-    tiles = place(spark, cfg).persist()
-    bounds = group_bounds(tiles)
-    known = {r["subdir"]: r for r in bounds.collect()}  # one row for each group
-    if not known:
-        return spark.createDataFrame([], OUTPUT)
-    is_tiff = cfg.output_format in (None, OutputFormat.OME_TIFF)
-    extension = "ome.tif" if is_tiff else "ome.zarr"
-    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(sorted({r[0] for r in tiles.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()})).select("path", "content")
-    pieces = raster.cut_tiles(translate_origin(tiles).join(contents, "path"), chunk)
-    shapes = {r["subdir"]: r for r in pieces.groupBy("subdir").agg(F.max("bands").alias("bands"), F.max("dtype").alias("dtype")).collect()}
-    colour = bool(shapes) and all(s["bands"] == 3 and s["dtype"] == "uint8" for s in shapes.values())
-    level = raster.compose(pieces, bounds, chunk, 255 if colour and fill_background else None).persist()
-    factor = 4 if is_tiff else 2
-    base = int(cfg.base_downsample)
-    if base > 1:
-        level = raster.next_level(level, chunk - chunk % base, base).withColumn("level", F.lit(0))
-    out, rows, levels = level, [], {}
-    for name, b in known.items():
-        sizes = [(-(-b["height"] // max(base, 1)), -(-b["width"] // max(base, 1)))]
-        for _ in pyramid_levels(1, sizes[0][1], sizes[0][0], chunk, factor)[1:]:
-            sizes.append((-(-sizes[-1][0] // factor), -(-sizes[-1][1] // factor)))
-        levels[name] = sizes
-    depth = max(len(s) for s in levels.values())
-    wanted = spark.createDataFrame([(n, len(s)) for n, s in levels.items()], "subdir string, depth int")
-    for _ in range(depth - 1):
-        level = raster.next_level(level, chunk, factor)
-        out = out.unionByName(level)
-    out = out.join(F.broadcast(wanted), "subdir").where("level < depth").drop("depth").withColumn("chunk", F.lit(chunk))
-    images, error = {}, None
-    for name in shapes:
-        title = f"{cfg.output_filename}_{name}" if cfg.output_filename and cfg.output_filename.strip() else name
-        title += f"_{int(cfg.base_downsample)}x_downsample" if cfg.base_downsample != 1 else ""
-        images[name] = {"path": store.unique_path(cfg.output_path.rstrip("/"), title, extension), "levels": levels[name], "bands": shapes[name]["bands"], "dtype": shapes[name]["dtype"]}
-    try:
-        if is_tiff:
-            if cfg.compression_type not in TIFF_CODECS or cfg.compression_type not in tiff.CODECS:
-                raise ValueError(f"no such compression here: {cfg.compression_type}")
-            tiff.write_files(tiff.encode_tiles(out, edge, cfg.compression_type), images, edge, cfg.compression_type, cfg.pixel_size_um)
+    if not cfg.base_downsample >= 1:
+        raise ValueError("the base downsample must be 1 at least")
+    base, is_tiff = float(cfg.base_downsample), cfg.output_format in (None, OutputFormat.OME_TIFF)
+    step, extension = (4, "ome.tif") if is_tiff else (2, "ome.zarr")
+    refused: Column = F.lit(None).cast("string")
+    if is_tiff and (cfg.compression_type not in TIFF_CODECS or cfg.compression_type not in tiff.CODECS):
+        refused = F.lit(f"no such compression here: {cfg.compression_type}")
+    codec = None if is_tiff else zarr.known_codec(spark.range(1).select(zarr_codec(F.lit(cfg.compression_type))).first()[0])
+    with Scratch(spark) as scratch:
+        tiles = scratch.stash(place(spark, cfg), "tiles")  # headers are read once
+        groups = group_bounds(tiles).join(raster.group_shapes(tiles, fill_background), "subdir")
+        big = F.ceil(F.col("width") / chunk).cast("double") * F.ceil(F.col("height") / chunk) > max_chunks
+        groups = groups.withColumn("error", F.coalesce("error", refused, F.when(big, F.format_string("an extent of %s by %s pixels", F.col("width").cast("string"), F.col("height").cast("string")))))
+        images = _with_paths(_with_levels(groups, base, chunk, step, None if is_tiff or base == 1 else BASE_LEVELS), cfg, extension)
+        images = scratch.stash(images.withColumn("folder", F.concat("path", F.lit(f".{uuid.uuid4().hex}.part"))), "images")
+        n, depth = images.agg(F.count(F.lit(1)), F.max(F.when(F.col("error").isNull(), F.size("heights")))).first()
+        good = images.where("error is null")
+        outcomes, encoded = [], []
+        level = None
+        for k in range(depth or 0):
+            if level is None:
+                level = scratch.stash(_composed(tiles, good, chunk), "level")
+                if base != 1:
+                    level = scratch.stash(raster.resample(level, chunk, base, 0), "level")
+            else:
+                deeper = good.where(F.size("heights") > k).select("subdir")
+                level = scratch.stash(raster.resample(level.join(_few(deeper, n), "subdir", "left_semi"), chunk, step, k), "level")
+            if is_tiff:
+                encoded.append(scratch.stash(tiff.encode_tiles(level, chunk, edge, cfg.compression_type), "encoded", "none"))
+            else:
+                outcomes.append(scratch.stash(zarr.write_chunks(level.join(_few(good.select("subdir", "folder"), n), "subdir"), chunk, codec), "written"))
+            if progress:
+                progress((k + 1) / (depth + 1))
+        if encoded:
+            whole = encoded[0]
+            for more in encoded[1:]:
+                whole = whole.unionByName(more)
+            done = tiff.write_files(whole, good.select("subdir", "path", "heights", "widths", "bands", "dtype"), edge, cfg.compression_type, cfg.pixel_size_um * base, step)
+        elif outcomes:
+            whole = outcomes[0]
+            for more in outcomes[1:]:
+                whole = whole.unionByName(more)
+            failed = whole.groupBy("subdir").agg(F.min("error").alias("error"))
+            ready = good.select("subdir", "path", "folder", "heights", "widths", "bands", "dtype").join(failed, "subdir")
+            done = _finish(ready, chunk, codec, [base * step**i for i in range(64)], cfg.pixel_size_um, cfg.z_spacing_um)
         else:
-            codec = spark.range(1).select(zarr_codec(F.lit(cfg.compression_type))).first()[0]
-            zarr.write_chunks(out, {n: i["path"] for n, i in images.items()}, chunk, codec)
-            for i in images.values():
-                zarr.write_metadata(i["path"], i["levels"], chunk, i["bands"], i["dtype"], codec, [max(1.0, cfg.base_downsample) * factor**k for k in range(len(i["levels"]))], cfg.pixel_size_um, cfg.z_spacing_um)
-    except ValueError as e:
-        error = str(e)
-    for name, b in sorted(known.items()):
-        why = error or (None if name in images else "no tile of this group could be read")
-        rows.append((name, b["n"], "failed" if why else "ok", None if why else images[name]["path"], why))
-    log.info("%d groups in %.1f s", len(rows), time.monotonic() - began)
-    tiles.unpersist()
-    return spark.createDataFrame(rows, OUTPUT).orderBy("subdir")
+            done = spark.createDataFrame([], "subdir string, error string")
+        done = scratch.stash(done.withColumnRenamed("error", "failed").withColumn("done", F.lit(True)), "done")
+        why = F.coalesce("error", "failed", F.when(F.col("done").isNull(), "nothing was written"))
+        found = images.join(done, "subdir", "left").select("subdir", F.col("n").alias("n_tiles"), F.when(why.isNull(), "ok").otherwise("failed").alias("status"), F.when(why.isNull(), F.col("path")).alias("path"), why.alias("error"))
+        result = stash(found, "outputs")
+    if progress:
+        progress(1.0)
+    log.info("%d groups in %.1f s", n, time.monotonic() - began)
+    return result.orderBy("subdir")

@@ -20,7 +20,7 @@ def by_name(spark: SparkSession, cfg: StitchConfig) -> DataFrame:
     files = C.tile_files(spark, cfg.folder_path)
     ok, _, _ = P.named_coordinates(F.col("file_name"))
     wanted = files.where(matches_group(F.col("subdir"), cfg.matching_string) & ok)
-    return P.place_by_name(C.with_headers(spark, wanted), cfg.pixel_size_um, cfg.matching_string)
+    return P.place_by_name(C.with_headers(wanted), cfg.pixel_size_um, cfg.matching_string)
 
 
 def by_config(spark: SparkSession, cfg: StitchConfig) -> DataFrame:
@@ -32,19 +32,30 @@ def by_config(spark: SparkSession, cfg: StitchConfig) -> DataFrame:
     lines = C.config_lines(spark, root, in_root=alone)
     positions = P.last_wins(P.keep_prefix(P.parse_config(lines, cfg.pixel_size_um, cfg.base_downsample)))
     known = files.join(positions.select(F.col("config_dir").alias("subdir"), F.col("image_name").alias("file_name")), ["subdir", "file_name"], "left_semi")
-    return P.place_by_config(C.with_headers(spark, known), positions)
+    return P.place_by_config(C.with_headers(known), positions)
 
 
 def by_tags(spark: SparkSession, cfg: StitchConfig) -> DataFrame:
     files = C.tile_files(spark, cfg.folder_path).where(matches_group(F.col("subdir"), cfg.matching_string))
-    return P.place_by_tags(C.with_headers(spark, files), cfg.x_fudge, cfg.y_fudge, cfg.matching_string)
+    return P.place_by_tags(C.with_headers(files), cfg.x_fudge, cfg.y_fudge, cfg.matching_string)
 
 
 #: Open to further strategies.
 STRATEGIES: dict[str, Strategy] = {FILE_NAME: by_name, TILE_CONFIG: by_config, VECTRA: by_tags}
 
 
+def discover(group: str = "tessella.strategies") -> list[str]:
+    """Adds the strategies that installed packages offer as entry points (E3); the names that were new."""
+    from importlib.metadata import entry_points
+
+    found = {e.name: e for e in entry_points(group=group) if e.name not in STRATEGIES}
+    STRATEGIES.update((name, e.load()) for name, e in found.items())
+    return sorted(found)
+
+
 def strategy(name: str) -> Strategy:
+    if name not in STRATEGIES:
+        discover()
     if name not in STRATEGIES:
         raise ValueError(f"no such strategy: {name}")
     return STRATEGIES[name]

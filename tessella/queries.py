@@ -8,15 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import FILE_NAME, OutputFormat, StitchConfig
 from .functions import numeric as N
 from .functions import text as X
 from .operators import coverage as C
 from .operators import mosaic as M
 from .operators import placement as P
 from .operators import pyramid as R
+from .operators import raster
+from .plans import api
+from .runtime import new_folder, ship
+from .sinks import store, zarr
+from .sources import tiff
 
 PIXEL, MATCH = 0.5, "i"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +51,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").where(F.col("value").isNotNull() & F.col("user_id").isNotNull())
     ext = F.when(F.col("event_id") % 10 == 0, ".png").when(F.col("event_id") % 3 == 0, ".ome.tif").otherwise(".tif")
-    name = F.concat(F.lit("tile_"), F.col("event_id").cast("string"), F.lit("["), F.floor(F.col("value") * 10).cast("bigint").cast("string"), F.lit(","), (F.col("user_id") * 13).cast("string"), F.lit("]"), ext)
+    micron = F.when(F.col("event_id") % 211 == 1, F.lit(2000000000) + F.col("event_id")).otherwise(F.floor(F.col("value") * 10)).cast("bigint")  # some lie beyond an int of pixels
+    name = F.concat(F.lit("tile_"), F.col("event_id").cast("string"), F.lit("["), micron.cast("string"), F.lit(","), (F.col("user_id") * 13).cast("string"), F.lit("]"), ext)
     files = e.select("event_id", F.col("event_type").alias("subdir"), name.alias("file_name"), (F.col("event_id") % 200).alias("k"))
     dims = _table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("w"), F.col("p_size").alias("h"))
     return files.join(dims, "k", "left").drop("k")
@@ -53,12 +62,20 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.place_by_name(tile_files(spark, sf_dir), PIXEL, MATCH)
 
 
+def _int(x: str) -> str:
+    """The low 32 bits of a long."""
+    return f"CAST(xor({x} & 4294967295, 2147483648) - 2147483648 AS INTEGER)"
+
+
 def _round(x: str) -> str:
-    return f"CAST(CASE WHEN {x} - floor({x}) >= 0.5 THEN ceil({x}) ELSE floor({x}) END AS INTEGER)"
+    """Half up, to a long that ends at its range and is 0 for NaN, then to its low 32 bits."""
+    near = f"CAST(CASE WHEN {x} - floor({x}) >= 0.5 THEN ceil({x}) ELSE floor({x}) END AS BIGINT)"
+    whole = f"CASE WHEN isnan({x}) THEN 0 WHEN {x} >= 9223372036854775807 THEN 9223372036854775807 WHEN {x} <= -9223372036854775808 THEN -9223372036854775808 ELSE {near} END"
+    return f"({_int(f'({whole})')})"
 
 
 FILES_SQL = """f AS (
-  SELECT event_id, event_type AS subdir, 'tile_' || event_id || '[' || CAST(floor(value * 10) AS BIGINT) || ',' || (user_id * 13) || ']' ||
+  SELECT event_id, event_type AS subdir, 'tile_' || event_id || '[' || CASE WHEN event_id % 211 = 1 THEN 2000000000 + event_id ELSE CAST(floor(value * 10) AS BIGINT) END || ',' || (user_id * 13) || ']' ||
     CASE WHEN event_id % 10 = 0 THEN '.png' WHEN event_id % 3 = 0 THEN '.ome.tif' ELSE '.tif' END AS file_name, p_size AS w, p_size AS h
   FROM events LEFT JOIN (SELECT * FROM part WHERE p_partkey < 200) ON event_id % 200 = p_partkey WHERE value IS NOT NULL AND user_id IS NOT NULL
 )"""
@@ -69,7 +86,7 @@ TILES_SQL = f"""{FILES_SQL}, n AS (
 ), t AS (
   SELECT file_name, subdir, {_round('dx')} AS x, {_round('dy')} AS y, w, h FROM n WHERE dx IS NOT NULL AND dy IS NOT NULL
 ), b AS (
-  SELECT subdir, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM t GROUP BY subdir
+  SELECT subdir, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x::BIGINT + w) - min(x) AS width, max(y::BIGINT + h) - min(y) AS height FROM t GROUP BY subdir
 )"""
 
 
@@ -91,7 +108,7 @@ def group_counts(spark, sf_dir):
     return M.group_counts(tiles(spark, sf_dir))
 
 
-@query(f"WITH {TILES_SQL} SELECT t.subdir, file_name, x - x0 AS x, y - y0 AS y, w, h FROM t JOIN b ON t.subdir = b.subdir")
+@query(f"WITH {TILES_SQL} SELECT t.subdir, file_name, {_int('(x::BIGINT - x0)')} AS x, {_int('(y::BIGINT - y0)')} AS y, w, h FROM t JOIN b ON t.subdir = b.subdir")
 def origin_translate(spark, sf_dir):
     """P5, A3."""
     return P.translate_origin(tiles(spark, sf_dir)).select("subdir", "file_name", "x", "y", "w", "h")
@@ -99,8 +116,8 @@ def origin_translate(spark, sf_dir):
 
 @query(
     f"""WITH {TILES_SQL} SELECT a.subdir, a.file_name AS fa, b.file_name AS fb,
-  CAST(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS BIGINT) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS area
-FROM t a JOIN t b ON a.subdir = b.subdir AND a.file_name < b.file_name AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"""
+  (least(a.x::BIGINT + a.w, b.x::BIGINT + b.w) - greatest(a.x, b.x)) * (least(a.y::BIGINT + a.h, b.y::BIGINT + b.h) - greatest(a.y, b.y)) AS area
+FROM t a JOIN t b ON a.subdir = b.subdir AND a.file_name < b.file_name AND a.x < b.x::BIGINT + b.w AND b.x < a.x::BIGINT + a.w AND a.y < b.y::BIGINT + b.h AND b.y < a.y::BIGINT + a.h"""
 )
 def overlap_pairs(spark, sf_dir):
     """J2, F11 between tiles."""
@@ -115,8 +132,8 @@ def _edge_sql(e: str, begin: int, size: int) -> str:
 
 
 @query(
-    f"""WITH {TILES_SQL} SELECT subdir, file_name, {_edge_sql('x', 100, 3000)} AS px1, {_edge_sql('y', 1000, 20000)} AS py1, {_edge_sql('x + w', 100, 3000)} AS px2, {_edge_sql('y + h', 1000, 20000)} AS py2
-FROM t WHERE x < 3100 AND x + w > 100 AND y < 21000 AND y + h > 1000"""
+    f"""WITH {TILES_SQL} SELECT subdir, file_name, {_edge_sql('x', 100, 3000)} AS px1, {_edge_sql('y', 1000, 20000)} AS py1, {_edge_sql('x::BIGINT + w', 100, 3000)} AS px2, {_edge_sql('y::BIGINT + h', 1000, 20000)} AS py2
+FROM t WHERE x < 3100 AND x::BIGINT + w > 100 AND y < 21000 AND y::BIGINT + h > 1000"""
 )
 def region_read(spark, sf_dir):
     """S10, F11, P9."""
@@ -124,7 +141,7 @@ def region_read(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TILES_SQL}, r AS (SELECT DISTINCT subdir, x, w, unnest(range(y, y + h)) AS py FROM t), s AS (
+    f"""WITH {TILES_SQL}, r AS (SELECT DISTINCT subdir, x::BIGINT AS x, w, unnest(range(y::BIGINT, y::BIGINT + h)) AS py FROM t), s AS (
   SELECT subdir, py, x, x + w AS e, max(x + w) OVER (PARTITION BY subdir, py ORDER BY x, x + w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
 SELECT subdir, CAST(sum(greatest(0, e - greatest(x, coalesce(before, x)))) AS BIGINT) AS covered_px FROM s GROUP BY subdir"""
 )
@@ -266,7 +283,7 @@ def parse_default(spark, sf_dir):
 # T3. Rationals of whole numbers from lineitem; some tags are missing.
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
-    res = P.rational(F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity").cast("bigint") * 100), F.lit(7))
+    res = P.rational(F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity").cast("bigint") * 100), F.when(F.col("l_orderkey") % 23 == 0, 0).otherwise(7))
     pos = P.rational(F.col("l_partkey"), F.col("l_linenumber") + 1)
     return li.select(F.concat(F.lit("scan"), (F.col("l_suppkey") % 3).cast("string")).alias("subdir"), F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("file_name"), res.alias("x_res"), res.alias("y_res"), pos.alias("x_pos"), (pos / 2).alias("y_pos"), F.when(F.col("l_orderkey") % 9 != 0, F.lit(64)).alias("w"), F.lit(32).alias("h"))
 
@@ -274,7 +291,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tags_sql(fx: float, fy: float) -> str:
     return f"""WITH h AS (
   SELECT 'scan' || (l_suppkey % 3) AS subdir, l_orderkey || '_' || l_linenumber || '_' || l_partkey AS file_name,
-    CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_quantity AS BIGINT) * 100 / 7::DOUBLE ELSE 0.0::DOUBLE END AS r, l_partkey / (l_linenumber + 1)::DOUBLE AS p FROM lineitem WHERE l_orderkey % 9 <> 0
+    CASE WHEN l_orderkey % 5 = 0 THEN 0.0::DOUBLE WHEN l_orderkey % 23 <> 0 THEN CAST(l_quantity AS BIGINT) * 100 / 7::DOUBLE WHEN CAST(l_quantity AS BIGINT) = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END AS r, l_partkey / (l_linenumber + 1)::DOUBLE AS p FROM lineitem WHERE l_orderkey % 9 <> 0
 ), d AS (SELECT *, r * {fx}::DOUBLE * p AS dx, r * {fy}::DOUBLE * (p / 2) AS dy FROM h WHERE contains(subdir, 'scan'))
 SELECT subdir, file_name, {_round('dx')} AS x, {_round('dy')} AS y, 64 AS w, 32 AS h FROM d"""
 
@@ -314,10 +331,10 @@ def pyramid_level(spark, sf_dir):
     return R.downsample(pixels(spark, sf_dir), 4)
 
 
-@query(f"WITH {PIXELS_SQL}, k AS (SELECT x, y FROM (SELECT CAST(unnest(range(200)) AS INTEGER) AS x) CROSS JOIN (SELECT CAST(unnest(range(640)) AS INTEGER) AS y)) SELECT k.x, k.y, coalesce(v, 255) AS v FROM k LEFT JOIN px ON k.x = px.px AND k.y = px.py")
+@query(f"WITH {PIXELS_SQL}, k AS (SELECT x, y FROM (SELECT CAST(unnest(range(200)) AS INTEGER) AS x) CROSS JOIN (SELECT CAST(unnest(range((max(vec_id) // 25 + 1) * 8)) AS INTEGER) AS y FROM embeddings)) SELECT k.x, k.y, coalesce(v, 255) AS v FROM k LEFT JOIN px ON k.x = px.px AND k.y = px.py")
 def white_fill(spark, sf_dir):
-    """J3, F16, P10. The canvas is as high as the SQL's, or higher where the pixels are."""
-    high = _table(spark, sf_dir, "embeddings").agg(F.expr("cast(greatest(640, (max(vec_id) div 25 + 1) * 8) as int)").alias("high"))
+    """J3, F16, P10. The canvas is as high as the pixels are."""
+    high = _table(spark, sf_dir, "embeddings").agg(F.expr("cast((max(vec_id) div 25 + 1) * 8 as int)").alias("high"))
     rows = high.select(F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"))
     canvas = rows.crossJoin(spark.range(200).select(F.col("id").cast("int").alias("x"))).select("x", "y")
     return C.fill_white(canvas, pixels(spark, sf_dir).select(F.col("px").alias("x"), F.col("py").alias("y"), "v"), 255, ["x", "y"])
@@ -385,15 +402,97 @@ def output_names(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || '.ome.tif' END AS nm FROM part WHERE p_partkey < 200),
-s AS (SELECT id, regexp_replace(nm, '\\.ome\\.tif$', '') AS base FROM n), r AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM s)
-SELECT id, CASE WHEN k = 1 THEN base || '.ome.tif' ELSE base || '_' || k || '.ome.tif' END AS file FROM r""".replace("\\\\", "\\")
+    r"""WITH n AS (SELECT p_partkey AS id, regexp_replace(CASE p_partkey % 7 WHEN 0 THEN p_brand || '_2' WHEN 1 THEN p_brand || '_' || (p_partkey % 90) WHEN 2 THEN p_brand || '.ome.tif' ELSE p_brand END, '\.ome\.tif$', '') AS base FROM part),
+r AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS place FROM n), d AS (SELECT DISTINCT base FROM n),
+t AS (SELECT regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 1) AS base, CAST(regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT) AS t FROM d WHERE regexp_matches(base, '^(.*)_([1-9][0-9]*)$')),
+u AS (SELECT base, t - row_number() OVER (PARTITION BY base ORDER BY t) + 1 AS at FROM t WHERE t >= 2 AND base IN (SELECT base FROM d)),
+k AS (SELECT r.id, r.base, r.place, count(u.at) AS passed FROM r LEFT JOIN u ON r.base = u.base AND u.at <= r.place GROUP BY ALL)
+SELECT id, CASE WHEN place = 1 THEN base ELSE base || '_' || (place + passed) END || '.ome.tif' AS file FROM k"""
 )
 def unique_names(spark, sf_dir):
-    """Names in a folder, so a window over one name's rows."""
-    n = _table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(".ome.tif"))).alias("nm"))
-    placed = P.unique_places(n.withColumn("base", F.regexp_replace("nm", "\\.ome\\.tif$", "")), ["base"], ["id"])
-    return placed.select("id", X.numbered_name(F.col("base"), F.col("place"), "ome.tif").alias("file"))
+    """Names in a folder, some of which read like numbered ones."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    name = F.when(k % 7 == 0, F.concat(brand, F.lit("_2"))).when(k % 7 == 1, F.concat(brand, F.lit("_"), (k % 90).cast("string"))).when(k % 7 == 2, F.concat(brand, F.lit(".ome.tif"))).otherwise(brand)
+    n = _table(spark, sf_dir, "part").select(k.alias("id"), F.regexp_replace(name, "\\.ome\\.tif$", "").alias("base"))
+    return P.free_numbers(n, "base", ["id"]).select("id", X.numbered_name(F.col("base"), F.col("number"), "ome.tif").alias("file"))
+
+
+def _image_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """T4 as files: an 8 by 8 TIFF for each block, in a folder for each label, named by its place in microns of half a pixel."""
+    e = _table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 0").select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("int")).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = r["vec_id"] % 25 * 4, r["vec_id"] // 25 * 4
+                store.write(f"{folder}/in/{r['label']}/b[{x},{y}].tif", tiff.encode(np.array(r["v"], np.uint16).reshape(8, 8)))
+            yield batch.select(["vec_id"])
+
+    e.mapInArrow(run, "vec_id bigint").write.format("noop").mode("overwrite").save()
+
+
+def _stitched(spark: SparkSession, sf_dir: str, kind: OutputFormat, codec: str, base: float, level: int) -> DataFrame:
+    """The whole job over T4's files, and a level of each pyramid read back: (label, x, y, v)."""
+    ship(spark)
+    folder = new_folder(spark, "stitched")
+    _image_files(spark, sf_dir, folder)
+    out = api.run(spark, StitchConfig(FILE_NAME, f"{folder}/in", f"{folder}/out", codec, 0.5, base, "", 1.0, output_format=kind), chunk=64, edge=32)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                pixels = zarr.read_level(r["path"], level) if kind is OutputFormat.OME_ZARR else tiff.read_image(r["path"], level)
+                h, w, _ = pixels.shape
+                y, x = np.divmod(np.arange(h * w), w)
+                yield pa.RecordBatch.from_arrays([pa.array([r["subdir"]] * (h * w)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(pixels[:, :, 0].ravel(), pa.int32())], names=["label", "x", "y", "v"])
+
+    return out.where("status = 'ok'").mapInArrow(run, "label string, x int, y int, v int")
+
+
+def _stitched_sql(base: float, step: int, level: int) -> str:
+    """Canvas of each label with gaps 0, then integer means of blocks, level by level."""
+    sql = f"""WITH {PIXELS_SQL}, bb AS (SELECT label, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM px GROUP BY label),
+l0 AS (SELECT k.label, CAST(floor(k.x / {base}::DOUBLE) AS INTEGER) AS x, CAST(floor(k.y / {base}::DOUBLE) AS INTEGER) AS y, CAST(sum(coalesce(v, 0)) // count(*) AS INTEGER) AS v
+  FROM (SELECT label, x0, y0, x, unnest(range(y1 - y0 + 1)) AS y FROM (SELECT *, unnest(range(x1 - x0 + 1)) AS x FROM bb)) k LEFT JOIN px ON px.label = k.label AND px.px = k.x + x0 AND px.py = k.y + y0 GROUP BY ALL)"""
+    for i in range(1, level + 1):
+        sql += f", l{i} AS (SELECT label, CAST(x // {step} AS INTEGER) AS x, CAST(y // {step} AS INTEGER) AS y, CAST(sum(v) // count(*) AS INTEGER) AS v FROM l{i - 1} GROUP BY ALL)"
+    return f"{sql} SELECT CAST(label AS VARCHAR) AS label, x, y, v FROM l{level}"
+
+
+@query(_stitched_sql(2.5, 2, 1))
+def stitched_arrays(spark, sf_dir):
+    """Files to arrays and back, base 2.5."""
+    return _stitched(spark, sf_dir, OutputFormat.OME_ZARR, "lz4", 2.5, 1)
+
+
+@query(_stitched_sql(3, 4, 0))
+def stitched_tiffs(spark, sf_dir):
+    """Files to pyramidal TIFF and back, base 3."""
+    return _stitched(spark, sf_dir, OutputFormat.OME_TIFF, "ZLIB", 3.0, 0)
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, bb AS (SELECT label, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM px GROUP BY label),
+k AS (SELECT label, x, unnest(range(y0, y1 + 1)) AS y, x0, y0 FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM bb))
+SELECT CAST(k.label AS VARCHAR) AS label, CAST((k.x - x0 - 13) // 3 AS INTEGER) AS x, CAST((k.y - y0 - 20) // 3 AS INTEGER) AS y, CAST(sum(coalesce(v, 0)) // count(*) AS INTEGER) AS v
+FROM k LEFT JOIN px ON px.label = k.label AND px.px = k.x AND px.py = k.y WHERE k.x - x0 BETWEEN 13 AND 92 AND k.y - y0 BETWEEN 20 AND 69 GROUP BY ALL"""
+)
+def region_pixels(spark, sf_dir):
+    """A request at downsample 3 on each composed image, without writing it."""
+    ship(spark)
+    folder = new_folder(spark, "region")
+    _image_files(spark, sf_dir, folder)
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=64)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, w = r["h"], r["w"]
+                y, x = np.divmod(np.arange(h * w), w)
+                v = np.frombuffer(r["data"], r["dtype"]).reshape(h, w, r["bands"])[:, :, 0]
+                yield pa.RecordBatch.from_arrays([pa.array([r["subdir"]] * (h * w)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(v.ravel(), pa.int32())], names=["label", "x", "y", "v"])
+
+    return raster.read_region(chunks, 64, 3.0, 13, 20, 80, 50).mapInArrow(run, "label string, x int, y int, v int")
 
 
 CODEC_NAMES = ["", "LZW", "deflate", "zlib", "Uncompressed", "none", "JPEG", "JPEG-2000", "jpeg-2000-lossy", "zstd", "LZ4", "lz4hc", "blosclz", "J2K", "ZIP"]

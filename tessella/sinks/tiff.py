@@ -1,12 +1,13 @@
 """Pyramidal tiled TIFF, a file for each group (K2).
 
 Tiles are compressed where chunks are. A file's layout follows from the sizes of its tiles alone, so that one task then
-streams it from front to back, one tile at a time.
+streams it from front to back, one tile at a time; files beyond 4 GB are of the big kind.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ from . import store
 
 #: Compression tags. The other codecs need encoders that are not at hand, and are refused.
 CODECS = {"UNCOMPRESSED": 1, "LZW": 5, "ZLIB": 8, "DEFAULT": 8}
+#: Bytes of tiles beyond which a file is big, as places of the classic kind have 32 bits.
+CLASSIC = 0xFFFFFFFF - (1 << 24)
+TILE = "subdir string, level int, ty int, tx int, size bigint, data binary, error string"
 
 
 def compress(raw: bytes, compression: str) -> bytes:
@@ -28,73 +32,101 @@ def compress(raw: bytes, compression: str) -> bytes:
     return raw if tag == 1 else lzw_encode(raw) if tag == 5 else zlib.compress(raw, 6)
 
 
-def encode_tiles(chunks: DataFrame, edge: int, compression: str) -> DataFrame:
-    """(subdir, level, ty, tx, size, data) of all tiles of edge by edge; chunk edges are multiples of it."""
+def encode_tiles(chunks: DataFrame, chunk: int, edge: int, compression: str) -> DataFrame:
+    """(subdir, level, ty, tx, size, data, error) of all tiles of edge by edge; chunk is a multiple of it."""
+    if chunk % edge:
+        raise ValueError("a chunk must hold whole tiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"], r["bands"])
-                per = r["chunk"] // edge
                 rows = []
-                for ty in range(-(-r["h"] // edge)):
-                    for tx in range(-(-r["w"] // edge)):
-                        full = np.zeros((edge, edge, r["bands"]), np.dtype(r["dtype"]).newbyteorder("<"))
-                        part = x[ty * edge : (ty + 1) * edge, tx * edge : (tx + 1) * edge]
-                        full[: part.shape[0], : part.shape[1]] = part
-                        raw = compress(full.tobytes(), compression)
-                        rows.append((r["subdir"], r["level"], r["cy"] * per + ty, r["cx"] * per + tx, len(raw), raw))
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["subdir", "level", "ty", "tx", "size", "data"])
-
-    return chunks.select("subdir", "level", "cx", "cy", "h", "w", "bands", "dtype", "data", "chunk").mapInArrow(run, "subdir string, level int, ty int, tx int, size bigint, data binary")
-
-
-def write_files(tiles: DataFrame, images: dict[str, dict], edge: int, compression: str, pixel_size_um: float) -> None:
-    """Streams each group's tiles, in the order of level, row and column, behind a header that says where the
-    directories will be. images: for each group path, levels (h, w), bands and dtype. Raises beyond 4 GB a file."""
-    total = tiles.groupBy("subdir").agg(F.sum("size").alias("total"))
-    rows = tiles.join(total, "subdir").repartition("subdir").sortWithinPartitions("subdir", "level", "ty", "tx")
-
-    def run(rows) -> None:
-        name, f, sizes = None, None, []
-
-        def close() -> None:
-            if f is not None:
-                f.write(_directories(images[name], sizes, edge, compression, pixel_size_um))
-                f.close()
-
-        for r in rows:
-            if r["subdir"] != name:
-                close()
-                name, sizes = r["subdir"], []
-                if r["total"] > 0xFFFFFFFF - (1 << 24):
-                    raise ValueError("a classic file holds 4 GB; write chunked arrays instead")
-                fs, at = store.split(images[name]["path"])
-                f = fs.open_output_stream(at)
-                f.write(struct.pack("<2sHI", b"II", 42, 8 + r["total"] + r["total"] % 2))
-            f.write(r["data"])
-            sizes.append(r["size"])
-        close()
-
-    rows.foreachPartition(run)
-
-
-def _directories(image: dict, sizes: list[int], edge: int, compression: str, pixel_size_um: float) -> bytes:
-    """Padding to an even place, then a directory for each level, smaller ones marked as such."""
-    offsets = (8 + np.concatenate([[0], np.cumsum(sizes)])).tolist()
+                if r["error"] is not None:
+                    rows.append((r["subdir"], r["level"], 0, 0, 0, b"", r["error"]))
+                else:
+                    x = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"], r["bands"])
+                    for ty in range(-(-r["h"] // edge)):
+                        for tx in range(-(-r["w"] // edge)):
+                            full = np.zeros((edge, edge, r["bands"]), np.dtype(r["dtype"]).newbyteorder("<"))
+                            part = x[ty * edge : (ty + 1) * edge, tx * edge : (tx + 1) * edge]
+                            full[: part.shape[0], : part.shape[1]] = part
+                            raw = compress(full.tobytes(), compression)
+                            rows.append((r["subdir"], r["level"], r["cy"] * (chunk // edge) + ty, r["cx"] * (chunk // edge) + tx, len(raw), raw, None))
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in TILE.split(", ")])
+
+    return chunks.select("subdir", "level", "cx", "cy", "h", "w", "bands", "dtype", "data", "error").mapInArrow(run, TILE)
+
+
+def write_files(tiles: DataFrame, images: DataFrame, edge: int, compression: str, pixel_size_um: float, step: int = 4, classic: int = CLASSIC) -> DataFrame:
+    """Streams each group's tiles, in the order of level, row and column, behind a header that says where the directories
+    will be. images: (subdir, path, heights, widths array<int>, bands, dtype). A file has another name until it is
+    complete, one for each attempt of a task. Returns (subdir, error)."""
+    total = tiles.groupBy("subdir").agg(F.sum("size").alias("total"), F.min("error").alias("failed"))
+    known = images.join(total, "subdir")  # a row for each group
+    rows = tiles.drop("error").join(known, "subdir").repartition("subdir").sortWithinPartitions("subdir", "level", "ty", "tx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict | None = None
+        f, at, held, sizes, error = None, "", None, [], None
+
+        def close() -> pa.RecordBatch:
+            nonlocal error
+            if f is not None and error is None:
+                try:
+                    f.write(_directories(now, sizes, edge, compression, pixel_size_um, step, now["total"] > classic))
+                    f.close()
+                    held.move(f"{at}.part", at[:-33])
+                except (OSError, ValueError, struct.error) as e:
+                    error = f"{type(e).__name__}: {e}"
+            return pa.RecordBatch.from_arrays([pa.array([now["subdir"]], pa.string()), pa.array([error], pa.string())], names=["subdir", "error"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if now is None or r["subdir"] != now["subdir"]:
+                    if now is not None:
+                        yield close()
+                    now, f, sizes, error = {k: v for k, v in r.items() if k != "data"}, None, [], r["failed"]
+                    if error is None:
+                        try:
+                            held, place = store.split(r["path"])
+                            at = f"{place}.{uuid.uuid4().hex}"
+                            held.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                            f = held.open_output_stream(f"{at}.part")
+                            end = r["total"] + r["total"] % 2
+                            f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16 + end) if r["total"] > classic else struct.pack("<2sHI", b"II", 42, 8 + end))
+                        except OSError as e:
+                            error = f"{type(e).__name__}: {e}"
+                if error is None:
+                    try:
+                        f.write(r["data"])
+                        sizes.append(r["size"])
+                    except OSError as e:
+                        error = f"{type(e).__name__}: {e}"
+        if now is not None:
+            yield close()
+
+    return rows.mapInArrow(run, "subdir string, error string")
+
+
+def _directories(image: dict, sizes: list[int], edge: int, compression: str, pixel_size_um: float, step: int, big: bool) -> bytes:
+    """Padding to an even place, then a directory for each level, smaller ones marked as such. pixel_size_um is that of
+    level 0, whose base downsample it includes."""
+    offsets = ((16 if big else 8) + np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])).tolist()
     at = offsets[-1] + offsets[-1] % 2
     out = b"\0" * (offsets[-1] % 2)
-    place, kind = 0, np.dtype(image["dtype"])
-    per_cm = (max(1, round(10_000_000 / pixel_size_um)), 1000)
-    for level, (h, w) in enumerate(image["levels"]):
+    place, kind, long = 0, np.dtype(image["dtype"]), 16 if big else 4
+    levels = list(zip(image["heights"], image["widths"], strict=True))
+    for level, (h, w) in enumerate(levels):
         n = -(-h // edge) * -(-w // edge)
+        per_cm = (max(1, round(10_000_000 / (pixel_size_um * step**level))), 1000)
         entries: list[tuple[int, int, tuple]] = [(254, 4, (int(level > 0),)), (T.WIDTH, 4, (w,)), (T.HEIGHT, 4, (h,)), (T.BITS, 3, (8 * kind.itemsize,) * image["bands"]), (T.COMPRESSION, 3, (CODECS[compression],))]
-        entries += [(262, 3, (2 if image["bands"] == 3 else 1,)), (T.SAMPLES, 3, (image["bands"],)), (T.PLANAR, 3, (1,)), (296, 3, (3,)), (T.X_RES, 5, per_cm), (T.Y_RES, 5, per_cm)]
-        entries += [(T.TILE_W, 4, (edge,)), (T.TILE_H, 4, (edge,)), (T.TILE_OFFSETS, 4, tuple(offsets[place : place + n])), (T.TILE_COUNTS, 4, tuple(sizes[place : place + n]))]
-        size = T.directory_size(entries)
-        last = level == len(image["levels"]) - 1
-        out += T.directory(entries, at, 0 if last else at + size + size % 2) + b"\0" * (size % 2)
+        entries += [(T.PHOTOMETRIC, 3, (2 if image["bands"] == 3 else 1,)), (T.SAMPLES, 3, (image["bands"],)), (T.PLANAR, 3, (1,)), (296, 3, (3,)), (T.X_RES, 5, per_cm), (T.Y_RES, 5, per_cm)]
+        entries += [(T.TILE_W, 4, (edge,)), (T.TILE_H, 4, (edge,)), (T.TILE_OFFSETS, long, tuple(offsets[place : place + n])), (T.TILE_COUNTS, long, tuple(sizes[place : place + n]))]
+        size = T.directory_size(entries, big)
+        last = level == len(levels) - 1
+        out += T.directory(entries, at, 0 if last else at + size + size % 2, big) + b"\0" * (size % 2)
         at += size + size % 2
         place += n
     return out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import leaf
 from ..operators.placement import nested_fallback
-from .tiff import read_headers
+from ..runtime import ship
+from .tiff import with_header_columns
 
 CONFIG_NAME = "TileConfiguration.txt"
 
@@ -43,13 +44,10 @@ def group_files(spark: SparkSession, root: str) -> DataFrame:
     return nested_fallback(tile_files(spark, root, 1), tile_files(spark, root, 2))
 
 
-def with_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Adds header columns. Folders are loaded, not paths, as paths may hold brackets; the engine joins by path."""
-    folders = sorted(r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect())  # one for each folder
-    if not folders:
-        return files.withColumns({c: F.lit(None).cast("double") for c in ("x_res", "y_res", "x_pos", "y_pos")} | {c: F.lit(None).cast("int") for c in ("w", "h")})
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(folders).select("path", "content")
-    return files.join(read_headers(raw), "path", "left")
+def with_headers(files: DataFrame) -> DataFrame:
+    """Adds header columns to files (path, ...): tasks read the ranges that hold the tags, whatever folder they are in."""
+    ship(files.sparkSession)
+    return with_header_columns(files)
 
 
 def config_lines(spark: SparkSession, root: str, in_root: bool = False) -> DataFrame:

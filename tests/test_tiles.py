@@ -110,10 +110,10 @@ def test_file_names_to_arrays(spark, slides):
     meta = json.loads((folder / "g1.ome.zarr/0/.zarray").read_text())
     got = np.zeros((16, 32, 3), np.uint8)
     for x in range(2):
-        raw = zarr.decompress((folder / f"g1.ome.zarr/0/0.{x}.0").read_bytes(), "zlib", 768)
+        raw = zarr.decompress((folder / f"g1.ome.zarr/0/0.{x}.0").read_bytes(), "zlib")
         got[:, 16 * x : 16 * x + 16] = np.frombuffer(raw, np.uint8).reshape(16, 16, 3)
     assert meta["shape"] == [16, 28, 3] and (got[:, :28] == _expected(a, b, c)).all()
-    level = np.frombuffer(zarr.decompress((folder / "g1.ome.zarr/1/0.0.0").read_bytes(), "zlib", 768), np.uint8).reshape(16, 16, 3)
+    level = np.frombuffer(zarr.decompress((folder / "g1.ome.zarr/1/0.0.0").read_bytes(), "zlib"), np.uint8).reshape(16, 16, 3)
     want = _expected(a, b, c).astype(int).reshape(8, 2, 14, 2, 3).sum((1, 3)) // 4
     assert (level[:8, :14] == want).all()
     assert [r.path for r in api.run(spark, cfg, chunk=16).collect()] == [f"{folder}/g1_2.ome.zarr"]
@@ -248,3 +248,192 @@ def test_entry_without_the_optional_part(spark, monkeypatch):
     monkeypatch.setattr(importlib, "import_module", broken)
     with pytest.raises(ModuleNotFoundError):
         E.queries()
+
+
+def _stitch(spark, folder, codec="zlib", base=1.0, kind=OutputFormat.OME_ZARR, match="", **options):
+    cfg = StitchConfig(FILE_NAME, str(folder / "in"), str(folder / "out"), codec, 0.5, base, match, 1.0, output_format=kind)
+    return {r.subdir: r for r in api.run(spark, cfg, chunk=32, edge=16, **options).collect()}
+
+
+def _means(x, base):
+    """Integer means of the pixels p with floor(p / base) = i, one output pixel at a time."""
+    h, w, bands = x.shape
+    of = [np.floor(np.arange(n) / base).astype(int) for n in (h, w)]
+    out = np.zeros((of[0][-1] + 1, of[1][-1] + 1, bands), x.dtype)
+    for i in range(out.shape[0]):
+        for j in range(out.shape[1]):
+            part = x[of[0] == i][:, of[1] == j].astype(int)
+            out[i, j] = part.sum((0, 1)) // (part.shape[0] * part.shape[1])
+    return out
+
+
+@pytest.mark.parametrize("base", [2.0, 2.5, 3.0, 5.0, 40.0])
+def test_any_base_downsample(spark, tmp_path, base):
+    rng = np.random.default_rng(3)
+    whole = np.full((83, 96, 3), 255, np.uint8)
+    for x, y in ((0, 0), (31, 7), (50, 43), (88, 75)):
+        p = rng.integers(0, 256, (40, 46, 3)).astype(np.uint8)[: 83 - y, : 96 - x]
+        _tile(tmp_path / "in" / "g", f"t{x:02}{y:02}[{x // 2},{y // 2}].tif", p) if x % 2 == 0 and y % 2 == 0 else None
+        if x % 2 == 0 and y % 2 == 0:
+            whole[y : y + p.shape[0], x : x + p.shape[1]] = p
+    _tile(tmp_path / "in" / "g", "z[25,20].tif", rng.integers(0, 256, (43, 46, 3)).astype(np.uint8))
+    whole[40:83, 50:96] = tiff.decode((tmp_path / "in" / "g" / "z[25,20].tif").read_bytes())
+    steps = []
+    r = _stitch(spark, tmp_path, base=base, progress=steps.append)["g"]
+    assert r.status == "ok" and r.path.endswith(f"g_{int(base)}x_downsample.ome.zarr") and steps[-1] == 1.0 and steps == sorted(steps)
+    want = _means(whole, base)
+    assert (zarr.read_level(r.path, 0) == want).all() and (zarr.read_level(r.path, 1) == _means(want, 2)).all()
+    scale = json.loads(open(f"{r.path}/.zattrs").read())["multiscales"][0]["datasets"]
+    assert len(scale) == 4 and scale[1]["coordinateTransformations"][0]["scale"] == [base, base, 1]
+    r = _stitch(spark, tmp_path, "LZW", base, OutputFormat.OME_TIFF)["g"]
+    raw = open(r.path, "rb").read()
+    assert (tiff.read_image(r.path) == want).all() and tiff.ratio(tiff.read_tags(raw), tiff.X_RES) == round(1e7 / (0.5 * base)) / 1000
+    with pytest.raises(ValueError):
+        _stitch(spark, tmp_path, base=0.5)
+
+
+def test_groups_do_not_change_each_other(spark, tmp_path):
+    """Grey beside colour, 8 beside 16 bits, a bright maximum, channels with names, and groups that fail."""
+    rng = np.random.default_rng(5)
+    small, wide = rng.integers(0, 200, (8, 8, 3)).astype(np.uint8), rng.integers(300, 4000, (8, 8, 3)).astype(np.uint16)
+    for g, a, b, tags in (
+        ("rgb", small, small, {}),
+        ("grey", small[:, :, 0], small[:, :, 0], {}),
+        ("mixed", small[:, :, 0], wide[:, :, 0], {}),
+        ("deep", wide, wide, {"max_value": 4095}),
+        ("glow", wide, wide, {"description": '<OME><Channel ID="0" Name="DAPI"/><Channel Name="FITC"/><Channel Name="x"/></OME>'}),
+        ("bands", small, small[:, :, :2], {}),
+    ):
+        _tile(tmp_path / "in" / g, "a[0,0].tif", a, **tags)
+        _tile(tmp_path / "in" / g, "b[6,0].tif", b, **tags)
+    (tmp_path / "in" / "none").mkdir()
+    (tmp_path / "in" / "none" / "a[0,0].tif").write_bytes(b"II*\0")
+    _tile(tmp_path / "in" / "cut", "a[0,0].tif", small)
+    raw = bytearray((tmp_path / "in" / "cut" / "a[0,0].tif").read_bytes())
+    at = raw.index((8 * 8 * 3).to_bytes(4, "little"), 200)
+    raw[at : at + 4] = (100).to_bytes(4, "little")
+    (tmp_path / "in" / "cut" / "a[0,0].tif").write_bytes(raw)
+    _tile(tmp_path / "in" / "far", "a[0,0].tif", small)
+    _tile(tmp_path / "in" / "far", "b[900000000,900000000].tif", small)
+    out = _stitch(spark, tmp_path)
+    assert {g: r.status for g, r in out.items()} == {"rgb": "ok", "grey": "ok", "mixed": "ok", "deep": "ok", "glow": "ok", "bands": "failed", "cut": "failed", "far": "failed"}
+    assert "bands" in out["bands"].error and "damaged" in out["cut"].error and "extent" in out["far"].error and out["cut"].path is None
+    gap = {g: zarr.read_level(r.path, 0)[0, 10].tolist() for g, r in out.items() if r.path}
+    assert gap == {"rgb": [255] * 3, "grey": [0], "mixed": [0], "deep": [4095] * 3, "glow": [0] * 3}
+    found = zarr.read_level(out["mixed"].path, 0)
+    assert found.dtype == np.uint16 and (found[:8, 12:20, 0] == wide[:, :, 0]).all() and (found[:8, :8, 0] == small[:, :, 0]).all()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{g}.ome.zarr" for g in gap)  # nothing half done
+    assert {g: r.status for g, r in _stitch(spark, tmp_path, "LZW", kind=OutputFormat.OME_TIFF).items()}["bands"] == "failed"
+    again = _stitch(spark, tmp_path, match="rgb")
+    assert again["rgb"].path.endswith("/rgb_2.ome.zarr")
+    without = _stitch(spark, tmp_path, match="rgb", fill_background=False)["rgb"]
+    assert zarr.read_level(without.path, 0)[0, 10].tolist() == [0] * 3
+
+
+def test_big_files_and_containers(spark, tmp_path):
+    from tessella.functions.blosc import blosc_decode, blosc_encode
+    from tessella.operators import raster
+    from tessella.sinks import tiff as sink
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 60000, (50, 70, 1)).astype(np.uint16)
+    rows = [("g", 0, cx, cy, *(p := x[cy * 32 : cy * 32 + 32, cx * 32 : cx * 32 + 32]).shape, "uint16", np.ascontiguousarray(p).tobytes(), None) for cy in range(2) for cx in range(3)]
+    chunks = spark.createDataFrame(rows, raster.CHUNK)
+    path = str(tmp_path / "new" / "folder" / "big.ome.tif")
+    images = spark.createDataFrame([("g", path, [50], [70], 1, "uint16")], "subdir string, path string, heights array<bigint>, widths array<bigint>, bands int, dtype string")
+    assert [tuple(r) for r in sink.write_files(sink.encode_tiles(chunks, 32, 16, "ZLIB"), images, 16, "ZLIB", 0.5, 4, classic=100).collect()] == [("g", None)]
+    raw = open(path, "rb").read()
+    assert raw[:4] == b"II+\0" and (tiff.decode(raw) == x).all() and (tiff.read_image(path) == x).all()
+    for codec in ("lz4", "lz4hc", "zlib", "zstd", "blosclz"):
+        for data, size in ((x.tobytes() * 200, 2), (b"", 1), (b"abc" * 9, 1), (rng.bytes(3000), 4), (b"\0" * (1 << 20), 8)):
+            stored = blosc_encode(data, codec, 5, size)
+            assert blosc_decode(stored) == data and int.from_bytes(stored[12:16], "little") == len(stored)
+    for bad in (b"", b"\2\1\x20\1" + bytes(12), blosc_encode(b"x" * 50, "lz4")[:-1]):
+        with pytest.raises(ValueError):
+            blosc_decode(bad)
+
+
+def test_regions_and_thumbnails(spark, slides):
+    from tessella.operators import raster
+
+    folder, a, b, c = slides
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, str(folder / "in"), "", "", 0.5, 1.0, "g", 1.0), chunk=16)
+    want = _expected(a, b, c)
+    for ds, x, y, w, h in ((1.0, 3, 2, 20, 10), (2.5, -4, 1, 40, 40), (3.0, 16, 0, 5, 5)):
+        r = raster.read_region(chunks, 16, ds, x, y, w, h).collect()[0]
+        part = want[max(0, y) : y + h, max(0, x) : x + w]
+        assert (np.frombuffer(r.data, r.dtype).reshape(r.h, r.w, r.bands) == _means(part, ds)).all()
+    assert raster.read_region(chunks, 16, 1.0, 500, 0, 5, 5).count() == 0
+    dark = np.zeros((2, 2, 3), np.uint8)
+    dark[0, 0] = 7
+    df = spark.createDataFrame([("g", 2, 2, 3, "uint8", dark.tobytes())], "subdir string, h int, w int, bands int, dtype string, data binary")
+    assert np.frombuffer(raster.thumbnail(df).collect()[0].data, np.uint8).reshape(2, 2, 3).tolist() == [[[7] * 3, [255] * 3], [[255] * 3, [255] * 3]]
+
+
+def test_numbers_beyond_an_int(spark):
+    values = [3e9, -3e9, 4294967295.5, 1e300, -1e300, float("inf"), -float("inf"), float("nan"), 9.3e18, 2147483647.5]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(N.java_round(F.col("v"))).collect()]
+
+    def runtime(v):
+        n = int(spark._jvm.java.lang.Math.round(v)) & 0xFFFFFFFF
+        return n - (1 << 32) if n >> 31 else n
+
+    assert got == [runtime(v) for v in values]
+    files = spark.createDataFrame([("g", "a[2000000000,1].tif", 4, 4), ("g", "b[0,0].tif", 4, 4)], "subdir string, file_name string, w int, h int")
+    placed = P.place_by_name(files, 0.5)
+    assert {r.file_name: r.x for r in placed.collect()} == {"a[2000000000,1].tif": 4000000000 - (1 << 32), "b[0,0].tif": 0}
+    assert P.translate_origin(placed).count() == 2 and C.overlap_pairs(placed).count() == 0
+
+
+def test_no_two_outputs_share_a_name(spark):
+    rng = random.Random(8)
+    cases = [["a", "a", "a_2"], ["a_2", "a", "a", "a", "a_3", "a_4"], ["a_2", "a_2_2", "a_2", "a", "a_2"], ["a_02", "a", "a"], [rng.choice(["b", "b_2", "b_3", "b_7", "b_2_2", "c"]) for _ in range(60)]]
+    for names in cases:
+        got = {r.i: (r.base if r.number == 1 else f"{r.base}_{r.number}") for r in P.free_numbers(spark.createDataFrame(list(enumerate(names)), "i int, base string"), "base", ["i"]).collect()}
+        assert len(set(got.values())) == len(names)
+        bases, used = set(names), {}
+        for i, n in enumerate(names):  # plain names first, then the least number that is free
+            if n not in used:
+                used[n] = 1
+                assert got[i] == n
+                continue
+            used[n] += 1
+            while f"{n}_{used[n]}" in bases:
+                used[n] += 1
+            assert got[i] == f"{n}_{used[n]}"
+
+
+def test_a_crowded_cell_is_many_tasks(spark):
+    rows = [("g", f"t{i:03}", i % 3, 0, 5, 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "subdir string, file_name string, x int, y int, w int, h int")
+    assert C.overlap_pairs(df, 64, share=10).count() == 120 * 119 // 2
+
+
+def test_shared_folder(spark, monkeypatch):
+    from tessella import runtime
+
+    class Elsewhere:
+        class sparkContext:
+            master = "yarn"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Elsewhere)
+    kept = runtime.stash(spark.range(3), "kept")
+    path = runtime._written[-1]
+    assert kept.count() == 3
+    with runtime.Scratch(spark) as s:
+        held = s.stash(spark.range(2), "held").inputFiles()
+    import os
+
+    assert held and not any(os.path.exists(f[7:]) for f in held) and path in runtime._written
+    runtime.release(spark)
+    assert not runtime._written
