@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, lean, ship, stash
+from .common import drop_stash, id_type, lean, ship, stash
 from .textkit import slices
 
 BLOCK = 2048
@@ -205,8 +205,9 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     return whole
 
 
-def encode_streams(payloads: list[bytes], block: int = BLOCK, seek_every: int = 4) -> list[bytes]:
-    """A FLAC stream for each payload, a byte b as the sample b - 128, with a seek point for every seek_every blocks."""
+def encode_streams(payloads: list[bytes], block: int = BLOCK, seek_every: int = 1) -> list[bytes]:
+    """A FLAC stream for each payload, a byte b as the sample b - 128, with a seek point for every seek_every blocks: as
+    many lanes can be decoded at a time as there are seek points."""
     data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128
     owner, begin, long = [], [], []
     at = 0
@@ -639,10 +640,27 @@ def to_pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return picked.mapInArrow(lean(run), fields).withColumnRenamed("id", id_col)
 
 
-def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest columns of stored streams and of what is read back from their PCM blocks, which are written first."""
-    ship(stored.sparkSession)
-    blocks = stash(to_pcm(stored, id_col), "pcm")
+def media_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 4) -> DataFrame:
+    """Stores all texts as streams, reads these back and writes PCM blocks: the columns of to_pcm.
+
+    One part of the rows after the other, dealt by a hash of id and text, so that beside the blocks no more than a part of
+    the streams is on disk: a part's streams are deleted when its blocks are written. Nothing else depends on parts.
+    """
+    of = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts))
+    written = []
+    for part in range(parts):
+        streams = stash(to_media(docs.where(of == part), id_col, text_col), "media")
+        written.append(stash(to_pcm(streams, id_col), "pcm"))
+        drop_stash(streams)
+    whole = written[0]
+    for more in written[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def media_digests(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digest columns of what is read back from written PCM blocks, and of the streams they were decoded from."""
+    ship(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -667,5 +685,5 @@ def media_digests(docs: DataFrame, stored: DataFrame, id_col: str = "doc_id") ->
                 )
 
     picked = blocks.select(F.col(id_col).alias("id"), "n_bytes", "media_bytes", "media_sha256", "blocks")
-    fields = f"id {id_type(docs, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    fields = f"id {id_type(blocks, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return picked.mapInArrow(lean(run), fields).withColumnRenamed("id", id_col)

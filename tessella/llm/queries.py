@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_bpe, digests
-from .common import stash, table
+from .common import table
 from .cotrain import classify_quality
-from .flac import media_digests, to_media
+from .flac import media_blocks, media_digests
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import best_fit_packing
@@ -52,8 +52,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return media_digests(docs, stash(to_media(docs), "media"))
+    return media_digests(media_blocks(table(spark, sf_dir, "documents")))
 
 
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
