@@ -1,187 +1,175 @@
-"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney n-gram model counted by Spark."""
+"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney n-gram model counted by Spark.
+
+The model is one of characters, all of them, of order 5, for each language. It is counted, smoothed and stored by Spark and
+grows with the corpus. Its entries are sorted hash arrays in slices; the most frequent ones, a bounded number, go to every
+task, and what a text has beyond them is looked up slice by slice.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, lean, ship, stash
+from .common import drop_stash, id_type, lean, ship, stash
 from .textkit import flat, mix64, slices, span_hashes, word_spans
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: The classes of characters that the model tells apart. a to z are 1 to 26; an accented letter is its base.
-PAD, BLANK, LINE, DIGIT, LETTER, STOP, MARK, SYMBOL, CAPITAL = 0, 27, 28, 29, 30, 31, 32, 33, 34
-CLASSES = CAPITAL + 1
-ORDER = 4
-#: Characters that are judged together, by the language that explains them best.
-WINDOW = 64
-STOPS = ".,;:!?"
-MARKS = "'\"()-/’“”«»¿¡–—"
-
-_classes: np.ndarray | None = None
-
-
-def _class_table() -> np.ndarray:
-    """The class of each code point of the basic plane; others count as symbols."""
-    global _classes
-    if _classes is None:
+ORDER = 5
+#: Stands before the first character of a text; no character is folded to it.
+PAD = 0
+#: Log-probabilities are whole numbers of this part of a nat, so that their sums do not depend on an order.
+UNIT = 1 << 20
+#: Resolution of the distributions that bands come from, in nats a character.
+STEP = 0.001
+
+_rng = np.random.default_rng(0x4E47)
+_STEPS = _rng.integers(0, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_fold: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _fold_table() -> tuple[np.ndarray, np.ndarray]:
+    """What each code point of the basic plane is folded to, and whether it is a capital: lower case, digits 0, blanks and
+    controls a blank, line ends a line feed. Others stand for themselves."""
+    global _fold
+    if _fold is None:
         import unicodedata
 
-        table = np.full(0x10000, SYMBOL, np.uint8)
+        table, upper = np.arange(0x10000, dtype=np.uint32), np.zeros(0x10000, bool)
         for c in range(0x10000):
             ch = chr(c)
-            kind = unicodedata.category(ch)
-            if kind[0] == "L":
-                base = unicodedata.normalize("NFD", ch)[0].lower()
-                table[c] = ord(base) - 96 if "a" <= base <= "z" else LETTER
-            elif kind[0] == "N":
-                table[c] = DIGIT
-            elif kind[0] == "Z" or c == 9:
-                table[c] = BLANK
-            elif kind[0] == "M":
-                table[c] = MARK
-        table[[10, 13]] = LINE
-        table[[ord(c) for c in STOPS]] = STOP
-        table[[ord(c) for c in MARKS]] = MARK
-        _classes = table
-    return _classes
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of all texts the packed classes of it and the ORDER - 1 before it, in the text, and len + 1
-    offsets. A capital behind a capital is a class of its own, so that shouting is not lower-case prose."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    if not len(points):
-        return np.zeros(0, np.int64), ends
-    table = _class_table()
-    found = np.where(points < 0x10000, table[np.minimum(points, 0xFFFF)], SYMBOL).astype(np.int64)
-    upper = ((points >= 65) & (points <= 90)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))
-    found[1:][upper[1:] & upper[:-1]] = CAPITAL
-    code = found.copy()
-    first = ends[:-1][ends[:-1] < ends[1:]]
-    for back in range(1, ORDER):
-        shifted = np.zeros_like(found)
-        shifted[back:] = found[:-back]
-        for ahead in range(back):  # nothing of the text before
-            shifted[np.minimum(first + ahead, len(found) - 1)] = PAD
-        code += shifted * CLASSES**back
-    return code, ends
+            kind, low = unicodedata.category(ch), ch.lower()
+            if kind == "Nd":
+                table[c] = ord("0")
+            elif kind[0] in "ZC" and kind not in ("Co", "Cn", "Cs"):
+                table[c] = ord(" ")
+            elif len(low) == 1 and low != ch:
+                table[c], upper[c] = ord(low), True
+        table[[10, 13]] = 10
+        _fold = table, upper
+    return _fold
+
+
+def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded characters of all texts, each behind ORDER - 1 pads, and len + 1 offsets. A capital behind a capital is
+    not folded, so that shouting is not lower-case prose."""
+    front = chr(PAD) * (ORDER - 1)
+    points = np.frombuffer("".join([front + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.concatenate([[0], np.cumsum([len(t) + ORDER - 1 for t in texts])]).astype(np.int64)
+    table, upper = _fold_table()
+    low = np.minimum(points, 0xFFFF)
+    plane = points < 0x10000
+    capital = plane & upper[low]
+    again = capital.copy()
+    again[1:] &= capital[:-1]
+    again[:1] = False
+    found = np.where(plane & ~again, table[low], points)
+    for back in range(ORDER - 1):
+        found[ends[:-1] + back] = PAD
+    return found, ends
 
 
 @dataclass
-class KneserNey:
-    """An interpolated model with three discounts an order, in arrays sorted by the key: language, then n-gram hash.
+class Runs:
+    """How often each text has each n-gram: runs of (gram, text, n), sorted by gram and text; and the characters of the
+    different grams."""
+
+    chars: np.ndarray
+    gram: np.ndarray
+    text: np.ndarray
+    n: np.ndarray
 
-    The hash of an n-gram is its classes as digits of a number, the oldest first: without collisions, and less than
-    CLASSES ** n. keys[n], logp[n]: n-grams of n + 1 classes and the natural logarithm of their probability;
-    back_keys[n], back[n]: contexts of n classes and the logarithm of the weight of what is shorter. seen[n] and
-    back_seen[n]: how often they are met in all texts.
-    """
 
-    keys: list[np.ndarray] = field(default_factory=list)
-    logp: list[np.ndarray] = field(default_factory=list)
-    back_keys: list[np.ndarray] = field(default_factory=list)
-    back: list[np.ndarray] = field(default_factory=list)
-    seen: list[np.ndarray] = field(default_factory=list)
-    back_seen: list[np.ndarray] = field(default_factory=list)
-
-    def score(self, lang: int, codes: np.ndarray) -> np.ndarray:
-        """Log-probability of the last class of each n-gram, with back-off where it has not been seen."""
-        out, weight = np.full(len(codes), np.nan), np.zeros(len(codes))
-        left = np.arange(len(codes))
-        for order in range(ORDER, 0, -1):
-            at, hit = _find(self.keys[order - 1], codes[left] % CLASSES**order + lang * CLASSES**order)
-            out[left[hit]] = self.logp[order - 1][at[hit]] + weight[left[hit]]
-            left = left[~hit]
-            at, hit = _find(self.back_keys[order - 1], codes[left] // CLASSES % CLASSES ** (order - 1) + lang * CLASSES ** (order - 1))
-            weight[left[hit]] += self.back[order - 1][at[hit]]
-        out[left] = weight[left] - np.log(CLASSES)
-        return out
-
-    def score_apart(self, lang: int, codes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """As score, for the places at of codes, but what is met in no other document than its own counts as unseen: a
-        document must not be likely because the model has counted it. doc numbers the document of each code."""
-
-        def apart(keys: np.ndarray, seen: np.ndarray, digits: int, key: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            place, hit = _find(keys, key[left] + lang * CLASSES**digits)
-            mine = doc * CLASSES**digits + key
-            inside = np.sort(mine)
-            own = np.searchsorted(inside, mine[left], "right") - np.searchsorted(inside, mine[left])
-            hit[hit] = seen[place[hit]] > own[hit]
-            return place, hit
-
-        out, weight, rest = np.full(len(codes), np.nan), np.zeros(len(codes)), at
-        for order in range(ORDER, 0, -1):
-            place, hit = apart(self.keys[order - 1], self.seen[order - 1], order, codes % CLASSES**order, rest)
-            out[rest[hit]] = self.logp[order - 1][place[hit]] + weight[rest[hit]]
-            rest = rest[~hit]
-            if not len(rest):
-                break
-            place, hit = apart(self.back_keys[order - 1], self.back_seen[order - 1], order - 1, codes // CLASSES % CLASSES ** (order - 1), rest)
-            weight[rest[hit]] += self.back[order - 1][place[hit]]
-        out[rest] = weight[rest] - np.log(CLASSES)
-        return out[at]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the wanted keys, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What modified Kneser-Ney takes from counts of 0, 1, 2 and more, from how many n-grams have counts 1 to 4."""
-    n1, n2, n3, n4 = (float((counts == c).sum()) for c in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0.0, 0.5, 0.5, 0.5])
-    y = n1 / (n1 + 2 * n2)
-    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([0.0, *(min(max(d, 0.1), c - 0.05) for c, d in zip((1, 2, 3), found, strict=True))])
-
-
-def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> KneserNey:
-    """The model from counts of n-grams of the highest order; lower orders count the different classes in front."""
-
-    def without_oldest(key: np.ndarray, order: int) -> np.ndarray:
-        return key // CLASSES**order * CLASSES ** (order - 1) + key % CLASSES ** (order - 1)
-
-    model = KneserNey()
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    key, n = lang.astype(np.int64) * CLASSES**ORDER + gram, count.astype(np.int64)
-    order_of = np.argsort(key)
-    key, n = key[order_of], n[order_of]
-    seen = n
-    for order in range(ORDER, 0, -1):
-        levels.insert(0, (key, n, seen))
-        key, of, n = np.unique(without_oldest(key, order), return_inverse=True, return_counts=True)
-        seen = np.bincount(of, seen, len(key)).astype(np.int64)
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for order, (key, n, seen) in enumerate(levels, 1):
-        context, begin = np.unique(key // CLASSES, return_index=True)
-        size = np.diff(np.append(begin, len(key)))
-        total = np.add.reduceat(n, begin) if len(key) else np.zeros(0, np.int64)
-        cut = discounts(n)[np.minimum(n, 3)]
-        freed = np.add.reduceat(cut, begin) / total if len(key) else np.zeros(0)
-        shorter = np.full(len(key), 1.0 / CLASSES) if below is None else below[1][np.searchsorted(below[0], without_oldest(key, order))]
-        p = (n - cut) / np.repeat(total, size) + np.repeat(freed, size) * shorter
-        model.keys.append(key)
-        model.logp.append(np.log(p))
-        model.back_keys.append(context)
-        model.back.append(np.log(freed))
-        model.seen.append(seen)
-        model.back_seen.append(np.add.reduceat(seen, begin) if len(key) else np.zeros(0, np.int64))
-        below = (key, p)
-    return model
+def gram_runs(texts: list[str]) -> Runs:
+    """The n-grams that end at each character of each text. Where they and the text's number fit into 64 bits, with the
+    characters numbered as they occur, one sort does; else a hash of the gram is sorted."""
+    points, ends = spelled(texts)
+    if not len(points):
+        return Runs(np.zeros((0, ORDER), np.uint32), *(np.zeros(0, np.int64) for _ in range(3)))
+    n_places = len(points) - ORDER + 1
+    text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(ends))[ORDER - 1 :]
+    real = np.ones(len(points), bool)
+    for back in range(ORDER - 1):
+        real[ends[:-1] + back] = False
+    real = real[ORDER - 1 :]
+    present = np.flatnonzero(np.bincount(points))
+    bits, text_bits = max(1, (len(present) - 1).bit_length()), max(1, (len(texts) - 1).bit_length())
+    if ORDER * bits + text_bits <= 64:
+        number = np.zeros(int(present[-1]) + 1, np.uint64)
+        number[present] = np.arange(len(present))
+        local = number[points]
+        code = local[:n_places].copy()
+        for j in range(1, ORDER):
+            code <<= np.uint64(bits)
+            code |= local[j : j + n_places]
+        code <<= np.uint64(text_bits)
+        code |= text
+        code = np.sort(code[real])
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        n, code = np.diff(np.append(begin, len(code))), code[begin]
+        text, code = (code & np.uint64((1 << text_bits) - 1)).astype(np.int64), code >> np.uint64(text_bits)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else begin
+        digits = [(code[first] >> np.uint64(bits * (ORDER - 1 - j))) & np.uint64((1 << bits) - 1) for j in range(ORDER)]
+        chars = present[np.stack(digits, 1).astype(np.int64)].astype(np.uint32)
+    else:
+        code = np.zeros(n_places, np.uint64)
+        for j in range(ORDER):
+            code += points[j : j + n_places].astype(np.uint64) * _STEPS[j]
+        at = np.flatnonzero(real)
+        at = at[np.argsort(mix64(code[at]), kind="stable")]
+        code, text = mix64(code[at]), text[at].astype(np.int64)
+        change = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+        begin = np.flatnonzero(change | np.concatenate([[True], text[1:] != text[:-1]])) if len(code) else np.zeros(0, np.int64)
+        n, at, code, text = np.diff(np.append(begin, len(code))), at[begin], code[begin], text[begin]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else begin
+        chars = points[at[first][:, None] + np.arange(ORDER)]
+    gram = np.zeros(len(n), np.int64)
+    gram[first[1:]] = 1
+    return Runs(chars, np.cumsum(gram), text, n)
+
+
+def keys_of(chars: np.ndarray, lang: str) -> np.ndarray:
+    """64-bit hashes of n-grams of a language."""
+    seed = int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    code = np.full(len(chars), seed, np.uint64)
+    for j in range(ORDER):
+        code += chars[:, j].astype(np.uint64) * _STEPS[j]
+    return mix64(code).view(np.int64)
+
+
+def _as_strings(chars: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(chars, "<u4").view(f"<U{ORDER}").ravel().tolist()
+
+
+class _Tally:
+    """Counts of n-grams of one language, with the least and the greatest of the marks of the texts that have them."""
+
+    def __init__(self) -> None:
+        self.chars = np.zeros((0, ORDER), np.uint32)
+        self.key, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.low, self.high = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def add(self, runs: Runs, marks: np.ndarray, lang: str) -> None:
+        if not len(runs.n):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], runs.gram[1:] != runs.gram[:-1]]))
+        mark = marks[runs.text]
+        new = (keys_of(runs.chars, lang), np.add.reduceat(runs.n, begin), np.minimum.reduceat(mark, begin), np.maximum.reduceat(mark, begin))
+        key, n, low, high = (np.concatenate([a, b]) for a, b in zip((self.key, self.n, self.low, self.high), new, strict=True))
+        chars = np.concatenate([self.chars, runs.chars])
+        order = np.argsort(key)
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        self.key, self.chars = key[order][begin], chars[order[begin]]
+        self.n, self.low, self.high = np.add.reduceat(n[order], begin), np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -232,10 +220,126 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(first), "word_chars": total(in_word & ((buf & 0xC0) != 0x80)), "n_symbols": total(symbols[buf]), "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
-#: Stands for an n-gram in the counts: the language has a document that passes the base rules.
-PASSING = -1
-#: Resolution of the distributions that bands come from, in nats a character.
-STEP = 0.001
+#: The counts of the base rules, in the order of the result.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def language_key(lang: Column) -> Column:
+    """A language's name as a key: null is a language of its own."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit("-"))
+
+
+def _by_language(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, np.ndarray]]:
+    names = batch.column(column).to_pylist()
+    number = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    of = np.array([number[x] for x in names], np.int64)
+    for x, i in number.items():
+        yield x, np.flatnonzero(of == i)
+
+
+def count_grams(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(lang, gram, n long, shared boolean) of rows (text, lang): n-grams of ORDER characters, how often they end at a
+    character of the rows, and whether two different texts have them. Tasks merge what they count, up to most entries."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Tally] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, t in held.items():
+                for a in range(0, len(t.n), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t.n[part]), pa.string()), pa.array(_as_strings(t.chars[part]), pa.string()), pa.array(t.n[part]), pa.array(t.low[part]), pa.array(t.high[part])], names=["lang", "gram", "n", "low", "high"])
+            held.clear()
+
+        for batch in batches:
+            for a, b in slices(batch.column("text"), 1 << 22):
+                part = batch.slice(a, b - a)
+                for lang, at in _by_language(part, "lang"):
+                    texts = pc.fill_null(part.column("text").take(pa.array(at)), "").to_pylist()
+                    marks = np.array([zlib.crc32(t.encode()) for t in texts], np.uint32).view(np.int32)
+                    held.setdefault(lang, _Tally()).add(gram_runs(texts), marks, lang)
+                if sum(len(t.n) for t in held.values()) > most:
+                    yield from sent()
+        yield from sent()
+
+    found = rows.select("text", "lang").mapInArrow(lean(count), "lang string, gram string, n bigint, low int, high int")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3, kinds): what modified Kneser-Ney takes from counts of 1, 2 and more, from how many n-grams of the
+    language have counts 1 to 4; and the number of different n-grams."""
+    of = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), *(F.count_if(F.col("n") == c).cast("double").alias(f"n{c}") for c in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    some = (F.col("n1") > 0) & (F.col("n2") > 0)
+    raw = (1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), F.when(F.col("n3") > 0, 3 - 4 * y * F.col("n4") / F.col("n3")).otherwise(1.5))
+    return of.select("lang", "kinds", *(F.when(some, F.least(F.greatest(d, F.lit(0.1)), F.lit(c - 0.05))).otherwise(0.5).alias(f"d{c}") for c, d in zip((1, 2, 3), raw, strict=True)))
+
+
+def _shared() -> Column:
+    return F.col("low") != F.col("high")
+
+
+def kneser_ney(top: DataFrame) -> DataFrame:
+    """(lang, gram, n, p, value): the interpolated probability of each n-gram's last character behind the others, and
+    the logarithm that a text is charged for it.
+
+    top: counts of the highest order. Lower orders count the different characters in front. An n-gram that no two
+    different texts have counts as unseen where a text is judged, as it would otherwise be likely by its own counts: its
+    value is the weight of what is shorter, and the shorter one's value.
+    """
+    levels = {ORDER: top}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[order + 1].groupBy("lang", F.substring("gram", 2, order).alias("gram"))
+        levels[order] = stash(shorter.agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "counts", narrow=True)
+    below = None
+    for order in range(1, ORDER + 1):
+        counts = levels[order].join(_discounts(levels[order]), "lang")
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        counts = counts.withColumns({"cut": cut, "front": F.substring("gram", 1, order - 1)})
+        contexts = counts.groupBy("lang", "front").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), (F.min("low") != F.max("high")).alias("known"))
+        here = counts.join(contexts, ["lang", "front"])
+        weight = F.col("freed") / F.col("total")
+        if below is None:
+            shorter_p = 1.0 / (F.col("kinds") + 1)
+            shorter_value = F.log(shorter_p)
+        else:
+            here = here.withColumn("rear", F.substring("gram", 2, order - 1)).join(below.select("lang", F.col("gram").alias("rear"), F.col("p").alias("rear_p"), F.col("value").alias("rear_value")), ["lang", "rear"])
+            shorter_p, shorter_value = F.col("rear_p"), F.col("rear_value")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + weight * shorter_p
+        here = here.withColumn("p", p)
+        value = F.when(_shared(), F.log("p")).otherwise(F.when(F.col("known"), F.log(weight)).otherwise(0.0) + shorter_value)
+        below = here.select("lang", "gram", "n", "p", value.alias("value"))
+    return below
+
+
+def _bin(n: Column) -> Column:
+    """Classes of counts, eight to a doubling."""
+    return F.floor(F.log2(n.cast("double")) * 8).cast("int")
+
+
+def slice_bits(entries: int, per_slice: int = 1 << 14) -> int:
+    """How many of a key's first bits name its slice."""
+    return max(1, (max(1, entries) // per_slice).bit_length())
+
+
+def store_model(model: DataFrame, bits: int) -> DataFrame:
+    """(slice, entries): the model as sorted hash arrays, entries an array of (key, value, n) in ascending order of the key,
+    a slice a range of keys, so that slices are equal shares whatever the n-grams are."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, at in _by_language(batch, "lang"):
+                part = batch.take(pa.array(at))
+                chars = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(chars, lang)), part.column("value"), part.column("n")], names=["key", "value", "n"])
+
+    rows = model.select("lang", "gram", F.round(F.col("value") * UNIT).cast("int").alias("value"), "n").mapInArrow(lean(hashed), "key bigint, value int, n bigint")
+    return rows.groupBy(F.shiftright("key", 64 - bits).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("key", "value", "n"))).alias("entries"))
+
+
+def _failed(base: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
+    return (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
 
 
 def quality_rules(
@@ -243,191 +347,137 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    at_once: int = 15,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    low_spread: float = 6.0,
-    high_spread: float = 7.0,
+    low_spread: float = 9.0,
+    high_spread: float = 20.0,
     min_spread: float = 0.025,
+    everywhere: int = 1 << 21,
     carry: bool = False,
 ) -> DataFrame:
     """Base rules, then perplexity bands by language.
 
-    The model is one of character classes, of order 4, for each value of lang_col: a word model's counts would grow with
-    the corpus beyond what a worker can hold, these are bounded by the alphabet (CLASSES) whatever the corpus. Counts
-    cover all rows, base-failed ones too; tasks count into arrays. Each value's model is sent by itself; at_once bounds how
-    many languages a task counts or keeps unpacked at a time, and the result does not depend on it.
+    The model has every character n-gram of order 5 of each value of lang_col, over all rows, base-failed ones too. It is
+    counted, smoothed and stored as tables (see kneser_ney and store_model) and grows with the corpus. Its everywhere most
+    frequent entries at most go to every task, as sorted arrays; n-grams of a text that are not among them are sent to the
+    slice that has them, and their sums come back. The result does not depend on everywhere.
 
-    Each language's band lies around the median of the mean log-probability of its documents that pass the base rules,
-    from an exact histogram of STEP; its unit is the median absolute deviation, min_spread nats at least. Documents are
-    cut into windows of WINDOW characters, each judged by the language that gives it the highest probability, so that
-    a document of several languages is not taken for noise. Only languages with a document that passes the base rules
-    judge, as others have no band; without any of them all judge, and deviations are null. In its own language an n-gram
-    that is met in no other document is taken as unseen, so that rare noise is not likely by its own counts. deviation is
-    the mean over the characters of a document of how far they lie above that language's median, in its units: above
-    low_spread, perplexity is below the lower bound (repetitive, formulaic), below -high_spread it is above the upper one.
+    A language's band lies around the median of the mean log-probability a character of its different texts that pass the
+    base rules, from an exact histogram of STEP; its unit is the median absolute deviation, min_spread nats at least.
+    deviation is how far a text lies above its own language's median, in units: above low_spread, perplexity is below the
+    lower bound (repetitive, formulaic), below -high_spread it is above the upper one. n-grams that no other text has are
+    charged as unseen ones, copies of a text being one text, so that noise is not likely by its own counts.
 
     Returns (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
-    perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules
-    and have null perplexity. A null language is a language. Repeated rows count each time and give repeated results;
-    other columns are ignored; empty input gives no rows. Bounds are inclusive.
+    perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules and
+    have null perplexity and deviation; so has a language no text of which passes the base rules a null deviation. A null
+    language is a language. Texts of any length are counted whole; a slice of texts has 4 MB, or one text. Repeated rows
+    count each time and give repeated results; other columns are ignored; empty input gives no rows. Bounds are inclusive.
     """
     spark = docs.sparkSession
     ship(spark)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
-    number = {r["lang"]: i for i, r in enumerate(picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect())}
-    languages = len(number)
-
-    def by_language(batch: pa.RecordBatch, column: int) -> np.ndarray:
-        return np.array([number[x] for x in batch.column(column).to_pylist()], np.int64)
-
-    def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
-        return (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
-
-    def sent_counts(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for x, counted in total.items():
-            at = np.flatnonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], names=["lang", "gram", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        passing: set[int] = set()
-        for batch in batches:
-            langs = by_language(batch, 1)
-            for a, b in slices(batch.column(0)):
-                texts, of = batch.column(0).slice(a, b - a), langs[a:b]
-                for x in np.unique(of).tolist():
-                    mine = texts.filter(pa.array(of == x))
-                    for at in range(0, len(mine), 16):  # a few texts, as a rule: the first that passes will do
-                        if x not in passing and not base_failed(base_counts(mine.slice(at, 16))).all():
-                            passing.add(x)
-                    codes, _ = grams(pc.fill_null(mine, "").to_pylist())
-                    at, n = np.unique(codes.astype(np.int32), return_counts=True)
-                    if x not in total and len(total) == at_once:
-                        yield from sent_counts(total)
-                        total.clear()
-                    if x not in total:
-                        total[x] = np.zeros(CLASSES**ORDER, np.int64)
-                    total[x][at] += n
-        yield from sent_counts(total)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(passing), pa.int32()), pa.array([PASSING] * len(passing), pa.int32()), pa.array([1] * len(passing), pa.int64())], names=["lang", "gram", "n"])
-
-    table = picked.select("text", "lang").mapInArrow(lean(count), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    if languages > at_once:
-        table = stash(table, "grams")
-    models: list = []
-    passing: list[int] = []
-    for low in range(0, languages, at_once):  # CLASSES ** ORDER rows a language at most, a few in a hundred as a rule
-        some = table.where(F.col("lang").between(low, low + at_once - 1)).toArrow()
-        for x in range(low, min(low + at_once, languages)):
-            one = some.filter(pc.equal(some["lang"], x))
-            marks = pc.equal(one["gram"], PASSING)
-            passing += [x] if pc.any(marks).as_py() else []
-            one = one.filter(pc.invert(marks))
-            models.append(spark.sparkContext.broadcast(kneser_ney(np.zeros(len(one), np.int64), one["gram"].to_numpy(), one["n"].to_numpy())) if len(one) else None)
-    judges = passing or [x for x in range(languages) if models[x]]
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), language_key(F.col(lang_col).cast("string")).alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
+    top = stash(count_grams(picked), "grams")
+    classes = sorted(((r["c"], r["k"]) for r in top.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a few hundred classes at most
+    least, held = 0, 0
+    for c, k in classes:
+        if held + k > everywhere:
+            least = c + 1
+            break
+        held += k
+    bits = slice_bits(sum(k for _, k in classes))
+    stored = stash(store_model(kneser_ney(top), bits), "model")
+    entry = stored.select("slice", F.explode("entries").alias("e")).select("slice", "e.*")
+    head = entry.where(_bin(F.col("n")) >= least).select("key", "value").toArrow()  # everywhere rows at most
+    order = np.argsort(head["key"].to_numpy())
+    sent = spark.sparkContext.broadcast((head["key"].to_numpy()[order], head["value"].to_numpy()[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judging = set(judges)
-        every = np.arange(CLASSES**ORDER)
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def looked_up(kn: KneserNey, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log-probabilities in whole numbers of 2**-24 nats, whose sums do not depend on their order; and counts."""
-            at, hit = _find(kn.keys[-1], wanted)
-            n = np.zeros(len(wanted), np.int32)
-            n[hit] = np.minimum(kn.seen[-1][at[hit]], 1 << 30)
-            return np.rint(kn.score(0, wanted) * 2**24).astype(np.int32), n
-
+        keys, values = sent.value
         for batch in batches:
-            langs = by_language(batch, 2)
-            for a, b in slices(batch.column(1), 1 << 20):
-                texts, of = batch.column(1).slice(a, b - a), langs[a:b]
-                base = base_counts(texts)
-                codes, ends = grams(pc.fill_null(texts, "").to_pylist())
-                size = np.diff(ends)
-                doc = np.repeat(np.arange(b - a), size)
-                per = -(-size // WINDOW)
-                owner = np.repeat(np.arange(b - a), per)
-                begin = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
-                long = np.minimum(WINDOW, ends[1:][owner] - begin)
-                best = np.full(len(owner), np.iinfo(np.int64).min)
-                who = np.zeros(len(owner), np.int64)
-                own = np.zeros(b - a, np.int64)
-                met: tuple[np.ndarray, np.ndarray] | None = None
-                for x in sorted({*judging, *of[owner].tolist()}):
-                    if x in kept or len(kept) < at_once:
-                        if x not in kept:
-                            kept[x] = looked_up(models[x].value, every)
-                        (values, counts), place = kept[x], codes
-                    else:
-                        if met is None:
-                            met = np.unique(codes, return_inverse=True)
-                        (values, counts), place = looked_up(models[x].value, met[0]), met[1]
-                    found = values[place]
-                    in_x = np.flatnonzero(of[doc] == x)
-                    if len(in_x):
-                        some = codes[in_x]
-                        rare = np.flatnonzero(counts[place[in_x]] <= np.bincount(some, minlength=CLASSES**ORDER)[some])
-                        found[in_x[rare]] = np.rint(models[x].value.score_apart(0, some, doc[in_x], rare) * 2**24)
-                    if len(models) > at_once:
-                        vars(models[x]).pop("_value", None)  # read again when needed: workers hold one at a time
-                    sums = np.add.reduceat(found, begin, dtype=np.int64)
-                    if x in judging:
-                        who[sums > best] = x
-                        best = np.maximum(best, sums)
-                    mine = of[owner] == x
-                    np.add.at(own, owner[mine], sums[mine])
-                pair, of_pair = np.unique(owner * max(1, languages) + who, return_inverse=True)
-                chars, total = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
-                np.add.at(chars, of_pair, long)
-                np.add.at(total, of_pair, best)
-                begins = pa.array(np.searchsorted(pair, np.arange(b - a + 1) * max(1, languages)).astype(np.int32))
-                failed = base_failed(base)
+            for a, b in slices(batch.column("text"), 1 << 22):
+                part = batch.slice(a, b - a)
+                texts = part.column("text")
+                base = {c: np.zeros(b - a, np.int64) for c in BASE}
+                for c, d in slices(texts, 1 << 20):
+                    for name, found in base_counts(texts.slice(c, d - c)).items():
+                        base[name][c:d] = found
+                plain = pc.fill_null(texts, "").to_pylist()
+                total, missing = np.zeros(b - a, np.int64), [(np.zeros(0, np.int64),) * 3]
+                for lang, at in _by_language(part, "lang"):
+                    runs = gram_runs([plain[i] for i in at.tolist()])
+                    if not len(runs.n):
+                        continue
+                    wanted = keys_of(runs.chars, lang)
+                    by_key = np.argsort(wanted)
+                    place = np.empty(len(wanted), np.int64)
+                    place[by_key] = np.searchsorted(keys, wanted[by_key])
+                    place = np.minimum(place, max(0, len(keys) - 1))
+                    hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                    value = np.where(hit, values[place], 0).astype(np.int64) if len(keys) else np.zeros(len(wanted), np.int64)
+                    total[at] = np.rint(np.bincount(runs.text, value[runs.gram] * runs.n.astype(np.float64), len(at))).astype(np.int64)
+                    lost = np.flatnonzero(~hit[runs.gram])
+                    if len(lost):
+                        missing.append((at[runs.text[lost]], wanted[runs.gram[lost]], runs.n[lost]))
+                of, key, n = (np.concatenate(x) for x in zip(*missing, strict=True))
+                by_text = np.argsort(of, kind="stable")
+                begins = pa.array(np.searchsorted(of[by_text], np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
-                        *(pa.array(base[c], pa.int64()) for c in BASE),
-                        pa.array(failed),
-                        pa.array(of.astype(np.int32)),
-                        pa.array(own / np.maximum(size, 1) / 2**24, mask=size == 0),
-                        *(pa.ListArray.from_arrays(begins, pa.array(x)) for x in ((pair % max(1, languages)).astype(np.int32), chars, total)),
-                        *(c.slice(a, b - a) for c in batch.columns[3:]),
+                        part.column("id"),
+                        *(pa.array(base[c]) for c in BASE),
+                        pa.array(_failed(base, min_words, max_repeat_percent)),
+                        part.column("lang"),
+                        pa.array([len(t) for t in plain], pa.int64()),
+                        pa.array([zlib.crc32(t.encode()) for t in plain], pa.int64()),
+                        pa.array(total),
+                        pa.ListArray.from_arrays(begins, pa.array(key[by_text])),
+                        pa.ListArray.from_arrays(begins, pa.array(n[by_text].astype(np.int64))),
+                        *part.columns[3:],
                     ],
-                    names=["id", *BASE, "base_failed", "lang", "mean", "who", "chars", "total", *batch.schema.names[3:]],
+                    names=["id", *BASE, "base_failed", "lang", "chars", "mark", "total", "keys", "times", *part.schema.names[3:]],
                 )
 
     fields = ", ".join(f"{c} bigint" for c in BASE)
     row = f", carried {docs.schema.simpleString()}" if carry else ""
-    scored = stash(picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang int, mean double, who array<int>, chars array<bigint>, total array<bigint>{row}"), "scored")
-    bins = scored.where("not base_failed and mean is not null").groupBy("lang", F.floor(F.col("mean") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    bands = {x: band(*(bins.filter(pc.equal(bins["lang"], x)).column(c).to_numpy() for c in ("bin", "n")), min_spread) for x in passing}
-    middles, spreads = (F.array(*(F.lit(bands[x][i] if x in bands else None).cast("double") for x in range(languages))) for i in (0, 1))
-    whole = F.expr("aggregate(chars, 0L, (a, x) -> a + x)")
-    away = F.aggregate(F.arrays_zip("who", "chars", "total"), F.lit(0.0), lambda a, s: a + (s["total"] / F.lit(16777216.0) - s["chars"] * F.get(middles, s["who"])) / F.get(spreads, s["who"]))
-    judged = scored.withColumn("deviation", F.when(F.col("mean").isNotNull(), away / whole))
+    scored = picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang string, chars bigint, mark bigint, total bigint, keys array<bigint>, times array<bigint>{row}")
+    if least > 0:  # entries that were not sent: their slices are asked
+        scored = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
+        asked = scored.where(F.size("keys") > 0).select("uid", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("uid", "a.keys", "a.times")
+        more = _looked_up(asked, stored, least, bits).groupBy("uid").agg(F.sum("value").alias("more"))
+        scored = scored.drop("keys", "times").join(more, "uid", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("uid", "more")
+    else:
+        scored = scored.drop("keys", "times")
+    scored = stash(scored.withColumn("mean", F.when(F.col("chars") > 0, F.col("total") / F.lit(float(UNIT)) / F.col("chars"))), "scored")
+    drop_stash(top)
+    bins = scored.where("not base_failed and mean is not null").groupBy("lang", "mark", "chars").agg(F.min(F.floor(F.col("mean") / STEP)).alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    middles = bins.groupBy("lang").agg(((F.percentile("bin", F.lit(0.5), F.col("n")) + 0.5) * STEP).alias("middle"))
+    away = bins.join(middles, "lang").withColumn("away", F.abs((F.col("bin") + 0.5) * STEP - F.col("middle")))
+    bands = away.groupBy("lang", "middle").agg(F.greatest(F.percentile("away", F.lit(0.5), F.col("n")), F.lit(min_spread)).alias("spread"))
+    judged = scored.join(F.broadcast(bands) if bands.limit(100_001).count() <= 100_000 else bands, "lang", "left").withColumn("deviation", (F.col("mean") - F.col("middle")) / F.col("spread"))
     return judged.select(
         F.col("id").alias(id_col),
         *BASE,
         "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("deviation").between(-high_spread, low_spread), F.lit(False))).alias("kept"),
-        F.when(F.col("mean").isNotNull(), F.exp(-F.expr("aggregate(total, 0L, (a, x) -> a + x)") / F.lit(16777216.0) / whole)).alias("perplexity"),
+        F.exp(-F.col("mean")).alias("perplexity"),
         "deviation",
         *(["carried"] if carry else []),
     )
 
 
-#: The counts of the base rules, in the order of the result.
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def band(bins: np.ndarray, n: np.ndarray, min_spread: float) -> tuple[float, float]:
-    """The median of a histogram of one document at least, and the median distance from it."""
+def _looked_up(asked: DataFrame, stored: DataFrame, least: int, bits: int) -> DataFrame:
+    """(uid, value): for rows (uid, keys, times) times the value of the key, from the slice that has it. Slices are small,
+    and so is what is asked of one: only entries below the class least are."""
 
-    def median(x: np.ndarray) -> float:
-        order = np.argsort(x)
-        return float(x[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)])
+    def find(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(model):
+            return pd.DataFrame({"uid": texts.uid[:0], "value": texts.times[:0]})
+        keys, values = np.asarray(model["keys"].iloc[0]), np.asarray(model["found"].iloc[0])
+        at = np.searchsorted(keys, texts["keys"].to_numpy())
+        return pd.DataFrame({"uid": texts.uid, "value": values[at].astype(np.int64) * texts.times})
 
-    centre = (bins + 0.5) * STEP
-    middle = median(centre)
-    return middle, max(min_spread, median(np.abs(centre - middle)))
+    rare = F.filter("entries", lambda e: _bin(e["n"]) < least)
+    part = stored.select("slice", F.transform(rare, lambda e: e["key"]).alias("keys"), F.transform(rare, lambda e: e["value"]).alias("found"))
+    asked = asked.withColumn("slice", F.shiftright("keys", 64 - bits))
+    return asked.groupBy("slice").cogroup(part.groupBy("slice")).applyInPandas(find, "uid bigint, value bigint")

@@ -250,12 +250,18 @@ def test_rare_gibberish_is_rejected(spark, sf):
     rng = random.Random(5)
     made = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz0123456789", "zxqjkvwZXQJKVW0123456789"]
     noise = [(9_000_000 + i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(80)), "en") for i, a in enumerate(made)]
+    noise.append((9_000_009, noise[0][1], "en"))  # a copy does not make it likely
+    letters = "абвгдежзиклмнопрстуфхцчшыэюя"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(40)]
+    russian = [(9_300_000 + i, " ".join(rng.choice(words) for _ in range(100)), "ru") for i in range(150)]
+    noise += [(9_400_000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(100)), "ru") for i in range(10)]
     prose = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    rows = prose.unionByName(spark.createDataFrame([*noise, (9_500_000, "xq zj kw", "zz")], prose.schema))  # zz: no band
+    rows = prose.unionByName(spark.createDataFrame([*noise, *russian, (9_500_000, "xq zj kw", "zz")], prose.schema))  # zz: no band
     got = {r.doc_id: r for r in perplexity.quality_rules(rows).collect()}
-    assert all(not got[i].base_failed and not got[i].kept and got[i].deviation < -7 for i, _, _ in noise)
+    assert all(not got[i].base_failed and not got[i].kept and got[i].deviation < -20 for i, _, _ in noise)
+    assert sum(got[i].kept for i, _, _ in russian) >= 145 and got[9_500_000].deviation is None
     passed = [r for i, r in got.items() if i < 9_000_000 and not r.base_failed]
-    assert sum(r.kept for r in passed) >= 0.9 * len(passed) > 100
+    assert sum(r.kept for r in passed) >= 0.95 * len(passed) > 100
 
 
 def test_every_language_has_a_band(spark):
@@ -271,8 +277,8 @@ def test_every_language_has_a_band(spark):
         if not got[i].base_failed:
             by[lang].append(got[i].deviation)
     assert len(by) > 15 and all(abs(sorted(d)[len(d) // 2]) < 1 for d in by.values())
-    few = {r.doc_id: r for r in perplexity.quality_rules(docs, at_once=2).collect()}
-    assert few == got
+    for few in (0, 3000):  # entries that go to every task: the others are looked up in slices
+        assert {r.doc_id: r for r in perplexity.quality_rules(docs, everywhere=few).collect()} == got
 
 
 def test_no_language_with_a_band(spark):
@@ -280,15 +286,85 @@ def test_no_language_with_a_band(spark):
     assert [(r.kept, r.deviation) for r in got] == [(False, None), (False, None)] and got[0].perplexity > 1 and got[1].perplexity is None
 
 
-def test_kneser_ney_is_a_distribution():
-    codes, _ = perplexity.grams(["the cat sat on the mat. the dog sat."])
-    gram, n = np.unique(codes, return_counts=True)
-    m = perplexity.kneser_ney(np.zeros(len(gram), np.int64), gram, n)
-    for context in (int(codes[5]) // perplexity.CLASSES, int(codes[20]) // perplexity.CLASSES):
-        every = context * perplexity.CLASSES + np.arange(perplexity.CLASSES)
-        every = every % perplexity.CLASSES**perplexity.ORDER
-        assert abs(np.exp(m.score(0, every)).sum() - 1) < 1e-6
-    assert all((np.diff(k) > 0).all() for k in m.keys)
+def brute_kneser_ney(texts):
+    """Mean charges of texts of one language, by dictionaries of strings."""
+
+    def fold(t):
+        out = []
+        for i, c in enumerate(t):
+            if c in "\n\r":
+                out.append("\n")
+            elif c.isspace() or ord(c) < 32:
+                out.append(" ")
+            elif c.isdecimal():
+                out.append("0")
+            else:
+                out.append(c if i and c.isupper() and t[i - 1].isupper() else c.lower())
+        return "\0" * 4 + "".join(out)
+
+    spelled = [fold(t) for t in texts]
+    n, owners = [collections.Counter() for _ in range(6)], [collections.defaultdict(set) for _ in range(6)]
+    for raw, t in zip(texts, spelled, strict=True):
+        for i in range(len(t) - 4):
+            g = t[i : i + 5]
+            n[5][g] += 1
+            for k in range(1, 6):
+                owners[k][g[5 - k :]].add(raw)
+    for k in range(4, 0, -1):
+        for g in n[k + 1]:
+            n[k][g[1:]] += 1
+    p, charge = [{} for _ in range(6)], [{} for _ in range(6)]
+    for k in range(1, 6):
+        c = collections.Counter(n[k].values())
+        if c[1] and c[2]:
+            y = c[1] / (c[1] + 2 * c[2])
+            d = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3] if c[3] else 1.5]
+            d = [min(max(x, 0.1), m - 0.05) for m, x in zip((1, 2, 3), d, strict=True)]
+        else:
+            d = [0.5] * 3
+        total, freed, known = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+        for g, x in n[k].items():
+            total[g[:-1]] += x
+            freed[g[:-1]] += d[min(x, 3) - 1]
+            known[g[:-1]] |= owners[k][g]
+        for g, x in n[k].items():
+            w = freed[g[:-1]] / total[g[:-1]]
+            shorter = p[k - 1][g[1:]] if k > 1 else 1 / (len(n[1]) + 1)
+            p[k][g] = (x - d[min(x, 3) - 1]) / total[g[:-1]] + w * shorter
+            below = charge[k - 1][g[1:]] if k > 1 else np.log(shorter)
+            charge[k][g] = np.log(p[k][g]) if len(owners[k][g]) > 1 else (np.log(w) if len(known[g[:-1]]) > 1 else 0.0) + below
+    return p, n, [sum(charge[5][t[i : i + 5]] for i in range(len(t) - 4)) / (len(t) - 4) for t in spelled]
+
+
+def test_kneser_ney_equals_brute_force(spark, docs):
+    texts = [t for t in docs.values() if t][:40] + ["the cat SAT on the mat.\r\n\tThe dog sat, 12 times.", "日本語の文章です。 日本語。", "x", "x", "aaaaaaaa"]
+    p, n, want = brute_kneser_ney(texts)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.perplexity for r in perplexity.quality_rules(rows).collect()}
+    assert all(got[i] == pytest.approx(np.exp(-m), rel=1e-4) for i, m in enumerate(want))
+    model = perplexity.kneser_ney(perplexity.count_grams(rows))
+    found = {r.gram: (r.n, r.p) for r in model.collect()}
+    assert set(found) == set(n[5]) and all(found[g] == (n[5][g], pytest.approx(p[5][g])) for g in found)
+
+
+def test_stored_model_is_sorted_hash_arrays(spark):
+    rows = spark.createDataFrame([("the cat sat on the mat", "x"), ("the cat ran", "y")], "text string, lang string")
+    stored = perplexity.store_model(perplexity.kneser_ney(perplexity.count_grams(rows)), 3).collect()
+    assert all((e := [x.key for x in r.entries]) == sorted(e) and all(k >> 61 == r.slice for k in e) for r in stored) and len(stored) > 4
+
+
+def test_runs_of_many_characters_equal_those_of_few():
+    """The sort of packed numbers and that of hashes give the same counts."""
+    rng = random.Random(1)
+    few = ["".join(rng.choice("abc \n") for _ in range(rng.randint(0, 200))) for _ in range(30)]
+    many = [*few, "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))]
+
+    def counted(texts, upto):
+        r = perplexity.gram_runs(texts)
+        return {(tuple(r.chars[g].tolist()), t): n for g, t, n in zip(r.gram.tolist(), r.text.tolist(), r.n.tolist(), strict=True) if t < upto}
+
+    a, b = counted(few, 30), counted(many, 30)
+    assert a == b and sum(a.values()) == sum(map(len, few))
 
 
 def test_preferences(spark, sf):
@@ -475,7 +551,7 @@ def test_media(spark, odd, none):
         assert bytes(rows[i].payload) == flac.media_payload(text)
     blocks = flac.read_pcm(media.where("doc_id = 5"), samples=1000).orderBy("block").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == flac.media_payload(ODD[4][1]) and blocks[3].first_sample == 3000
-    assert flac.media_digests(odd, media).count() == len(ODD) and flac.read_media(flac.to_media(none)).count() == 0
+    assert flac.media_digests(flac.media_blocks(odd)).count() == len(ODD) and flac.media_digests(flac.media_blocks(none, parts=2)).count() == 0 and flac.read_media(flac.to_media(none)).count() == 0
 
 
 def test_byte_bpe(spark, sf, docs, odd, none):
@@ -495,15 +571,27 @@ def test_byte_bpe(spark, sf, docs, odd, none):
 
 
 def test_media_query_writes_pcm_blocks(spark, sf, odd, docs, monkeypatch):
-    written = {}
-    monkeypatch.setattr(flac, "stash", lambda df, tag, **options: written.setdefault(tag, queries.stash(df, tag, **options)), raising=False)
+    from tessella.llm import common
+
+    written = collections.defaultdict(list)
+
+    def keep(df, tag, **options):
+        written[tag].append(common.stash(df, tag, **options))
+        return written[tag][-1]
+
+    monkeypatch.setattr(flac, "stash", keep)
+    monkeypatch.setattr(flac, "drop_stash", lambda df: None)
     got = {r.doc_id: r for r in queries.op9_flac_media(spark, sf).collect()}
-    rows = written["pcm"].collect()
-    assert len(rows) == len(docs) == len(got)
+    rows = [r for part in written["pcm"] for r in part.collect()]
+    media = {r.doc_id: bytes(r.media) for part in written["media"] for r in part.collect()}
+    assert len(rows) == len(docs) == len(got) == len(media) and len(written["pcm"]) == 4
     for r in rows:
         payload = flac.media_payload(docs[r.doc_id])
         assert [(b.first_sample, bytes(b.pcm)) for b in r.blocks] == [(i, payload[i : i + 4096]) for i in range(0, len(payload), 4096)]
-        assert got[r.doc_id].payload_sha256 == hashlib.sha256(payload).hexdigest()
+        g, x = got[r.doc_id], np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len((docs[r.doc_id] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (g.media_bytes, g.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        assert g.feature == f"n={len(x)};sum={x.sum()};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()}"
 
 
 def test_pipeline(spark, sf, odd):
