@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.placement import unique_places
+
 #: How a turn is rendered: the role between OPEN and CLOSE, the text, the end of the turn.
 OPEN, CLOSE, STOP = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
+RESULTS = ("n_prompt_turns", "prompt", "chosen_text", "rejected_text", "chosen_loss", "rejected_loss")
 
 
 def _render(turns: str) -> str:
@@ -32,13 +35,15 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
     other's is.
 
     Replaces both columns by n_prompt_turns int, prompt, chosen_text, rejected_text string, chosen_loss, rejected_loss
-    array of (begin, end); the rejected ones are null without a rejected conversation. Works row by row: no shuffle.
+    array of (begin, end); the rejected ones are null without a rejected conversation. Other columns are kept, but for those
+    that have the name of a result. Texts of any length are rendered whole; repeated rows give repeated results; empty input
+    gives no rows. Works row by row: no shuffle.
     """
 
     def clean(c: Column) -> Column:
         return F.transform(c, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
-    other = [c for c in pairs.columns if c not in (chosen_col, rejected_col)]
+    other = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *RESULTS)]
     held = pairs.select(F.struct(*other).alias("_row"), F.coalesce(clean(F.col(chosen_col)), F.expr(f"cast(array() as {TURNS})")).alias("c"), clean(F.col(rejected_col)).alias("r"))
     common = "least(size(c), size(r))"
     differ = f"coalesce(array_min(filter(transform(c, (t, i) -> if(i < {common} and t <> r[i], i, null)), i -> i is not null)), {common})"
@@ -56,26 +61,26 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
     )
 
 
-def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned_role: str = "assistant", block: int = 10_000) -> DataFrame:
+def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned_role: str = "assistant") -> DataFrame:
     """Pairs of conversations that begin with the same turn: (pair_id, chosen_id, rejected_id, chosen, rejected).
 
     Conversations are put together from their turns, in the order of turn, role and text (null first; a null
-    conversation id is a conversation of its own). Those of one first turn are ordered by id and taken two by two; of a
+    conversation id is a conversation of its own; repeated turns are said twice). Ids are of any type that has an order;
+    other columns are ignored; empty input gives no rows. Those of one first turn are ordered by id and taken two by two; of a
     pair, the one with more characters by learned_role is chosen, of equal ones the first. One that is left over has no
     rejected conversation, so that every conversation is in the result once. pair_id is the first one's id.
 
-    A first turn may begin a third of all conversations: places within it are counted by blocks of ids, and the counts
-    of the blocks before are added, so that no task sees all of them. A single conversation is one row.
+    A first turn may begin a third of all conversations: only ids and first turns' digests are ordered, within ranges of
+    ids that hold equal shares whatever the ids are, and the counts of the ranges before are added, so that no task sees all
+    of them. A single conversation is one row.
     """
     picked = turns.select(F.col(conv_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     whole = picked.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("id", F.expr("transform(ts, t -> named_struct('role', t.role, 'text', t.text))").alias("turns"))
     said = F.expr(f"aggregate(turns, 0L, (n, t) -> n + if(t.role = '{learned_role}', length(t.text), 0))")
     first = F.sha2(F.to_json(F.element_at("turns", 1)), 256)
-    keyed = whole.select("id", "turns", said.alias("said"), first.alias("key"), F.coalesce(F.expr(f"id div {block}"), F.lit(-(2**62))).alias("block"))
-    before = keyed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("key", "block", (F.sum("n").over(Window.partitionBy("key").orderBy("block")) - F.col("n")).alias("before"))
-    placed = keyed.withColumn("in_block", F.row_number().over(Window.partitionBy("key", "block").orderBy(F.col("id").asc_nulls_first(), F.to_json("turns"))).cast("long") - 1)
-    placed = placed.join(before, ["key", "block"]).withColumn("place", F.col("in_block") + F.col("before"))
+    keyed = whole.select("id", "turns", said.alias("said"), first.alias("key"))
+    places = unique_places(keyed.select("id", "key"), ["key"], ["id"]).select(F.col("id").alias("_id"), (F.col("place") - 1).alias("place"))
+    placed = keyed.join(places, keyed["id"].eqNullSafe(places["_id"]))
     two = placed.groupBy("key", F.expr("place div 2").alias("pair")).agg(F.sort_array(F.collect_list(F.struct("place", "id", "said", "turns"))).alias("m"))  # two at most
     swap = F.coalesce(F.expr("get(m, 1).said > m[0].said"), F.lit(False))
     two = two.withColumn("swap", swap).withColumn("second", F.expr("get(m, 1)"))
