@@ -375,6 +375,17 @@ def test_preferences(spark, sf):
     assert got[1].chosen_text[a:b] == "go away now please<|end|>\n" and got[1].rejected_text == "<|assistant|>\nhello there<|end|>\n"
     assert got[3].rejected_id is None and got[3].rejected_text is None and got[3].chosen_text == "<|assistant|>\na<|end|>\n"
     assert got[4].prompt == "<||>\n<|end|>\n" and None in got
+    named = spark.createDataFrame([(f"c{i}", t, r, x) for i in (3, 1, 2) for t, r, x in ((0, "user", "hi"), (1, "assistant", "a" * i))] + [(None, 0, "user", "hi")], "conv_id string, turn int, role string, text string")
+    paired = preference.pair_conversations(named)
+    got = {r.pair_id: r for r in preference.format_preferences(paired.withColumn("prompt", F.lit(7)).withColumn("mine", F.lit("m"))).collect()}
+    assert set(got) == {None, "c2"} and got["c2"].chosen_id == "c3" and got[None].rejected_id is None and got["c2"].prompt == "<|user|>\nhi<|end|>\n" and got["c2"].mine == "m"
+    many = [(i * 10**12, t, r, f"{i}" * t) for i in range(300) for t, r in ((0, "user"), (1, "assistant"))]
+    paired = preference.pair_conversations(spark.createDataFrame(many, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted((r.pair_id, *sorted((r.chosen_id, r.rejected_id))) for r in paired) == [(i * 10**12, i * 10**12, (i + 1) * 10**12) for i in range(0, 300, 2)]
+    long = "x" * 300_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long)]
+    r = preference.format_preferences(preference.pair_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()[0]
+    assert r.n_prompt_turns == 2 and len(r.chosen_text) == 300_000 + 22 and len(r.prompt) > 600_000
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert preference.format_preferences(preference.pair_conversations(empty)).count() == 0
 
@@ -500,6 +511,31 @@ def test_warc(spark, sf):
     assert warc.deduplicate_archives(pages.limit(0)).count() == 0
     with pytest.raises(warc.MalformedArchive):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    whole = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\nX: y\r\n\r\n%s\r\n\r\n" % (n, b"z" * n) for n in (0, 5, 3_000_000, 1))
+    import gzip
+
+    members = gzip.compress(whole[:2_000_000]) + gzip.compress(whole[2_000_000:])
+    for raw in (whole, gzip.compress(whole), members):
+        assert [len(b) for _, b in warc.parse_records(raw)] == [0, 5, 3_000_000, 1]
+    for raw in (members[:-9], members[:100], whole[:-1]):
+        with pytest.raises(warc.MalformedArchive):
+            list(warc.parse_records(raw))
+
+
+def test_warc_strange_ids_and_sizes(spark):
+    ids = ["x\r\nContent-Length: 1", "null", None, "", "a b+c%20>", "ü"]
+    rows = [(i, "u", "p" * (150 if n % 2 else 10)) for n, i in enumerate(ids)] + [("big", "u", "q" * 70_000), ("big2", "u", "q" * 70_000), ("huge", None, "r" * 1_100_000)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = new_folder(spark, "test")
+    got = {r.page_id: r for r in warc.deduplicate_archives(pages, folder=folder).collect()}
+    assert set(got) == {r[0] for r in rows} and got["big2"].refers_to == "big" and got["huge"].payload_bytes == 1_100_000
+    same = sorted(i for n, i in enumerate(ids) if n % 2)
+    assert all((got[i].record_type, got[i].refers_to) == (("response", None) if i == same[0] else ("revisit", same[0])) for i in same)
+    records = warc.read_archives(spark, folder, "string").collect()
+    assert sorted((r.id or "-", bytes(r.payload).decode()) for r in records if r.payload is not None) == sorted((r[0] or "-", r[2]) for r in rows if got[r[0]].record_type == "response")
+    raw = [r.content for r in spark.read.format("binaryFile").load(f"{folder}/part-*").collect()]
+    heads = [(h, b) for x in raw for h, b in warc.parse_records(bytes(x))]
+    assert len(raw) >= 3 and all(b.startswith(b"HTTP/1.1 200 OK\r\n") and h["content-type"].startswith("application/http") for h, b in heads if h["warc-type"] == "response")
 
 
 def test_flac_round_trips_and_damage():
