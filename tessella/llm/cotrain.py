@@ -16,17 +16,19 @@ from .common import drop_stash, id_type, lean, ship, stash
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
-#: Classes of characters whose shares are features of the text view.
-_SHAPES = {
-    "upper": np.array([65 <= b <= 90 for b in range(256)]),
-    "lower": np.array([97 <= b <= 122 for b in range(256)]),
-    "digit": np.array([48 <= b <= 57 for b in range(256)]),
-    "space": SPACE,
-    "stop": np.array([chr(b) in ".,;:" for b in range(256)]),
-    "shout": np.array([chr(b) in "!?" for b in range(256)]),
-    "symbol": np.array([chr(b) in "#*$%&|<>=_~^@+\\/{}[]" for b in range(256)]),
-    "wide": np.array([b >= 0xC2 for b in range(256)]),
-}
+#: Classes of bytes whose shares are features of the text view: capitals, lower case, digits, blanks, stops, shouts, symbols,
+#: first bytes of others. No byte is of two classes.
+_SHAPES = (
+    np.array([65 <= b <= 90 for b in range(256)]),
+    np.array([97 <= b <= 122 for b in range(256)]),
+    np.array([48 <= b <= 57 for b in range(256)]),
+    SPACE,
+    np.array([chr(b) in ".,;:" for b in range(256)]),
+    np.array([chr(b) in "!?" for b in range(256)]),
+    np.array([chr(b) in "#*$%&|<>=_~^@+\\/{}[]" for b in range(256)]),
+    np.array([b >= 0xC2 for b in range(256)]),
+)
+_SHAPE_OF = sum(((i + 1) * mask for i, mask in enumerate(_SHAPES)), np.zeros(256, int)).astype(np.uint8)
 TEXT_DENSE = len(_SHAPES) + 4
 META_DENSE = 4
 
@@ -34,22 +36,23 @@ META_DENSE = 4
 def text_view(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Dense features of each whole text, shares and logarithms, and the buckets of its different words."""
     buf, off = flat(texts)
-    n = np.maximum(np.diff(off), 1)
-    columns = []
-    for mask in _SHAPES.values():
-        sums = np.concatenate([[0], np.cumsum(mask[buf], dtype=np.int64)])
-        columns.append((sums[off[1:]] - sums[off[:-1]]) / n)
+    n, size = len(off) - 1, np.diff(off)
+    shapes = np.bincount(np.repeat(np.arange(0, 16 * n, 16, dtype=np.int32), size) + _SHAPE_OF[buf], minlength=16 * n).reshape(n, 16)
+    columns = list((shapes[:, 1 : len(_SHAPES) + 1] / np.maximum(size, 1)[:, None]).T)
     starts, ends, first = word_spans(buf, off)
     h = span_hashes(buf, starts, ends)
     words = np.diff(first)
     letters = np.concatenate([[0], np.cumsum(ends - starts)])
     columns.append((letters[first[1:]] - letters[first[:-1]]) / np.maximum(words, 1) / 10)
-    buckets, different = [], []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        own = np.unique(h[a:b])
-        different.append(len(own) / max(1, b - a))
-        buckets.append(np.unique((own >> np.uint64(40)) & np.uint64(TEXT_BUCKETS - 1)).astype(np.int32))
-    columns.append(np.array(different))
+    # A text's number over 40 bits of each word: one sort finds the different words of all texts.
+    of = np.repeat(np.arange(n, dtype=np.uint64), words)
+    own = np.sort(of << np.uint64(40) | h >> np.uint64(24))
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+    columns.append(np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=n) / np.maximum(words, 1))
+    bits = np.uint64(TEXT_BUCKETS.bit_length() - 1)
+    at = np.sort((own >> np.uint64(40)) << bits | (own >> np.uint64(16)) & np.uint64(TEXT_BUCKETS - 1))
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    buckets = np.split((at & np.uint64(TEXT_BUCKETS - 1)).astype(np.int32), np.searchsorted(at >> bits, np.arange(1, n, dtype=np.uint64))) if n else []
     lines = [(t or "").split("\n") for t in texts.to_pylist()]
     columns.append(np.array([len(set(x)) / len(x) for x in lines]))
     columns.append(np.log1p(words) / 10)
