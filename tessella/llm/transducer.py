@@ -1,10 +1,9 @@
 """Token counts from a tokenizer compiled to deterministic transducers.
 
-Two machines read a text. The splitter reads character classes and marks where pre-tokens begin; the text is cut into
-chunks of equal length, each chunk becomes a map from the state before it to the state behind it, and a parallel prefix
-scan composes the maps, so that all chunks are read at once whatever came before. The merger reads bytes; its
+Two machines read a text. The splitter reads character classes and marks where pre-tokens begin. The merger reads bytes; its
 transitions carry the number of tokens that a byte adds to (or takes from) what has been emitted, and it starts anew at
-each pre-token.
+each pre-token. For both, the text is cut into chunks of equal length, each chunk becomes a map from the state before it to
+the state behind it, and a parallel prefix scan composes the maps, so that all chunks are read at once whatever came before.
 """
 
 from __future__ import annotations
@@ -217,44 +216,108 @@ class Merger:
         self.next[state, byte] = number + 1
         self.delta[state, byte] = change
 
-    def count(self, data: np.ndarray, begins: np.ndarray, lane: int = 512) -> np.ndarray:
-        """For each byte of data the change in the number of tokens; the machine starts anew at begins.
-
-        The stream is cut into lanes at pre-tokens, of about lane bytes each, and all lanes take a step at a time.
-        """
-        n = len(data)
-        out = np.zeros(n, np.int8)
-        if not n:
-            return out
-        if len(self.states) > self.max_states:
-            self._forget()
-        fresh = np.zeros(n + 1, bool)
-        fresh[begins] = True
-        cuts = np.unique(begins[np.minimum(np.searchsorted(begins, np.arange(0, n, lane)), len(begins) - 1)])
-        size = np.diff(np.append(cuts, n))
+    def _run(self, data: np.ndarray, fresh: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """The state behind each lane of size bytes from at on, entered in state; all lanes take a step at a time. The
+        machine starts anew where fresh says; changes are written to out."""
         order = np.argsort(-size, kind="stable")
-        at, size = cuts[order], size[order]
-        state = np.zeros(len(at), np.int32)
-        step = 0
-        alive = len(at)
+        at, size, now_in = at[order], size[order], state[order].astype(np.int32)
+        step, alive = 0, len(at)
         while alive:
             if size[alive - 1] <= step:
                 alive = int(np.searchsorted(-size, -step, "left"))
                 continue
             place = at[:alive] + step
             byte = data[place]
-            now = np.where(fresh[place], 0, state[:alive])
+            now = np.where(fresh[place], 0, now_in[:alive])
             to = self.next[now, byte]
             missing = np.flatnonzero(to == 0)
             if len(missing):
                 for key in np.unique(now[missing].astype(np.int64) << 8 | byte[missing]).tolist():
                     self._compile(key >> 8, key & 255)
                 to = self.next[now, byte]
-            out[place] = self.delta[now, byte]
-            state[:alive] = to - 1
+            if out is not None:
+                out[place] = self.delta[now, byte]
+            now_in[:alive] = to - 1
             step += 1
+        found = np.empty(len(at), np.int32)
+        found[order] = now_in
+        return found
+
+    def count(self, data: np.ndarray, begins: np.ndarray, chunk: int = 512, warm: int = 48) -> np.ndarray:
+        """For each byte of data the change in the number of tokens; the machine starts anew at begins, the first of which
+        is 0.
+
+        The stream is cut into chunks of equal length. A chunk in which a pre-token begins is a constant map: the state
+        behind it does not depend on the state before it. One that lies within a pre-token is a map from states to
+        states, made for the states that can come in: that behind the warm bytes before it, and whatever comes out of the
+        chunk before, until no new state comes out of any. A prefix scan composes the maps, so that every chunk knows the
+        state before it, and what was left open is read, all chunks at a time.
+        """
+        n = len(data)
+        out = np.zeros(n, np.int8)
+        if not n:
+            return out
+        if len(self.states) > self.max_states:
+            self._forget()
+        fresh = np.zeros(n, bool)
+        fresh[begins[begins < n]] = True
+        start = np.arange(0, n, chunk)
+        end = np.minimum(start + chunk, n)
+        lanes = len(start)
+        found = np.searchsorted(begins, start)
+        first = np.append(begins, n)[found]
+        inner = first >= end
+        first = np.minimum(first, end)
+        behind = self._run(data, fresh, first, end - first, np.zeros(lanes, np.int32), out)
+        entry = np.zeros(lanes, np.int32)
+        entry[1:] = behind[:-1]
+        if inner.any():
+            entry = self._compose(data, fresh, start, end, inner, behind, warm)
+        return self._heads(data, fresh, start, first, entry, out)
+
+    def _heads(self, data: np.ndarray, fresh: np.ndarray, start: np.ndarray, first: np.ndarray, entry: np.ndarray, out: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(first > start)
+        self._run(data, fresh, start[some], (first - start)[some], entry[some], out)
         return out
 
+    def _compose(self, data: np.ndarray, fresh: np.ndarray, start: np.ndarray, end: np.ndarray, inner: np.ndarray, behind: np.ndarray, warm: int) -> np.ndarray:
+        """The state before each chunk, where some chunks are maps: see count."""
+        lanes = np.flatnonzero(inner)
+        before = np.maximum(0, start[lanes] - warm)
+        guess = self._run(data, fresh, before, start[lanes] - before, np.zeros(len(lanes), np.int32))
+        known = ~inner[lanes - 1]  # the first chunk is never one: a pre-token begins at 0
+        guess[known] = behind[lanes[known] - 1]
+        maps: dict[int, dict[int, int]] = {i: {} for i in lanes.tolist()}
+        new = list(zip(lanes.tolist(), guess.tolist(), strict=True))
+        while new:
+            at = np.array([i for i, _ in new])
+            came = self._run(data, fresh, start[at], (end - start)[at], np.array([s for _, s in new], np.int32)).tolist()
+            more = set()
+            for (i, s), t in zip(new, came, strict=True):
+                maps[i][s] = t
+                if i + 1 in maps and t not in maps[i + 1]:
+                    more.add((i + 1, t))
+            new = sorted(more)
+        # The scan: table[k, j] is the place, among the states of the next chunk, of what state k of chunk j becomes.
+        states = [list(maps[i]) if i in maps else [int(behind[i])] for i in range(len(start))]
+        most = max(map(len, states))
+        table = np.zeros((most, len(start)), np.int32)
+        for i, m in maps.items():
+            if i + 1 in maps:
+                following = {s: k for k, s in enumerate(states[i + 1])}
+                table[: len(m), i] = [following[t] for t in m.values()]
+        for i in (lanes[known] - 1).tolist():  # constant maps
+            table[:, i] = states[i + 1].index(int(behind[i]))
+        step = 1
+        while step < len(start):
+            later = np.take_along_axis(table[:, step:], table[:, :-step].astype(np.intp), axis=0)
+            table = np.concatenate([table[:, :step], later], axis=1)
+            step *= 2
+        entry = np.zeros(len(start), np.int32)
+        for i in range(1, len(start)):
+            entry[i] = states[i][table[0, i - 1]] if inner[i] else (maps[i - 1][states[i - 1][table[0, i - 2]]] if inner[i - 1] else behind[i - 1])
+        return entry
+
 
 class TokenCounter:
     """Counts tokens as the library does, from its vocabulary file alone."""

@@ -429,6 +429,24 @@ def test_splitter_scan_does_not_depend_on_chunks():
     assert all((transducer.split_chunks(classes, n) == transducer.split_chunks(classes, 5000)).all() for n in (1, 7, 64))
 
 
+def test_counting_machine_does_not_depend_on_chunks():
+    """Long pre-tokens span many chunks, whose maps are composed; the states that come in are few or many."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    merger = transducer.counter(path).merger
+    rng = random.Random(2)
+    words = ["a" * 700, "ab" * 400 + "c", "".join(rng.choice("abcdefghijklmnop") for _ in range(900)), "x", "-=" * 300, "é" * 300, "the", "aaab" * 111]
+    for chunk in (1, 3, 16, 64, 512):
+        for warm in (0, 5, 48):
+            raw = [w.encode() for w in words]
+            begins = np.cumsum([0, *map(len, raw)])[:-1]
+            deltas = merger.count(np.frombuffer(b"".join(raw), np.uint8), begins, chunk, warm)
+            got = np.add.reduceat(deltas.astype(np.int64), begins).tolist()
+            assert got == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 def check_packing(rows, size, want):
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     seqs = collections.defaultdict(list)
