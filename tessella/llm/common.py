@@ -1,29 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, written tables, shipping of the code."""
+"""What the operators of this subpackage share: written tables, work that gives memory back, shipping of the code."""
 
 from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; where unset (tests), a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("tessella.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
+from .. import runtime
+from ..runtime import delete, new_folder
 
 
 def stash(df: DataFrame, tag: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
@@ -41,11 +28,8 @@ def stash(df: DataFrame, tag: str, compression: str = "zstd", narrow: bool = Fal
 
 def drop_stash(df: DataFrame) -> None:
     """Deletes the files of a stashed table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, hconf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hconf).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -64,24 +48,11 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once a context, wherever the driver was started. Where the number of
-    rows in an Arrow batch has been left at its default, it is lowered: rows are whole documents here."""
+    """Gives this package to the Python workers. Where the number of rows in an Arrow batch has been left at its default,
+    it is lowered: rows are whole documents here."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sc = spark.sparkContext
-    if getattr(sc, "_tessella_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(top)
-    target = os.path.join(tempfile.mkdtemp(prefix="tessella-zip-"), f"{name}_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, top)))
-    sc.addPyFile(target)
-    sc._tessella_shipped = True
+    runtime.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

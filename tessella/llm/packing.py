@@ -7,22 +7,25 @@ themselves are numbered and placed by distributed joins-free lookups in those pl
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
 from .common import id_type, lean, ship, stash
-from .textkit import slices
-
-_tokenizers: dict[str, object] = {}
-_chunks: dict[str, dict[str, bytes]] = {}
+from .textkit import flat, slices, span_hashes, word_spans
 
+#: A vocabulary of the kind whose ids are those of its words: white space is dropped, nothing is merged across
+#: it, letters are lower-cased, and a stop is not merged with what is before it.
+WORDS_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 def _encode_chunks(tokenizer, chunks: list[str], together: int = 256) -> list[tuple[str, bytes]]:
     """Each chunk with its ids. Chunks go to the library by the hundred, with a mark between them that is a token of
@@ -44,42 +47,94 @@ def _encode_chunks(tokenizer, chunks: list[str], together: int = 256) -> list[tu
     return out
 
 
-def chunk_ids(path: str, texts: list[str], max_kept: int = 800_000) -> list[bytes]:
-    """For each text its ids, as little-endian 32-bit integers, by the tokenizers library.
+def reads_words(path: str) -> bool:
+    """Whether the ids of a text are those of its words by the vocabulary at path: see WORDS_NORMALIZER."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = spec.get("normalizer") == WORDS_NORMALIZER and split.get("pattern") == {"Regex": WORDS_PATTERN} and split.get("behavior") == "Removed"
+    known = known and [r.get("type") for r in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and spec.get("post_processor") is None
+    return known and not any(any(c.isspace() or c.isalnum() and t["content"].isalnum() for c in t["content"]) for t in spec["added_tokens"])
+
 
-    The vocabulary drops white space and never merges across it, so that the ids of a text are those of its chunks
-    between spaces and line ends. Nor does it merge letters or digits with stops behind them, and it lower-cases: a
-    plain ASCII word is looked up in lower case and without its stops. What is not kept yet goes to the library.
+class WordIds:
+    """The ids of words by the tokenizers library, kept in arrays sorted by the words' 64-bit hashes.
+
+    A vocabulary that reads words (see reads_words) drops white space and never merges across it, so that the ids of a text
+    are those of its words. Nor does it merge letters or digits with stops behind them, and it lower-cases: a plain ASCII
+    word is asked for in lower case and without its stops. With other vocabularies whole texts go to the library. At most
+    about max_kept words are kept; beyond that all are forgotten.
     """
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path], _chunks[path] = Tokenizer.from_file(path), {"": b""}
-    if len(_chunks[path]) > max_kept:
-        _chunks[path] = {"": b""}
-    kept = _chunks[path]
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    here: set[str] = set()
-    for chunks in cut:
-        here.update(chunks)
-    new = [c for c in here if c not in kept]
-    words: dict[str, tuple[str, str]] = {}
-    for c in new:
-        if c.isascii():
-            low = c.lower()
+
+    def __init__(self, path: str, max_kept: int = 1_200_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.by_word, self.max_kept = Tokenizer.from_file(path), reads_words(path), max_kept
+        self.parts: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        if len(self.parts) > self.max_kept // 3:
+            self.parts = {"": b""}
+        cut: list[tuple[str, str]] = []
+        for w in words:
+            low = w.lower() if w.isascii() else ""
             word = low.rstrip(".,")
-            if word.isalnum() and word != c:
-                words[c] = (word, low[len(word) :])
-    ask = {c for c in new if c not in words}
-    ask.update(p for pair in words.values() for p in pair if p not in kept)
-    kept.update(_encode_chunks(_tokenizers[path], list(ask)))
-    kept.update([(c, kept[word] + kept[stops]) for c, (word, stops) in words.items()])
-    own = {c: kept[c] for c in here}.__getitem__
-    out = [b"".join(map(own, chunks)) for chunks in cut]
-    for c in {*new, *ask}:
-        if len(c) > 256:
-            kept.pop(c, None)
-    return out
+            cut.append((word, low[len(word) :]) if word.isalnum() else (w, ""))
+        new = {p for pair in cut for p in pair if p not in self.parts}
+        self.parts.update(_encode_chunks(self.tokenizer, list(new)))
+        found = [self.parts[a] + self.parts[b] for a, b in cut]
+        for p in new:
+            if len(p) > 256:
+                self.parts.pop(p, None)
+        return found
+
+    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+        ids = self._ask(words)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.key, self.begin, self.size = (np.concatenate(x) for x in ((self.key, key), (self.begin, begin), (self.size, size)))
+        order = np.argsort(self.key)
+        self.key, self.begin, self.size = self.key[order], self.begin[order], self.size[order]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        buf, off = flat(texts)
+        starts, ends, first = word_spans(buf, off)
+        wanted, at, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.key) + len(wanted) > self.max_kept:
+            self._forget()
+        place = np.searchsorted(self.key, wanted)
+        lost = np.ones(len(wanted), bool)
+        inside = place < len(self.key)
+        lost[inside] = self.key[place[inside]] != wanted[inside]
+        new = np.flatnonzero(lost)
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(wanted[new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.key, wanted)
+        size = self.size[place][which]
+        behind = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.begin[place][which] - behind[:-1], size) + np.arange(behind[-1])]
+        edge = behind[first]
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+_words: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """One for each vocabulary and worker process."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, size: int) -> DataFrame:
@@ -91,11 +146,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = tokenizer if os.sep in tokenizer else vocabulary(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
+        words = encoder(path)
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 22):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(chunk_ids(path, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])):
-                    ids += end
+                for i, found in enumerate(words.encode(batch.column(1).slice(a, b - a))):
+                    ids = found.astype("<u4", copy=False).tobytes() + end
                     for p, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]
                         rows.append(a + i)
@@ -331,17 +387,18 @@ def best_fit_packing(
     the small pieces; new sequences are opened only when no room is large enough.
 
     Returns (id_col, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long), a row for each
-    piece; sequences are gapless from offset 0. Null and empty texts are one piece of end_id alone. Ties in length are
-    ordered by (id, piece); repeated rows are pieces of their own. Empty input gives no rows; other columns are
-    ignored. The driver holds one count for each length and each free room, at most 2 * size numbers, and the plan.
+    piece; sequences are gapless from offset 0. Null and empty texts are one piece of end_id alone; very long ones are as
+    many pieces as they need. Pieces of one length are numbered in buckets of equal shares, whatever their ids are (null,
+    or one for many rows), and in a bucket by (id, piece). Repeated rows are pieces of their own. Empty input gives no
+    rows; other columns are ignored. The driver holds one count for each length and each free room, at most 2 * size numbers, and the plan.
     """
     spark = docs.sparkSession
     ship(spark)
-    pieces = stash(token_pieces(docs, id_col, text_col, tokenizer, end_id, size), "pieces")
+    pieces = stash(token_pieces(docs, id_col, text_col, tokenizer, end_id, size).withColumn("at", F.monotonically_increasing_id()), "pieces")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     limit = size // small_share
     rows = sum(hist.values())
-    ranked = stash(_ranked(pieces, ["length"], ["id", "piece", "ids_crc32"], ["id", "piece"], rows, "rank"), "ranked")
+    ranked = stash(_ranked(pieces, ["length"], ["id", "piece", "ids_crc32"], ["at"], rows, "rank").drop("at"), "ranked")
 
     begins, places, n_bins = plan_large({x: c for x, c in hist.items() if x > limit}, size, groups)
     first_rank = np.zeros(size + 1, np.int64)

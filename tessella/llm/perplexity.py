@@ -252,7 +252,7 @@ def count_grams(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 22):
+            for a, b in slices(batch.column("text"), 1 << 21):
                 part = batch.slice(a, b - a)
                 for lang, at in _by_language(part, "lang"):
                     texts = pc.fill_null(part.column("text").take(pa.array(at)), "").to_pylist()
@@ -371,7 +371,7 @@ def quality_rules(
     Returns (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
     perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules and
     have null perplexity and deviation; so has a language no text of which passes the base rules a null deviation. A null
-    language is a language. Texts of any length are counted whole; a slice of texts has 4 MB, or one text. Repeated rows
+    language is a language. Texts of any length are counted whole; a slice of texts has 2 MB, or one text. Repeated rows
     count each time and give repeated results; other columns are ignored; empty input gives no rows. Bounds are inclusive.
     """
     spark = docs.sparkSession
@@ -395,7 +395,7 @@ def quality_rules(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = sent.value
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 22):
+            for a, b in slices(batch.column("text"), 1 << 21):
                 part = batch.slice(a, b - a)
                 texts = part.column("text")
                 base = {c: np.zeros(b - a, np.int64) for c in BASE}

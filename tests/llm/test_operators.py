@@ -482,7 +482,16 @@ def test_packing(spark, sf, docs, odd, none):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.chunk_ids(path, tricky())] == [library.encode(t, add_special_tokens=False).ids for t in tricky()]
+    assert [x.tolist() for x in packing.encoder(path).encode(pa.array(tricky()))] == [library.encode(t, add_special_tokens=False).ids for t in tricky()]
+    assert packing.reads_words(path)
+    small = packing.WordIds(path, max_kept=50)  # forgets, with the same results
+    assert [x.tolist() for a in range(0, 812, 100) for x in small.encode(pa.array(tricky()[a : a + 100]))] == [library.encode(t, add_special_tokens=False).ids for t in tricky()]
+    other = public_tokenizers.path("byte_bpe_50k.json")  # of another kind: whole texts go to the library
+    library = Tokenizer.from_file(other)
+    assert not packing.reads_words(other)
+    assert [x.tolist() for x in packing.encoder(other).encode(pa.array(tricky()))] == [library.encode(t, add_special_tokens=False).ids for t in tricky()]
+    same = odd.limit(0).unionByName(odd.sparkSession.createDataFrame([(None, "hot text", "en", "s", 1, True, 1, "s", 2, "d")] * 300, SCHEMA))
+    assert check_packing(packing.best_fit_packing(same, size=64).collect(), 64, [(0, 0, 0, 3, zlib.crc32(np.array([*Tokenizer.from_file(path).encode("hot text").ids, 1], "<u4").tobytes()))] * 300) == 15
 
 
 @pytest.mark.parametrize("seed", range(4))
