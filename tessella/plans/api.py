@@ -125,28 +125,28 @@ def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 5
         refused = F.lit(f"no such compression here: {cfg.compression_type}")
     codec = None if is_tiff else zarr.known_codec(spark.range(1).select(zarr_codec(F.lit(cfg.compression_type))).first()[0])
     with Scratch(spark) as scratch:
-        tiles = scratch.stash(place(spark, cfg), "tiles")  # headers are read once
+        tiles = stash(place(spark, cfg), "tiles")  # headers are read once
         groups = group_bounds(tiles).join(raster.group_shapes(tiles, fill_background), "subdir")
         big = F.ceil(F.col("width") / chunk).cast("double") * F.ceil(F.col("height") / chunk) > max_chunks
         groups = groups.withColumn("error", F.coalesce("error", refused, F.when(big, F.format_string("an extent of %s by %s pixels", F.col("width").cast("string"), F.col("height").cast("string")))))
         images = _with_paths(_with_levels(groups, base, chunk, step, None if is_tiff or base == 1 else BASE_LEVELS), cfg, extension)
-        images = scratch.stash(images.withColumn("folder", F.concat("path", F.lit(f".{uuid.uuid4().hex}.part"))), "images")
+        images = stash(images.withColumn("folder", F.concat("path", F.lit(f".{uuid.uuid4().hex}.part"))), "images")
         n, depth = images.agg(F.count(F.lit(1)), F.max(F.when(F.col("error").isNull(), F.size("heights")))).first()
         good = images.where("error is null")
         outcomes, encoded = [], []
         level = None
         for k in range(depth or 0):
             if level is None:
-                level = scratch.stash(_composed(tiles, good, chunk), "level")
+                level = stash(_composed(tiles, good, chunk), "level")
                 if base != 1:
-                    level = scratch.stash(raster.resample(level, chunk, base, 0), "level")
+                    level = stash(raster.resample(level, chunk, base, 0), "level")
             else:
                 deeper = good.where(F.size("heights") > k).select("subdir")
-                level = scratch.stash(raster.resample(level.join(_few(deeper, n), "subdir", "left_semi"), chunk, step, k), "level")
+                level = stash(raster.resample(level.join(_few(deeper, n), "subdir", "left_semi"), chunk, step, k), "level")
             if is_tiff:
-                encoded.append(scratch.stash(tiff.encode_tiles(level, chunk, edge, cfg.compression_type), "encoded", "none"))
+                encoded.append(stash(tiff.encode_tiles(level, chunk, edge, cfg.compression_type), "encoded", "none"))
             else:
-                outcomes.append(scratch.stash(zarr.write_chunks(level.join(_few(good.select("subdir", "folder"), n), "subdir"), chunk, codec), "written"))
+                outcomes.append(stash(zarr.write_chunks(level.join(_few(good.select("subdir", "folder"), n), "subdir"), chunk, codec), "written"))
             if progress:
                 progress((k + 1) / (depth + 1))
         if encoded:
@@ -163,10 +163,10 @@ def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 5
             done = _finish(ready, chunk, codec, [base * step**i for i in range(64)], cfg.pixel_size_um, cfg.z_spacing_um)
         else:
             done = spark.createDataFrame([], "subdir string, error string")
-        done = scratch.stash(done.withColumnRenamed("error", "failed").withColumn("done", F.lit(True)), "done")
+        done = stash(done.withColumnRenamed("error", "failed").withColumn("done", F.lit(True)), "done")
         why = F.coalesce("error", "failed", F.when(F.col("done").isNull(), "nothing was written"))
         found = images.join(done, "subdir", "left").select("subdir", F.col("n").alias("n_tiles"), F.when(why.isNull(), "ok").otherwise("failed").alias("status"), F.when(why.isNull(), F.col("path")).alias("path"), why.alias("error"))
-        result = stash(found, "outputs")
+        result = scratch.keep(stash(found, "outputs"))
     if progress:
         progress(1.0)
     log.info("%d groups in %.1f s", n, time.monotonic() - began)

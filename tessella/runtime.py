@@ -51,24 +51,24 @@ def release(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables for the length of a block: what is stashed in it is deleted at its end."""
+    """The length of a block: what is written to the shared folder in it is deleted at its end, but for what is kept."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> Scratch:
-        self.held: list[str] = []
+        self.begin = len(_written)
         return self
 
-    def stash(self, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-        found = stash(df, tag, compression)
-        self.held.append(_written[-1])
-        return found
+    def keep(self, made: DataFrame) -> DataFrame:
+        """made, whose table was the last to be written: it stays."""
+        _written.insert(self.begin, _written.pop())
+        self.begin += 1
+        return made
 
     def __exit__(self, *_) -> None:
-        for path in self.held:
-            _written.remove(path)
-            delete(self.spark, path)
+        while len(_written) > self.begin:
+            delete(self.spark, _written.pop())
 
 
 def ship(spark: SparkSession) -> None:

@@ -431,7 +431,12 @@ def test_shared_folder(spark, monkeypatch):
     path = runtime._written[-1]
     assert kept.count() == 3
     with runtime.Scratch(spark) as s:
-        held = s.stash(spark.range(2), "held").inputFiles()
+        held = runtime.stash(spark.range(2), "held").inputFiles()
+        stays = s.keep(runtime.stash(spark.range(4), "stays"))
+        with runtime.Scratch(spark):
+            runtime.stash(spark.range(1), "inner")
+        assert len(runtime._written) >= 3
+    assert stays.count() == 4
     import os
 
     assert held and not any(os.path.exists(f[7:]) for f in held) and path in runtime._written
