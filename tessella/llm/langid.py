@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
 from .common import id_type, lean, ship, stash
 from .textkit import slices
 
@@ -231,6 +232,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows count each time; other columns are ignored; empty input gives no rows.
     """
     held = F.coalesce(fold(id_col) == held_fold, F.lit(False))
-    model = fit(docs, F.col(id_col).isNotNull() & ~held, text_col, lang_col, **options)
+    with Scratch(docs.sparkSession):
+        model = fit(docs, F.col(id_col).isNotNull() & ~held, text_col, lang_col, **options)
     # Folds are a function of the id: no join is needed to bring them back.
     return predict(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "lang_pred", "score")

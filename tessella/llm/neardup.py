@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
 from .common import drop_stash, id_type, lean, ship, stash
 from .components import connected_components
 from .textkit import LOWER, flat, mix64, slices, span_hashes, word_spans
@@ -246,6 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
+    with Scratch(spark) as scratch:
+        return scratch.keep(stash(_near_duplicates(docs, id_col, text_col, width, percent, k, min_matches, wide, least_wide, block), "components", narrow=True))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int, min_matches: int, wide: int, least_wide: int, block: int) -> DataFrame:
+    """The steps of near_duplicates; its result reads tables that they write."""
     kind = id_type(docs, id_col)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stash(picked.mapInArrow(lean(_signer(width, k)), f"id {kind}, n bigint, digest binary, sig array<int>"), "signed")
@@ -306,19 +313,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = stash(dealt.mapInArrow(lean(_merger(wide, least_wide)), "key bigint, i int, j int, digest binary, partners array<binary>"), "cross")
     members = cross.join(texts.select("digest", "text"), "digest").select("key", "i", "j", "digest", "partners", "text")
     second = stash(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_confirmer(width, percent)), "u binary, v binary").distinct(), "links2", narrow=True)
-    for done in (labelled, texts, met, postings, posted, cross):
+    for done in (labelled, texts, met, postings, posted, cross):  # they are many: before the next tables are written
         drop_stash(done)
     final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
     named = classes.select("digest", "least").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     of_class = named.join(least, "label").select("digest", "component")
-    return (
-        signed.select("id", "n", "digest")
-        .join(of_class, "digest", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-        )
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = signed.select("id", "n", "digest").join(of_class, "digest", "left").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
+    return found.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
+from ..runtime import Scratch
 from .common import id_type, lean, ship, stash
 from .textkit import flat, slices, span_hashes, word_spans
 
@@ -394,6 +395,12 @@ def best_fit_packing(
     """
     spark = docs.sparkSession
     ship(spark)
+    with Scratch(spark) as scratch:
+        return scratch.keep(stash(_packed(docs, id_col, text_col, tokenizer, end_id, size, groups, small_share), "packed"))
+
+
+def _packed(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, size: int, groups: int, small_share: int) -> DataFrame:
+    """The steps of best_fit_packing; its result reads tables that they write."""
     pieces = stash(token_pieces(docs, id_col, text_col, tokenizer, end_id, size).withColumn("at", F.monotonically_increasing_id()), "pieces")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     limit = size // small_share

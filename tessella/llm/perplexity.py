@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, id_type, lean, ship, stash
+from ..runtime import Scratch
+from .common import id_type, lean, ship, stash
 from .textkit import flat, mix64, slices, span_hashes, word_spans
 
 #: The characters that count as symbols.
@@ -376,80 +377,80 @@ def quality_rules(
     """
     spark = docs.sparkSession
     ship(spark)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), language_key(F.col(lang_col).cast("string")).alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
-    top = stash(count_grams(picked), "grams")
-    classes = sorted(((r["c"], r["k"]) for r in top.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a few hundred classes at most
-    least, held = 0, 0
-    for c, k in classes:
-        if held + k > everywhere:
-            least = c + 1
-            break
-        held += k
-    bits = slice_bits(sum(k for _, k in classes))
-    stored = stash(store_model(kneser_ney(top), bits), "model")
-    entry = stored.select("slice", F.explode("entries").alias("e")).select("slice", "e.*")
-    head = entry.where(_bin(F.col("n")) >= least).select("key", "value").toArrow()  # everywhere rows at most
-    order = np.argsort(head["key"].to_numpy())
-    sent = spark.sparkContext.broadcast((head["key"].to_numpy()[order], head["value"].to_numpy()[order]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = sent.value
-        for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 21):
-                part = batch.slice(a, b - a)
-                texts = part.column("text")
-                base = {c: np.zeros(b - a, np.int64) for c in BASE}
-                for c, d in slices(texts, 1 << 20):
-                    for name, found in base_counts(texts.slice(c, d - c)).items():
-                        base[name][c:d] = found
-                plain = pc.fill_null(texts, "").to_pylist()
-                total, missing = np.zeros(b - a, np.int64), [(np.zeros(0, np.int64),) * 3]
-                for lang, at in _by_language(part, "lang"):
-                    runs = gram_runs([plain[i] for i in at.tolist()])
-                    if not len(runs.n):
-                        continue
-                    wanted = keys_of(runs.chars, lang)
-                    by_key = np.argsort(wanted)
-                    place = np.empty(len(wanted), np.int64)
-                    place[by_key] = np.searchsorted(keys, wanted[by_key])
-                    place = np.minimum(place, max(0, len(keys) - 1))
-                    hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
-                    value = np.where(hit, values[place], 0).astype(np.int64) if len(keys) else np.zeros(len(wanted), np.int64)
-                    total[at] = np.rint(np.bincount(runs.text, value[runs.gram] * runs.n.astype(np.float64), len(at))).astype(np.int64)
-                    lost = np.flatnonzero(~hit[runs.gram])
-                    if len(lost):
-                        missing.append((at[runs.text[lost]], wanted[runs.gram[lost]], runs.n[lost]))
-                of, key, n = (np.concatenate(x) for x in zip(*missing, strict=True))
-                by_text = np.argsort(of, kind="stable")
-                begins = pa.array(np.searchsorted(of[by_text], np.arange(b - a + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        *(pa.array(base[c]) for c in BASE),
-                        pa.array(_failed(base, min_words, max_repeat_percent)),
-                        part.column("lang"),
-                        pa.array([len(t) for t in plain], pa.int64()),
-                        pa.array([zlib.crc32(t.encode()) for t in plain], pa.int64()),
-                        pa.array(total),
-                        pa.ListArray.from_arrays(begins, pa.array(key[by_text])),
-                        pa.ListArray.from_arrays(begins, pa.array(n[by_text].astype(np.int64))),
-                        *part.columns[3:],
-                    ],
-                    names=["id", *BASE, "base_failed", "lang", "chars", "mark", "total", "keys", "times", *part.schema.names[3:]],
-                )
-
-    fields = ", ".join(f"{c} bigint" for c in BASE)
-    row = f", carried {docs.schema.simpleString()}" if carry else ""
-    scored = picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang string, chars bigint, mark bigint, total bigint, keys array<bigint>, times array<bigint>{row}")
-    if least > 0:  # entries that were not sent: their slices are asked
-        scored = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
-        asked = scored.where(F.size("keys") > 0).select("uid", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("uid", "a.keys", "a.times")
-        more = _looked_up(asked, stored, least, bits).groupBy("uid").agg(F.sum("value").alias("more"))
-        scored = scored.drop("keys", "times").join(more, "uid", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("uid", "more")
-    else:
-        scored = scored.drop("keys", "times")
-    scored = stash(scored.withColumn("mean", F.when(F.col("chars") > 0, F.col("total") / F.lit(float(UNIT)) / F.col("chars"))), "scored")
-    drop_stash(top)
+    with Scratch(spark) as scratch:
+        picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), language_key(F.col(lang_col).cast("string")).alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
+        top = stash(count_grams(picked), "grams")
+        classes = sorted(((r["c"], r["k"]) for r in top.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a few hundred classes at most
+        least, held = 0, 0
+        for c, k in classes:
+            if held + k > everywhere:
+                least = c + 1
+                break
+            held += k
+        bits = slice_bits(sum(k for _, k in classes))
+        stored = stash(store_model(kneser_ney(top), bits), "model")
+        entry = stored.select("slice", F.explode("entries").alias("e")).select("slice", "e.*")
+        head = entry.where(_bin(F.col("n")) >= least).select("key", "value").toArrow()  # everywhere rows at most
+        order = np.argsort(head["key"].to_numpy())
+        sent = spark.sparkContext.broadcast((head["key"].to_numpy()[order], head["value"].to_numpy()[order]))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = sent.value
+            for batch in batches:
+                for a, b in slices(batch.column("text"), 1 << 21):
+                    part = batch.slice(a, b - a)
+                    texts = part.column("text")
+                    base = {c: np.zeros(b - a, np.int64) for c in BASE}
+                    for c, d in slices(texts, 1 << 20):
+                        for name, found in base_counts(texts.slice(c, d - c)).items():
+                            base[name][c:d] = found
+                    plain = pc.fill_null(texts, "").to_pylist()
+                    total, missing = np.zeros(b - a, np.int64), [(np.zeros(0, np.int64),) * 3]
+                    for lang, at in _by_language(part, "lang"):
+                        runs = gram_runs([plain[i] for i in at.tolist()])
+                        if not len(runs.n):
+                            continue
+                        wanted = keys_of(runs.chars, lang)
+                        by_key = np.argsort(wanted)
+                        place = np.empty(len(wanted), np.int64)
+                        place[by_key] = np.searchsorted(keys, wanted[by_key])
+                        place = np.minimum(place, max(0, len(keys) - 1))
+                        hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                        value = np.where(hit, values[place], 0).astype(np.int64) if len(keys) else np.zeros(len(wanted), np.int64)
+                        total[at] = np.rint(np.bincount(runs.text, value[runs.gram] * runs.n.astype(np.float64), len(at))).astype(np.int64)
+                        lost = np.flatnonzero(~hit[runs.gram])
+                        if len(lost):
+                            missing.append((at[runs.text[lost]], wanted[runs.gram[lost]], runs.n[lost]))
+                    of, key, n = (np.concatenate(x) for x in zip(*missing, strict=True))
+                    by_text = np.argsort(of, kind="stable")
+                    begins = pa.array(np.searchsorted(of[by_text], np.arange(b - a + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("id"),
+                            *(pa.array(base[c]) for c in BASE),
+                            pa.array(_failed(base, min_words, max_repeat_percent)),
+                            part.column("lang"),
+                            pa.array([len(t) for t in plain], pa.int64()),
+                            pa.array([zlib.crc32(t.encode()) for t in plain], pa.int64()),
+                            pa.array(total),
+                            pa.ListArray.from_arrays(begins, pa.array(key[by_text])),
+                            pa.ListArray.from_arrays(begins, pa.array(n[by_text].astype(np.int64))),
+                            *part.columns[3:],
+                        ],
+                        names=["id", *BASE, "base_failed", "lang", "chars", "mark", "total", "keys", "times", *part.schema.names[3:]],
+                    )
+
+        fields = ", ".join(f"{c} bigint" for c in BASE)
+        row = f", carried {docs.schema.simpleString()}" if carry else ""
+        scored = picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang string, chars bigint, mark bigint, total bigint, keys array<bigint>, times array<bigint>{row}")
+        if least > 0:  # entries that were not sent: their slices are asked
+            scored = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
+            asked = scored.where(F.size("keys") > 0).select("uid", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("uid", "a.keys", "a.times")
+            more = _looked_up(asked, stored, least, bits).groupBy("uid").agg(F.sum("value").alias("more"))
+            scored = scored.drop("keys", "times").join(more, "uid", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("uid", "more")
+        else:
+            scored = scored.drop("keys", "times")
+        scored = scratch.keep(stash(scored.withColumn("mean", F.when(F.col("chars") > 0, F.col("total") / F.lit(float(UNIT)) / F.col("chars"))), "scored"))
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", "mark", "chars").agg(F.min(F.floor(F.col("mean") / STEP)).alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     middles = bins.groupBy("lang").agg(((F.percentile("bin", F.lit(0.5), F.col("n")) + 0.5) * STEP).alias("middle"))
     away = bins.join(middles, "lang").withColumn("away", F.abs((F.col("bin") + 0.5) * STEP - F.col("middle")))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
 from .common import id_type, lean, new_folder, ship, stash
 
 #: Fixed values of the format: its version line, and the profile of revisits that are found by payload digest.
@@ -229,7 +230,8 @@ def deduplicate_archives(pages: DataFrame, id_col: str = "page_id", url_col: str
     ship(spark)
     kind = id_type(pages, id_col)
     folder = folder or new_folder(spark, "warc")
-    write_archives(pages, resolve_revisits(pages, id_col, payload_col, least_bytes), folder, id_col, url_col, payload_col)
+    with Scratch(spark):
+        write_archives(pages, resolve_revisits(pages, id_col, payload_col, least_bytes), folder, id_col, url_col, payload_col)
     records = stash(read_archives(spark, folder, kind).drop("payload", "uri"), "records")
     original = records.where("record_type = 'response'").join(records.where("record_type = 'revisit'").select(F.col("refers_to").alias("id")).distinct(), "id", "left_semi").groupBy("id", "payload_digest").agg(F.max("stored_bytes").alias("full"))
     spread = original.select(F.col("id").alias("refers_to"), "payload_digest", "full", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
