@@ -674,6 +674,42 @@ def test_pipeline(spark, sf, odd):
     assert c.quality_classifier_stage(spark, odd, sf).columns == odd.columns
 
 
+@pytest.mark.parametrize("place", range(4))
+def test_pipeline_stages_on_empty_and_odd_tables(spark, sf, odd, none, place):
+    import corpus_pipeline as c
+
+    name, stage = c.STAGES[place]
+    empty = stage(spark, none, sf)
+    assert empty.count() == 0
+    long = odd.where("doc_id = 9").withColumn("text", F.expr("repeat('plain words of a very long text without an end, ', 20000)"))
+    rows = odd.unionByName(long)
+    got = stage(spark, rows, sf)
+    if name == "packing":
+        assert {r.doc_id for r in got.select("doc_id").collect()} == {r[0] for r in ODD} and got.columns == empty.columns
+        return
+    assert got.columns == empty.columns == odd.columns
+    found = collections.Counter(map(repr, got.collect()))
+    assert all(n <= m for n, m in zip(found.values(), (collections.Counter(map(repr, rows.collect()))[k] for k in found), strict=True))
+    ids = {r.doc_id for r in got.collect()}
+    if name == "quality_rules":
+        assert not ids & {1, 2, 3, 4, 5}  # without words, too few, and one sentence again and again
+    if name == "near_dedup":
+        assert {1, 2, 3, 6, None} <= ids and 7 not in ids
+    if name == "quality_classifier":  # no label of these documents, or of one class only
+        assert got.count() == rows.count()
+
+
+def test_pipeline_follows_brute_force(spark, sf, docs):
+    """From what the first two stages keep: one of each group by all pairs, and pieces by the library."""
+    import corpus_pipeline as c
+
+    all_docs = table(spark, sf, "documents")
+    kept = c.quality_classifier_stage(spark, c.quality_rules_stage(spark, all_docs, sf), sf).select("doc_id").collect()
+    sets = {r.doc_id: shingles(docs[r.doc_id]) for r in kept}
+    want = {i for i, root in components(sets).items() if i == root}
+    check_packing(c.run(spark, sf).collect(), 4096, list(pieces([(i, docs[i]) for i in want], 4096)))
+
+
 def test_word_spans_cross_no_text():
     from tessella.llm.textkit import flat, word_spans
 
