@@ -137,6 +137,13 @@ def unique_places(names: DataFrame, by: list[str], order: list[str]) -> DataFram
     return local.join(before, same).select(*names.columns, (F.col("place") + F.col("_before")).cast("int").alias("place"))
 
 
+def numbers_taken(names: DataFrame, base: str) -> DataFrame:
+    """(prefix, numbers array<int>) of names that read prefix_n, n from 2 on: those that a numbered name must not have."""
+    parts = [F.regexp_extract(base, "^(.*)_([1-9][0-9]*)$", i) for i in (1, 2)]
+    found = names.select(parts[0].alias("prefix"), parts[1].try_cast("int").alias("n")).where("n >= 2")
+    return found.groupBy("prefix").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
+
+
 def free_numbers(names: DataFrame, base: str, order: list[str]) -> DataFrame:
     """names and number: 1 for the first row of each base, which keeps its plain name, and for each further row the next
     number from 2 on whose name, base_number, is not itself a base here (K6, K7, J7). So no two rows share a name:

@@ -15,7 +15,7 @@ from ..config import OutputFormat, StitchConfig
 from ..functions.text import TIFF_CODECS, numbered_name, output_base, output_name, zarr_codec
 from ..operators import raster
 from ..operators.mosaic import group_bounds, level_depth
-from ..operators.placement import free_numbers, translate_origin
+from ..operators.placement import numbers_taken, translate_origin
 from ..runtime import Scratch, ship, stash
 from ..sinks import store, tiff, zarr
 from .strategies import strategy
@@ -53,11 +53,17 @@ def _with_paths(groups: DataFrame, cfg: StitchConfig, extension: str) -> DataFra
     spark, folder = groups.sparkSession, cfg.output_path.rstrip("/")
     there = [n[: -len(extension) - 1] for n in store.names(folder) if n.endswith(f".{extension}")]
     file = output_name(output_base(F.col("subdir"), cfg.output_filename), F.lit(float(cfg.base_downsample)), extension)
-    mine = groups.select("subdir", F.regexp_replace(file, f"\\.{extension.replace('.', chr(92) + '.')}$", "").alias("title"), F.lit(1).alias("new"))
-    known = spark.createDataFrame([(None, n, 0) for n in there], "subdir string, title string, new int")
-    numbered = free_numbers(mine.unionByName(known), "title", ["new", "subdir", "title"]).where("new = 1")
-    named = numbered.select("subdir", F.concat(F.lit(f"{folder}/"), numbered_name(F.col("title"), F.col("number"), extension)).alias("path"))
-    return groups.join(named, "subdir")
+    named = groups.withColumn("title", F.regexp_replace(file, f"\\.{extension.replace('.', chr(92) + '.')}$", ""))
+    if there:
+        known = spark.createDataFrame([(n, True) for n in there], "title string, there boolean")
+        taken = numbers_taken(known.select("title").unionByName(named.select("title")), "title")
+        named = named.join(known, "title", "left").join(taken, named["title"] == taken["prefix"], "left")
+        free = F.get(F.filter(F.sequence(F.lit(2), F.size("numbers") + 2), lambda k: ~F.array_contains("numbers", k)), F.lit(0))
+        number = F.when(F.col("there").isNull(), 1).otherwise(F.coalesce(free, F.lit(2)))
+    else:
+        number = F.lit(1)
+    path = F.concat(F.lit(f"{folder}/"), numbered_name(F.col("title"), number, extension))
+    return named.select(*groups.columns, path.alias("path"))
 
 
 def _few(images: DataFrame, n: int) -> DataFrame:
