@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import FILE_NAME, OutputFormat, StitchConfig
+from .config import FILE_NAME, TILE_CONFIG, VECTRA, OutputFormat, StitchConfig
 from .functions import numeric as N
 from .functions import text as X
 from .operators import coverage as C
@@ -24,7 +24,7 @@ from .operators import raster
 from .plans import api
 from .runtime import new_folder, ship
 from .sinks import store, zarr
-from .sources import tiff
+from .sources import catalog, tiff
 
 PIXEL, MATCH = 0.5, "i"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,6 +495,88 @@ def region_pixels(spark, sf_dir):
     return raster.read_region(chunks, 64, 3.0, 13, 20, 80, 50).mapInArrow(run, "label string, x int, y int, v int")
 
 
+@query(
+    f"""{_stitched_sql(8, 1, 0).rsplit(" SELECT CAST(label", 1)[0]} SELECT CAST(label AS VARCHAR) AS label, x, y, CASE WHEN v = 0 THEN 255 ELSE v END AS v FROM l0"""
+)
+def thumbnail_pixels(spark, sf_dir):
+    """Composed images eight times smaller, black pixels white."""
+    ship(spark)
+    folder = new_folder(spark, "thumbnail")
+    _image_files(spark, sf_dir, folder)
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=64)
+    small = raster.thumbnail(raster.read_region(chunks, 64, 8.0, 0, 0, 1 << 30, 1 << 30))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                y, x = np.divmod(np.arange(r["h"] * r["w"]), r["w"])
+                v = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"], r["bands"])[:, :, 0]
+                yield pa.RecordBatch.from_arrays([pa.array([r["subdir"]] * len(x)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(v.ravel(), pa.int32())], names=["label", "x", "y", "v"])
+
+    return small.mapInArrow(run, "label string, x int, y int, v int")
+
+
+@query(
+    f"""WITH s AS (SELECT s_suppkey AS k, 'scan' || (s_nationkey % 3) AS subdir FROM supplier), h AS (
+  SELECT *, 1000 * (k % 50) / (1 + k % 3)::DOUBLE AS xr, 500 * (k % 20)::DOUBLE AS yr, (k % 7) / 2::DOUBLE AS yp,
+    CASE WHEN k % 4 > 0 THEN k / (k % 4)::DOUBLE WHEN k > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS xp FROM s
+), d AS (SELECT *, xr * 1.05::DOUBLE * xp AS dx, yr * 1.02::DOUBLE * yp AS dy FROM h)
+SELECT subdir, 's' || k || '.tif' AS file_name, {_round('dx')} AS x, {_round('dy')} AS y, CAST(4 + k % 5 AS INTEGER) AS w, 3 AS h, xr AS x_res, yp AS y_pos FROM d"""
+)
+def scanned_tags(spark, sf_dir):
+    """Tags of real files, some with a zero denominator."""
+    ship(spark)
+    folder = new_folder(spark, "tags")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                k = r["k"]
+                image = tiff.encode(np.zeros((3, 4 + k % 5), np.uint8), (1000 * (k % 50), 1 + k % 3), (500 * (k % 20), 1), (k, k % 4), (k % 7, 2))
+                store.write(f"{folder}/{r['subdir']}/s{k}.tif", image)
+            yield batch.select(["k"])
+
+    named = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("scan"), (F.col("s_nationkey") % 3).cast("string")).alias("subdir"))
+    named.mapInArrow(run, "k bigint").write.format("noop").mode("overwrite").save()
+    cfg = StitchConfig(VECTRA, folder, folder, "LZW", PIXEL, 1.0, "scan", 1.0, 1.05, 1.02)
+    placed = api.place(spark, cfg).select("subdir", "file_name", "x", "y", "w", "h", "path")
+    found = catalog.with_headers(placed.select("path")).select("path", "x_res", "y_pos")
+    return placed.join(found, "path").drop("path")
+
+
+@query(
+    f"""WITH {LINES_SQL}, last AS (SELECT config_dir, image_name, arg_max({{'x': x, 'y': y}}, line_no) AS p FROM kp GROUP BY config_dir, image_name),
+f AS (SELECT DISTINCT 'g' || (c_custkey % 500 % 3) AS subdir, 'tile_' || (c_custkey % 500) || '.tif' AS file_name, CAST(1 + c_custkey % 500 % 9 AS INTEGER) AS w FROM customer)
+SELECT subdir, file_name, {_round('p.x')} AS x, {_round('p.y')} AS y, w, w AS h FROM f JOIN last ON subdir = config_dir AND file_name = image_name"""
+)
+def scanned_configs(spark, sf_dir):
+    """Configuration texts and tiles as real files; those of one group lie
+    a folder deeper."""
+    ship(spark)
+    folder = new_folder(spark, "configs")
+
+    def texts(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                store.write(f"{folder}/{r['config_dir']}/{catalog.CONFIG_NAME}", "\n".join(x["line"] for x in r["lines"]).encode())
+            yield batch.select(["config_dir"])
+
+    def images(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = r["n"]
+                deeper = "angle/" if n % 3 == 1 else ""
+                store.write(f"{folder}/g{n % 3}/{deeper}tile_{n}.tif", tiff.encode(np.zeros((1 + n % 9, 1 + n % 9), np.uint8)))
+            yield batch.select(["n"])
+
+    # A configuration is one file, and so one row.
+    lines = config_text(spark, sf_dir).groupBy("config_dir").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    lines.mapInArrow(texts, "config_dir string").write.format("noop").mode("overwrite").save()
+    numbers = _table(spark, sf_dir, "customer").select((F.col("c_custkey") % 500).alias("n")).distinct()
+    numbers.mapInArrow(images, "n bigint").write.format("noop").mode("overwrite").save()
+    return api.place(spark, StitchConfig(TILE_CONFIG, folder, folder, "LZW", PIXEL, 2.0, "g", 1.0)).select("subdir", "file_name", "x", "y", "w", "h")
+
+
 CODEC_NAMES = ["", "LZW", "deflate", "zlib", "Uncompressed", "none", "JPEG", "JPEG-2000", "jpeg-2000-lossy", "zstd", "LZ4", "lz4hc", "blosclz", "J2K", "ZIP"]
 _CODECS_SQL = f"(SELECT unnest({CODEC_NAMES}) AS name UNION ALL SELECT NULL)"
 

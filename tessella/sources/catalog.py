@@ -56,5 +56,5 @@ def config_lines(spark: SparkSession, root: str, in_root: bool = False) -> DataF
     glob = f"{root.rstrip('/')}/{'' if in_root else '*/'}{CONFIG_NAME}"
     if not _some(spark, glob):
         return spark.createDataFrame([], "config_dir string, line_no int, line string")
-    text = spark.read.option("wholetext", True).text(glob).select("value", F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("p"))
+    text = spark.read.text(glob, wholetext=True).select("value", F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("p"))
     return text.select(F.element_at(F.split("p", "/"), -2).alias("config_dir"), F.posexplode(F.split("value", "\\r\\n|\\n|\\r")).alias("line_no", "line"))

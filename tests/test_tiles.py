@@ -442,3 +442,10 @@ def test_shared_folder(spark, monkeypatch):
     assert held and not any(os.path.exists(f[7:]) for f in held) and path in runtime._written
     runtime.release(spark)
     assert not runtime._written
+
+
+def test_config_lines_have_numbers(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / catalog.CONFIG_NAME).write_text("a; ; (1, 2)\r\n\nb; ; (x, 1)\na; ; (3, 4)\rc; ; (5, 6)")
+    lines = {(r.line_no, r.line) for r in catalog.config_lines(spark, str(tmp_path)).collect()}
+    assert lines == {(0, "a; ; (1, 2)"), (1, ""), (2, "b; ; (x, 1)"), (3, "a; ; (3, 4)"), (4, "c; ; (5, 6)")}
