@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import runtime
 from ..runtime import delete, new_folder
@@ -32,6 +33,14 @@ def drop_stash(df: DataFrame) -> None:
         delete(df.sparkSession, folder)
 
 
+def trim() -> None:
+    """Gives memory that has been freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same work; memory that a task has freed goes back to the system when it ends, as workers live on."""
 
@@ -39,10 +48,7 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return run
 
@@ -55,6 +61,20 @@ def ship(spark: SparkSession) -> None:
     runtime.ship(spark)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows left join table, a written table with one row a key, whose column count (left out of the result) says how many
+    rows have that key. Keys that have a share-th of all counted rows or more go to every task, as there can be share of
+    them at most; the others meet by a shuffle in which no key is hot. Rows with a null key are not shuffled."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) * share >= total).drop(count)
+    cold = table.where(F.col(count) * share < total).drop(count)
+    found = rows.where(F.col(key).isNotNull())
+    near = found.join(F.broadcast(hot), key)
+    far = found.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    alone = rows.where(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in cold.schema if f.name != key})
+    return near.unionByName(far).unionByName(alone)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .common import drop_stash, id_type, lean, ship, stash
+from .common import drop_stash, id_type, join_counted, lean, ship, stash
 from .components import connected_components
 from .textkit import LOWER, flat, mix64, slices, span_hashes, word_spans
 
@@ -256,7 +256,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     kind = id_type(docs, id_col)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stash(picked.mapInArrow(lean(_signer(width, k)), f"id {kind}, n bigint, digest binary, sig array<int>"), "signed")
-    classes = stash(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.first("sig").alias("sig")), "classes")
+    classes = stash(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "classes")
 
     coords = classes.select("digest", F.posexplode("sig").alias("j", "value")).select("digest", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("value").cast("long") + F.lit(2**31)).alias("key"))
     shared = coords.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -316,10 +316,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     for done in (labelled, texts, met, postings, posted, cross):  # they are many: before the next tables are written
         drop_stash(done)
     final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
-    named = classes.select("digest", "least").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    named = classes.select("digest", "least", "rows").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = named.join(least, "label").select("digest", "component")
-    found = signed.select("id", "n", "digest").join(of_class, "digest", "left").select(
+    of_class = stash(named.join(least, "label").select("digest", "component", "rows"), "classes", narrow=True)
+    found = join_counted(signed.select("id", "n", "digest"), of_class, "digest", "rows").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, cotrain, flac, langid, neardup, packing, perplexity, preference, queries, transducer, warc
+from tessella.llm import bpe, common, cotrain, flac, langid, neardup, packing, perplexity, preference, queries, transducer, warc
 from tessella.llm.common import new_folder, table
 from tessella.llm.components import connected_components
 
@@ -111,6 +111,16 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_join_of_hot_keys(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(3000)]
+    counts = collections.Counter(k for _, k in rows if k and k != "k600")
+    left = spark.createDataFrame(rows, "id int, k string")
+    right = spark.createDataFrame([(k, n, len(k)) for k, n in counts.items()], "k string, n long, size int")
+    got = common.join_counted(left, right, "k", "n", share=10)
+    assert sorted((r.id, r.k or "", r.size) for r in got.collect()) == sorted((i, k or "", len(k) if k in counts else None) for i, k in rows) and got.columns == ["k", "id", "size"]
+    assert common.join_counted(left.limit(0), right.limit(0), "k", "n").count() == 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(a, a + 1) for a in range(40) if a != 20] + [(7, 7), (50, 45)], "u long, v long")
     got = {r.node: r.label for r in connected_components(e).collect()}
@@ -634,8 +644,6 @@ def test_byte_bpe(spark, sf, docs, odd, none):
 
 
 def test_media_query_writes_pcm_blocks(spark, sf, odd, docs, monkeypatch):
-    from tessella.llm import common
-
     written = collections.defaultdict(list)
 
     def keep(df, tag, **options):
