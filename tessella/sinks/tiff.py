@@ -16,19 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jpeg import jpeg_encode
 from ..functions.lzw import lzw_encode
 from ..sources import tiff as T
 from . import store
 
 #: Compression tags. The other codecs need encoders that are not at hand, and are refused.
-CODECS = {"UNCOMPRESSED": 1, "LZW": 5, "ZLIB": 8, "DEFAULT": 8}
+CODECS = {"UNCOMPRESSED": 1, "LZW": 5, "JPEG": 7, "ZLIB": 8, "DEFAULT": 8}
 #: Bytes of tiles beyond which a file is big, as places of the classic kind have 32 bits.
 CLASSIC = 0xFFFFFFFF - (1 << 24)
 TILE = "subdir string, level int, ty int, tx int, size bigint, data binary, error string"
 
 
-def compress(raw: bytes, compression: str) -> bytes:
+def compress(pixels: np.ndarray, compression: str) -> bytes:
+    """A tile's stored form. Raises ValueError for pixels that the codec does not hold."""
     tag = CODECS[compression]
+    if tag == 7:
+        return jpeg_encode(pixels)
+    raw = pixels.tobytes()
     return raw if tag == 1 else lzw_encode(raw) if tag == 5 else zlib.compress(raw, 6)
 
 
@@ -50,7 +55,11 @@ def encode_tiles(chunks: DataFrame, chunk: int, edge: int, compression: str) ->
                             full = np.zeros((edge, edge, r["bands"]), np.dtype(r["dtype"]).newbyteorder("<"))
                             part = x[ty * edge : (ty + 1) * edge, tx * edge : (tx + 1) * edge]
                             full[: part.shape[0], : part.shape[1]] = part
-                            raw = compress(full.tobytes(), compression)
+                            try:
+                                raw = compress(full, compression)
+                            except ValueError as e:
+                                rows.append((r["subdir"], r["level"], 0, 0, 0, b"", str(e)))
+                                continue
                             rows.append((r["subdir"], r["level"], r["cy"] * (chunk // edge) + ty, r["cx"] * (chunk // edge) + tx, len(raw), raw, None))
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in TILE.split(", ")])
@@ -122,8 +131,9 @@ def _directories(image: dict, sizes: list[int], edge: int, compression: str, pix
         n = -(-h // edge) * -(-w // edge)
         per_cm = (max(1, round(10_000_000 / (pixel_size_um * step**level))), 1000)
         entries: list[tuple[int, int, tuple]] = [(254, 4, (int(level > 0),)), (T.WIDTH, 4, (w,)), (T.HEIGHT, 4, (h,)), (T.BITS, 3, (8 * kind.itemsize,) * image["bands"]), (T.COMPRESSION, 3, (CODECS[compression],))]
-        entries += [(T.PHOTOMETRIC, 3, (2 if image["bands"] == 3 else 1,)), (T.SAMPLES, 3, (image["bands"],)), (T.PLANAR, 3, (1,)), (296, 3, (3,)), (T.X_RES, 5, per_cm), (T.Y_RES, 5, per_cm)]
+        entries += [(T.PHOTOMETRIC, 3, (6 if CODECS[compression] == 7 and image["bands"] == 3 else 2 if image["bands"] == 3 else 1,)), (T.SAMPLES, 3, (image["bands"],)), (T.PLANAR, 3, (1,)), (296, 3, (3,)), (T.X_RES, 5, per_cm), (T.Y_RES, 5, per_cm)]
         entries += [(T.TILE_W, 4, (edge,)), (T.TILE_H, 4, (edge,)), (T.TILE_OFFSETS, long, tuple(offsets[place : place + n])), (T.TILE_COUNTS, long, tuple(sizes[place : place + n]))]
+        entries += [(530, 3, (1, 1))] if CODECS[compression] == 7 and image["bands"] == 3 else []  # colour is not subsampled
         size = T.directory_size(entries, big)
         last = level == len(levels) - 1
         out += T.directory(entries, at, 0 if last else at + size + size % 2, big) + b"\0" * (size % 2)

@@ -126,7 +126,7 @@ def test_config_to_tiff(spark, slides):
     assert [(r.status, r.n_tiles) for r in api.run(spark, cfg, chunk=16, edge=16).collect()] == [("ok", 3)]
     raw = (folder / "g1.ome.tif").read_bytes()
     assert (tiff.decode(raw) == _expected(a, b, c)).all()
-    bad = StitchConfig(TILE_CONFIG, str(folder / "in"), str(folder), "JPEG-2000", 0.5, 1.0, "", 1.0)
+    bad = StitchConfig(TILE_CONFIG, str(folder / "in"), str(folder), "J2K", 0.5, 1.0, "", 1.0)
     assert [(r.status, r.path) for r in api.run(spark, bad, chunk=16, edge=16).collect()] == [("failed", None)]
 
 
@@ -449,3 +449,30 @@ def test_config_lines_have_numbers(spark, tmp_path):
     (tmp_path / "g" / catalog.CONFIG_NAME).write_text("a; ; (1, 2)\r\n\nb; ; (x, 1)\na; ; (3, 4)\rc; ; (5, 6)")
     lines = {(r.line_no, r.line) for r in catalog.config_lines(spark, str(tmp_path)).collect()}
     assert lines == {(0, "a; ; (1, 2)"), (1, ""), (2, "b; ; (x, 1)"), (3, "a; ; (3, 4)"), (4, "c; ; (5, 6)")}
+
+
+def test_jpeg_tiff_reads_elsewhere(spark, tmp_path):
+    y, x = np.mgrid[0:70, 0:90]
+    smooth = np.stack([x * 2, y * 3, 255 - x - y], 2).astype(np.uint8)
+    smooth[20:40, 30:60] = (250, 10, 40)
+    noise = np.random.default_rng(1).integers(0, 256, (40, 40)).astype(np.uint8)
+    _tile(tmp_path / "in" / "smooth", "a[0,0].tif", smooth)
+    _tile(tmp_path / "in" / "noise", "a[0,0].tif", noise)
+    _tile(tmp_path / "in" / "deep", "a[0,0].tif", noise.astype(np.uint16) * 200)
+    out = _stitch(spark, tmp_path, "JPEG", kind=OutputFormat.OME_TIFF)
+    assert {g: r.status for g, r in out.items()} == {"smooth": "ok", "noise": "ok", "deep": "failed"} and "8 bits" in out["deep"].error
+    for name, want, most in (("smooth", smooth, 3), ("noise", noise[:, :, None], 20)):
+        image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(out[name].path))
+        raster = image.getData()
+        got = np.array([[[raster.getSample(i, j, b) for b in range(want.shape[2])] for i in range(0, want.shape[1], 3)] for j in range(0, want.shape[0], 3)])
+        if want.shape[2] == 3:
+            got = np.array([[[(p := image.getRGB(i, j)) >> 16 & 255, p >> 8 & 255, p & 255] for i in range(0, want.shape[1], 3)] for j in range(0, want.shape[0], 3)])
+        assert np.abs(got - want[::3, ::3].astype(int)).mean() < most
+
+
+def test_huffman_lengths_are_bounded():
+    from tessella.functions.jpeg import code_lengths
+
+    for counts in (np.array([1 << i for i in range(30)] + [0] * 226, dtype=object), np.ones(256, int), np.eye(256, dtype=int)[7]):
+        n = code_lengths(counts)
+        assert n.max() <= 16 and ((n > 0) == (np.array(counts) > 0)).all() and sum(2.0 ** -x for x in n[n > 0]) < 1
