@@ -436,7 +436,7 @@ def _stitched(spark: SparkSession, sf_dir: str, kind: OutputFormat, codec: str,
     ship(spark)
     folder = new_folder(spark, "stitched")
     _image_files(spark, sf_dir, folder)
-    out = api.run(spark, StitchConfig(FILE_NAME, f"{folder}/in", f"{folder}/out", codec, 0.5, base, "", 1.0, output_format=kind), chunk=64, edge=32)
+    out = api.run(spark, StitchConfig(FILE_NAME, f"{folder}/in", f"{folder}/out", codec, 0.5, base, "", 1.0, output_format=kind), chunk=128, edge=32)
 
     def run(batches):
         for batch in batches:
@@ -482,7 +482,7 @@ def region_pixels(spark, sf_dir):
     ship(spark)
     folder = new_folder(spark, "region")
     _image_files(spark, sf_dir, folder)
-    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=64)
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=128)
 
     def run(batches):
         for batch in batches:
@@ -492,7 +492,7 @@ def region_pixels(spark, sf_dir):
                 v = np.frombuffer(r["data"], r["dtype"]).reshape(h, w, r["bands"])[:, :, 0]
                 yield pa.RecordBatch.from_arrays([pa.array([r["subdir"]] * (h * w)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(v.ravel(), pa.int32())], names=["label", "x", "y", "v"])
 
-    return raster.read_region(chunks, 64, 3.0, 13, 20, 80, 50).mapInArrow(run, "label string, x int, y int, v int")
+    return raster.read_region(chunks, 128, 3.0, 13, 20, 80, 50).mapInArrow(run, "label string, x int, y int, v int")
 
 
 @query(
@@ -503,8 +503,8 @@ def thumbnail_pixels(spark, sf_dir):
     ship(spark)
     folder = new_folder(spark, "thumbnail")
     _image_files(spark, sf_dir, folder)
-    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=64)
-    small = raster.thumbnail(raster.read_region(chunks, 64, 8.0, 0, 0, 1 << 30, 1 << 30))
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, f"{folder}/in", folder, "zlib", 0.5, 1.0, "", 1.0), chunk=128)
+    small = raster.thumbnail(raster.read_region(chunks, 128, 8.0, 0, 0, 1 << 30, 1 << 30))
 
     def run(batches):
         for batch in batches:
