@@ -130,13 +130,14 @@ def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 5
     if is_tiff and (cfg.compression_type not in TIFF_CODECS or cfg.compression_type not in tiff.CODECS):
         refused = F.lit(f"no such compression here: {cfg.compression_type}")
     codec = None if is_tiff else zarr.known_codec(spark.range(1).select(zarr_codec(F.lit(cfg.compression_type))).first()[0])
+    mark = uuid.uuid4().hex
     with Scratch(spark) as scratch:
         tiles = stash(place(spark, cfg), "tiles")  # headers are read once
         groups = group_bounds(tiles).join(raster.group_shapes(tiles, fill_background), "subdir")
         big = F.ceil(F.col("width") / chunk).cast("double") * F.ceil(F.col("height") / chunk) > max_chunks
         groups = groups.withColumn("error", F.coalesce("error", refused, F.when(big, F.format_string("an extent of %s by %s pixels", F.col("width").cast("string"), F.col("height").cast("string")))))
         images = _with_paths(_with_levels(groups, base, chunk, step, None if is_tiff or base == 1 else BASE_LEVELS), cfg, extension)
-        images = stash(images.withColumn("folder", F.concat("path", F.lit(f".{uuid.uuid4().hex}.part"))), "images")
+        images = stash(images.withColumn("folder", F.concat("path", F.lit(f".{mark}.part"))), "images")
         n, depth = images.agg(F.count(F.lit(1)), F.max(F.when(F.col("error").isNull(), F.size("heights")))).first()
         good = images.where("error is null")
         outcomes, encoded = [], []
@@ -159,7 +160,7 @@ def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 5
             whole = encoded[0]
             for more in encoded[1:]:
                 whole = whole.unionByName(more)
-            done = tiff.write_files(whole, good.select("subdir", "path", "heights", "widths", "bands", "dtype"), edge, cfg.compression_type, cfg.pixel_size_um * base, step)
+            done = tiff.write_files(whole, good.select("subdir", "path", "heights", "widths", "bands", "dtype"), edge, cfg.compression_type, cfg.pixel_size_um * base, step, mark=mark)
         elif outcomes:
             whole = outcomes[0]
             for more in outcomes[1:]:
@@ -172,6 +173,9 @@ def run(spark: SparkSession, cfg: StitchConfig, chunk: int = 1024, edge: int = 5
         done = stash(done.withColumnRenamed("error", "failed").withColumn("done", F.lit(True)), "done")
         why = F.coalesce("error", "failed", F.when(F.col("done").isNull(), "nothing was written"))
         found = images.join(done, "subdir", "left").select("subdir", F.col("n").alias("n_tiles"), F.when(why.isNull(), "ok").otherwise("failed").alias("status"), F.when(why.isNull(), F.col("path")).alias("path"), why.alias("error"))
+        for name in store.names(cfg.output_path):
+            if f".{mark}" in name and name.endswith(".part"):  # of attempts that died
+                store.remove(f"{cfg.output_path.rstrip('/')}/{name}")
         result = scratch.keep(stash(found, "outputs"))
     if progress:
         progress(1.0)

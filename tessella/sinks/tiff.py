@@ -67,10 +67,11 @@ def encode_tiles(chunks: DataFrame, chunk: int, edge: int, compression: str) ->
     return chunks.select("subdir", "level", "cx", "cy", "h", "w", "bands", "dtype", "data", "error").mapInArrow(run, TILE)
 
 
-def write_files(tiles: DataFrame, images: DataFrame, edge: int, compression: str, pixel_size_um: float, step: int = 4, classic: int = CLASSIC) -> DataFrame:
+def write_files(tiles: DataFrame, images: DataFrame, edge: int, compression: str, pixel_size_um: float, step: int = 4, classic: int = CLASSIC, mark: str = "") -> DataFrame:
     """Streams each group's tiles, in the order of level, row and column, behind a header that says where the directories
     will be. images: (subdir, path, heights, widths array<int>, bands, dtype). A file has another name until it is
-    complete, one for each attempt of a task. Returns (subdir, error)."""
+    complete, one for each attempt of a task, that holds mark: what a dead attempt leaves can be told by it. Returns
+    (subdir, error)."""
     total = tiles.groupBy("subdir").agg(F.sum("size").alias("total"), F.min("error").alias("failed"))
     known = images.join(total, "subdir")  # a row for each group
     rows = tiles.drop("error").join(known, "subdir").repartition("subdir").sortWithinPartitions("subdir", "level", "ty", "tx")
@@ -85,7 +86,7 @@ def write_files(tiles: DataFrame, images: DataFrame, edge: int, compression: str
                 try:
                     f.write(_directories(now, sizes, edge, compression, pixel_size_um, step, now["total"] > classic))
                     f.close()
-                    held.move(f"{at}.part", at[:-33])
+                    held.move(at, store.split(now["path"])[1])
                 except (OSError, ValueError, struct.error) as e:
                     error = f"{type(e).__name__}: {e}"
             return pa.RecordBatch.from_arrays([pa.array([now["subdir"]], pa.string()), pa.array([error], pa.string())], names=["subdir", "error"])
@@ -100,9 +101,9 @@ def write_files(tiles: DataFrame, images: DataFrame, edge: int, compression: str
                     if error is None:
                         try:
                             held, place = store.split(r["path"])
-                            at = f"{place}.{uuid.uuid4().hex}"
+                            at = f"{place}.{mark}{uuid.uuid4().hex}.part"
                             held.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                            f = held.open_output_stream(f"{at}.part")
+                            f = held.open_output_stream(at)
                             end = r["total"] + r["total"] % 2
                             f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16 + end) if r["total"] > classic else struct.pack("<2sHI", b"II", 42, 8 + end))
                         except OSError as e:
