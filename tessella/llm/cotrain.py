@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, id_type, lean, ship, stash
+from .common import drop_stash, id_type, lean, ship, stash, trim
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
@@ -295,7 +295,10 @@ def classify_quality(
 
     def as_rows(found: pa.Table) -> Rows:
         def view(dense: str, sparse: str, width: int) -> tuple[np.ndarray, list]:
-            return np.array(found[dense].to_pylist(), float).reshape(-1, width), [np.array(x, np.int32) for x in found[sparse].to_pylist()]
+            lists = found[sparse].combine_chunks()
+            cuts = lists.offsets.to_numpy()
+            buckets = np.split(lists.values.to_numpy()[cuts[0] : cuts[-1]], (cuts - cuts[0])[1:-1]) if len(lists) else []
+            return found[dense].combine_chunks().flatten().to_numpy().reshape(-1, width), buckets
 
         return Rows(view("td", "tb", TEXT_DENSE), view("md", "mb", META_DENSE), found["for_text"].to_numpy(), found["for_meta"].to_numpy())
 
@@ -319,6 +322,8 @@ def classify_quality(
         rows = rows.joined(as_rows(features(wanted, ["id", "h"])))
         model = fit_pair(rows, n_labelled)
     drop_stash(matched)
+    del rows
+    trim()
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

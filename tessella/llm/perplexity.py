@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .common import id_type, lean, ship, stash
+from .common import id_type, lean, ship, stash, trim
 from .textkit import flat, mix64, slices, span_hashes, word_spans
 
 #: The characters that count as symbols.
@@ -289,13 +289,19 @@ def kneser_ney(top: DataFrame) -> DataFrame:
     different texts have counts as unseen where a text is judged, as it would otherwise be likely by its own counts: its
     value is the weight of what is shorter, and the shorter one's value.
     """
+    few = top.select("lang").distinct().limit(100_001).count() <= 100_000
+
+    def of_language(table: DataFrame) -> DataFrame:
+        """A table of one row a language, sent to all tasks if its size is known to be small: a language may be hot."""
+        return F.broadcast(table) if few else table
+
     levels = {ORDER: top}
     for order in range(ORDER - 1, 0, -1):
         shorter = levels[order + 1].groupBy("lang", F.substring("gram", 2, order).alias("gram"))
         levels[order] = stash(shorter.agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "counts", narrow=True)
     below = None
     for order in range(1, ORDER + 1):
-        counts = levels[order].join(_discounts(levels[order]), "lang")
+        counts = levels[order].join(of_language(_discounts(levels[order])), "lang")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         counts = counts.withColumns({"cut": cut, "front": F.substring("gram", 1, order - 1)})
         contexts = counts.groupBy("lang", "front").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), (F.min("low") != F.max("high")).alias("known"))
@@ -311,6 +317,8 @@ def kneser_ney(top: DataFrame) -> DataFrame:
         here = here.withColumn("p", p)
         value = F.when(_shared(), F.log("p")).otherwise(F.when(F.col("known"), F.log(weight)).otherwise(0.0) + shorter_value)
         below = here.select("lang", "gram", "n", "p", value.alias("value"))
+        if order < ORDER:  # so that plans stay small
+            below = stash(below, "model", narrow=True)
     return below
 
 
@@ -393,6 +401,8 @@ def quality_rules(
         head = entry.where(_bin(F.col("n")) >= least).select("key", "value").toArrow()  # everywhere rows at most
         order = np.argsort(head["key"].to_numpy())
         sent = spark.sparkContext.broadcast((head["key"].to_numpy()[order], head["value"].to_numpy()[order]))
+        del head, order
+        trim()
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, values = sent.value
@@ -451,6 +461,7 @@ def quality_rules(
         else:
             scored = scored.drop("keys", "times")
         scored = scratch.keep(stash(scored.withColumn("mean", F.when(F.col("chars") > 0, F.col("total") / F.lit(float(UNIT)) / F.col("chars"))), "scored"))
+        sent.unpersist()
     bins = scored.where("not base_failed and mean is not null").groupBy("lang", "mark", "chars").agg(F.min(F.floor(F.col("mean") / STEP)).alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     middles = bins.groupBy("lang").agg(((F.percentile("bin", F.lit(0.5), F.col("n")) + 0.5) * STEP).alias("middle"))
     away = bins.join(middles, "lang").withColumn("away", F.abs((F.col("bin") + 0.5) * STEP - F.col("middle")))
