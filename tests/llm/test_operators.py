@@ -223,6 +223,72 @@ def test_draw_counts_different_texts_and_holds_each_label(spark):
     assert langid.fit(spark.createDataFrame(many + rare, schema), always, sample=5).labels == ["aa", "qq"]
 
 
+def test_language_model_equals_brute_force(spark):
+    """Counts, TF-IDF weights, the leader's steps and predictions, one number at a time."""
+    rng = random.Random(9)
+    words = {"aa": ["kala", "muna", "tiri", "Éto"], "bb": ["strunz", "pfeffer", "knall", "über"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(3, 9))) + f" {i}!", x) for i, x in enumerate(("aa", "bb") * 40)]
+    rows += [rows[0], (99, None, "aa"), (98, "kala", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), epochs=2)
+
+    def terms(text):
+        plain = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else "\0", text.lower()) + " "
+        plain = re.sub("\0+", " ", plain)
+        n = collections.Counter()
+        for order in (1, 2, 3):
+            for i in range(len(plain) - order + 1):
+                h = order * 0x27D4EB2F & 0xFFFFFFFF
+                for j, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[:order]):
+                    h = (h ^ ord(plain[i + j])) * m & 0xFFFFFFFF
+                    h ^= h >> 15
+                n[h % langid.BUCKETS] += 1
+        return n
+
+    known = [(t, x) for _, t, x in rows if t is not None and x is not None]
+    df = collections.Counter(b for t, _ in known for b in terms(t))
+    idf = {b: np.log((1 + len(known)) / (1 + df[b])) + 1 for b in range(langid.BUCKETS)}
+    assert np.allclose(model.idf, [idf[b] for b in range(langid.BUCKETS)])
+
+    def weights(text):
+        w = {b: (1 + np.log(n)) * idf[b] for b, n in terms(text).items()}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        return {b: v / norm for b, v in sorted(w.items())}
+
+    places = {(r.text, r.lang): r.p for r in docs.select("text", "lang", F.xxhash64("text", "lang").alias("p")).collect()}
+    drawn = sorted({k: places[k] for k in known}.items(), key=lambda x: x[1])
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(b, c):
+        v = z[b, c]
+        return -np.sign(v) * max(abs(v) - 0.05, 0) / ((1.0 + np.sqrt(n[b, c])) / 0.5 + 1.0)
+
+    learn = [i for i, (_, place) in enumerate(drawn) if place % 5]
+    for epoch in range(2):
+        for i in np.random.default_rng(epoch).permutation(learn).tolist():
+            (text, lang), x = drawn[i][0], None
+            x = {**weights(text), langid.BUCKETS: 1.0}
+            w = {(b, c): weight(b, c) for b in x for c in (0, 1)}
+            score = [sum(v * w[b, c] for b, v in x.items()) for c in (0, 1)]
+            e = np.exp(np.array(score) - max(score))
+            p = e / e.sum()
+            for c in (0, 1):
+                for b, v in x.items():
+                    g = v * (p[c] - (c == (lang == "bb")))
+                    z[b, c] += g - (np.sqrt(n[b, c] + g * g) - np.sqrt(n[b, c])) / 0.5 * w[b, c]
+                    n[b, c] += g * g
+    for c in (0, 1):
+        assert np.allclose(model.weights[:, c], [weight(b, c) for b in range(langid.BUCKETS)], atol=1e-9) and model.bias[c] == pytest.approx(weight(langid.BUCKETS, c))
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        if t is None:
+            assert got[i].lang_pred == "und"
+            continue
+        score = np.array([sum(v * weight(b, c) for b, v in weights(t).items()) + weight(langid.BUCKETS, c) for c in (0, 1)]) / model.temperature
+        e = np.exp(score - score.max())
+        assert got[i].lang_pred == ("aa", "bb")[int(score.argmax())] and got[i].score == pytest.approx(float((e / e.sum()).max()))
+
+
 def test_leader_gives_sparse_weights():
     leader = langid.ProximalLeader(50, 2, 0.5, 1.0, 0.5, 1.0)
     rng = np.random.default_rng(0)
