@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from ..sinks.store import split
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 273, 277, 278, 279
 X_RES, Y_RES, PLANAR, X_POS, Y_POS = 282, 283, 284, 286, 287
 TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT, PREDICTOR = 322, 323, 324, 325, 339, 317
-DESCRIPTION, MAX_SAMPLE, PHOTOMETRIC = 270, 281, 262
+DESCRIPTION, MAX_SAMPLE, PHOTOMETRIC, SUBFILE = 270, 281, 262, 254
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 #: What a header needs: the tags of places alone are as long as the file has tiles.
 HEADER_TAGS = frozenset((WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES, X_RES, Y_RES, X_POS, Y_POS, PLANAR, SAMPLE_FORMAT, DESCRIPTION, MAX_SAMPLE, PHOTOMETRIC, PREDICTOR))
@@ -34,44 +35,52 @@ def _reader(raw: bytes) -> Read:
     return lambda at, n: raw[at : at + n]
 
 
-def read_tags(raw: bytes | Read, wanted: frozenset[int] | None = None) -> dict[int, tuple] | None:
-    """Tags of the first image, all or those wanted, or None if this is no TIFF, classic or big. Only the ranges that hold
-    them are read."""
+def directories(raw: bytes | Read, wanted: frozenset[int] | None = None) -> Iterator[dict[int, tuple]]:
+    """The tags of each image of a file, all or those wanted, in the file's order; none if this is no TIFF, classic or big.
+    Only the ranges that hold them are read. What follows a damaged directory is left out."""
     read = _reader(raw) if isinstance(raw, bytes) else raw
     try:
         start = read(0, 16)
         order = {b"II": "<", b"MM": ">"}.get(start[:2])
         if order is None:
-            return None
+            return
         (magic,) = struct.unpack(f"{order}H", start[2:4])
         if magic == 42:
             (at,), head, entry_size, count_form, place = struct.unpack(f"{order}I", start[4:8]), 2, 12, "H", "I"
         elif magic == 43 and struct.unpack(f"{order}HH", start[4:8]) == (8, 0):
             (at,), head, entry_size, count_form, place = struct.unpack(f"{order}Q", start[8:16]), 8, 20, "Q", "Q"
         else:
-            return None
-        inline = struct.calcsize(place)
-        (n_entries,) = struct.unpack(f"{order}{count_form}", read(at, head))
-        if n_entries > 1 << 16:
-            return None
-        entries = read(at + head, entry_size * n_entries)
-        found: dict[int, tuple] = {}
-        for i in range(n_entries):
-            entry = entries[entry_size * i : entry_size * (i + 1)]
-            tag, kind, n = struct.unpack(f"{order}HH{place}", entry[: 4 + inline])
-            if kind not in TYPES or (wanted is not None and tag not in wanted):
-                continue
-            size = n * struct.calcsize(f"={TYPES[kind]}")
-            if size > LONGEST:
-                return None
-            value = entry[4 + inline : 4 + inline + size]
-            if size > inline:
-                (where,) = struct.unpack(f"{order}{place}", entry[4 + inline :])
-                value = read(where, size)
-            found[tag] = (value,) if kind == 2 else struct.unpack(f"{order}{n * len(TYPES[kind])}{TYPES[kind][0]}", value)
-        return found
-    except struct.error:
-        return None
+            return
+        inline, seen = struct.calcsize(place), set()
+        while at and at not in seen:
+            seen.add(at)
+            (n_entries,) = struct.unpack(f"{order}{count_form}", read(at, head))
+            if n_entries > 1 << 16:
+                return
+            entries = read(at + head, entry_size * n_entries)
+            found: dict[int, tuple] = {}
+            for i in range(n_entries):
+                entry = entries[entry_size * i : entry_size * (i + 1)]
+                tag, kind, n = struct.unpack(f"{order}HH{place}", entry[: 4 + inline])
+                if kind not in TYPES or (wanted is not None and tag not in wanted):
+                    continue
+                size = n * struct.calcsize(f"={TYPES[kind]}")
+                if size > LONGEST:
+                    return
+                value = entry[4 + inline : 4 + inline + size]
+                if size > inline:
+                    (where,) = struct.unpack(f"{order}{place}", entry[4 + inline :])
+                    value = read(where, size)
+                found[tag] = (value,) if kind == 2 else struct.unpack(f"{order}{n * len(TYPES[kind])}{TYPES[kind][0]}", value)
+            yield found
+            (at,) = struct.unpack(f"{order}{place}", read(at + head + entry_size * n_entries, inline))
+    except (struct.error, OSError):
+        return
+
+
+def read_tags(raw: bytes | Read, wanted: frozenset[int] | None = None) -> dict[int, tuple] | None:
+    """Tags of the first image, or None if there is none."""
+    return next(directories(raw, wanted), None)
 
 
 def ratio(tags: dict[int, tuple], tag: int) -> float:
@@ -135,10 +144,9 @@ def with_header_columns(files: DataFrame) -> DataFrame:
 class Tile:
     """An image whose strips or tiles are read when they are asked for; a context that closes its file."""
 
-    def __init__(self, read: Read, close: Callable[[], None] = lambda: None):
+    def __init__(self, read: Read, close: Callable[[], None] = lambda: None, tags: dict[int, tuple] | None = None):
         self.read, self.close = read, close
-        tags = read_tags(read)
-        self.tags = tags or {}
+        self.tags = tags or read_tags(read) or {}
         self.layout = _layout(self.tags)
         self.width, self.height = (self.tags.get(t, (0,))[0] for t in (WIDTH, HEIGHT))
         self.held: tuple[int, np.ndarray] | None = None
@@ -208,20 +216,29 @@ def decode(raw: bytes) -> np.ndarray | None:
 
 
 def read_image(path: str, level: int = 0) -> np.ndarray | None:
-    """A level of a pyramid, all of it: the first image, or the level-th one behind it."""
+    """A level of a pyramid, all of it: the first image, or the level-th one behind it. None for what is not read."""
+    store, at = split(path)
+    with store.open_input_file(at) as f:
+        return _image(lambda begin, n: f.read_at(n, begin), level)
+
+
+def _image(read: Read, number: int) -> np.ndarray | None:
+    tags = next(islice(directories(read), number, None), None)
+    tile = Tile(read, tags=tags) if tags else None
+    return None if tile is None or tile.layout is None else decode_region(tile, 0, tile.height)
+
+
+def associated_images(path: str) -> dict[str, int]:
+    """Images of a file that are neither its first nor a smaller one of it, by name (S12): the first line of their
+    description, or image and a number. The number is what read_image takes."""
     store, at = split(path)
+    out: dict[str, int] = {}
     with store.open_input_file(at) as f:
-        raw = f.read()
-    order = "<" if raw[:2] == b"II" else ">"
-    big = raw[2:4] in (b"+\0", b"\0+")
-    count, entry, place, head = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
-    size = struct.calcsize(f"={count}")
-    for _ in range(level):
-        (where,) = struct.unpack_from(f"{order}{place}", raw, head)
-        (n,) = struct.unpack_from(f"{order}{count}", raw, where)
-        following = where + size + entry * n
-        raw = raw[:head] + raw[following : following + struct.calcsize(f"={place}")] + raw[head + struct.calcsize(f"={place}") :]
-    return decode(raw)
+        for i, tags in enumerate(directories(lambda begin, n: f.read_at(n, begin), HEADER_TAGS | {SUBFILE})):
+            if i and not tags.get(SUBFILE, (0,))[0] & 1:
+                name = (tags.get(DESCRIPTION) or (b"",))[0].decode("utf-8", "replace").strip("\0").split("\n")[0].strip()
+                out.setdefault(name or f"image {i}", i)
+    return out
 
 
 def encode(pixels: np.ndarray, x_res: tuple[int, int] | None = None, y_res: tuple[int, int] | None = None, x_pos: tuple[int, int] | None = None, y_pos: tuple[int, int] | None = None, description: str | None = None, max_value: int | None = None) -> bytes:

@@ -476,3 +476,22 @@ def test_huffman_lengths_are_bounded():
     for counts in (np.array([1 << i for i in range(30)] + [0] * 226, dtype=object), np.ones(256, int), np.eye(256, dtype=int)[7]):
         n = code_lengths(counts)
         assert n.max() <= 16 and ((n > 0) == (np.array(counts) > 0)).all() and sum(2.0 ** -x for x in n[n > 0]) < 1
+
+
+def test_associated_images(tmp_path):
+    """A file of four images: the first, a smaller one of it, a label, and one without a name."""
+    pixels = [np.full((4, 6, 1), v, np.uint8) for v in (1, 2, 3, 4)]
+    out, at = b"", 8
+    for i, p in enumerate(pixels):
+        body = p.tobytes()
+        entries = [(tiff.SUBFILE, 4, (int(i == 1),)), (tiff.WIDTH, 4, (6,)), (tiff.HEIGHT, 4, (4,)), (tiff.BITS, 3, (8,)), (tiff.COMPRESSION, 3, (1,)), (tiff.OFFSETS, 4, (at,)), (tiff.SAMPLES, 3, (1,)), (tiff.ROWS, 4, (4,)), (tiff.COUNTS, 4, (24,))]
+        entries += [(tiff.DESCRIPTION, 2, (b"label\nof a slide\0",))] if i == 2 else []
+        place = at + 24
+        size = tiff.directory_size(entries) + tiff.directory_size(entries) % 2
+        out += body + tiff.directory(entries, place, 0 if i == 3 else place + size + 24).ljust(size, b"\0")
+        at = place + size
+    path = tmp_path / "a.tif"
+    path.write_bytes(b"II*\0" + (32).to_bytes(4, "little") + out)
+    assert tiff.associated_images(str(path)) == {"label": 2, "image 3": 3}
+    assert [int(tiff.read_image(str(path), i).mean()) for i in range(4)] == [1, 2, 3, 4] and tiff.read_image(str(path), 9) is None
+    assert len(list(tiff.directories(path.read_bytes()))) == 4 and list(tiff.directories(b"II*\0\xff\xff\xff\xff")) == []
