@@ -235,6 +235,8 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
 
 #: Width of the classes of log-odds by which the most confident rows are found.
 STEP = 0.05
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 20
 
 
 def classify_quality(
@@ -280,7 +282,7 @@ def classify_quality(
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b in slices(batch.column("text")):
+                for a, b in slices(batch.column("text"), SLICE):
                     part = batch.slice(a, b - a)
                     (td, tb), (md, mb) = _views(part)
                     yield pa.RecordBatch.from_arrays(
@@ -329,7 +331,7 @@ def classify_quality(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 if m is None:
                     found = [pa.nulls(b - a, pa.float64())] * 3
@@ -354,7 +356,7 @@ def _most_confident(hashed: DataFrame, known: DataFrame, model: CoTrained, used:
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, done = sent.value
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 text, meta = _views(part)
                 h = part.column("h").to_numpy()

@@ -79,7 +79,7 @@ class WordIds:
         self.pool = np.zeros(0, np.uint32)
 
     def _ask(self, words: list[str]) -> list[bytes]:
-        if len(self.parts) > self.max_kept // 3:
+        if len(self.parts) > self.max_kept // 12:
             self.parts = {"": b""}
         cut: list[tuple[str, str]] = []
         for w in words:

@@ -238,7 +238,7 @@ def _by_language(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, np.n
         yield x, np.flatnonzero(of == i)
 
 
-def count_grams(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+def count_grams(rows: DataFrame, most: int = 1 << 19) -> DataFrame:
     """(lang, gram, n long, shared boolean) of rows (text, lang): n-grams of ORDER characters, how often they end at a
     character of the rows, and whether two different texts have them. Tasks merge what they count, up to most entries."""
 
@@ -380,7 +380,7 @@ def quality_rules(
     Returns (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
     perplexity, deviation double), a row for each row of docs. Null and empty texts have no words, fail the base rules and
     have null perplexity and deviation; so has a language no text of which passes the base rules a null deviation. A null
-    language is a language. Texts of any length are counted whole; a slice of texts has 2 MB, or one text. Repeated rows
+    language is a language. Texts of any length are counted whole; a slice of texts has 2 MB at most, or one text. Repeated rows
     count each time and give repeated results; other columns are ignored; empty input gives no rows. Bounds are inclusive.
     """
     spark = docs.sparkSession
@@ -407,13 +407,10 @@ def quality_rules(
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, values = sent.value
             for batch in batches:
-                for a, b in slices(batch.column("text"), 1 << 21):
+                for a, b in slices(batch.column("text"), 1 << 20):
                     part = batch.slice(a, b - a)
                     texts = part.column("text")
-                    base = {c: np.zeros(b - a, np.int64) for c in BASE}
-                    for c, d in slices(texts, 1 << 20):
-                        for name, found in base_counts(texts.slice(c, d - c)).items():
-                            base[name][c:d] = found
+                    base = base_counts(texts)
                     plain = pc.fill_null(texts, "").to_pylist()
                     total, missing = np.zeros(b - a, np.int64), [(np.zeros(0, np.int64),) * 3]
                     for lang, at in _by_language(part, "lang"):

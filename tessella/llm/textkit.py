@@ -33,7 +33,7 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most limit bytes of text each, but one row at least: bounds the working memory."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
