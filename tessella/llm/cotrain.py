@@ -371,15 +371,17 @@ def _most_confident(hashed: DataFrame, known: DataFrame, model: CoTrained, used:
     counts: dict[tuple[str, int], list] = {}
     for r in merged.groupBy("teach", "y", "bin").agg(F.count(F.lit(1)).alias("n")).collect():  # a few hundred classes
         counts.setdefault((r["teach"], r["y"]), []).append((r["bin"], r["n"]))
-    out: dict[tuple, dict[str, int]] = {}
+    best: DataFrame | None = None
     for (teach, y), bins in sorted(counts.items()):
         total, low = 0, 0
         for low, n in sorted(bins, reverse=True):
             total += n
             if total >= most[y]:
                 break
-        best = merged.where((F.col("teach") == teach) & (F.col("y") == y) & (F.col("bin") >= low)).orderBy(F.desc("z"), F.xxhash64("h"), "h").limit(most[y])
-        for r in best.select("id", "h").collect():
-            out.setdefault((r["id"], r["h"]), {})[teach] = y
+        mine = merged.where((F.col("teach") == teach) & (F.col("y") == y) & (F.col("bin") >= low)).orderBy(F.desc("z"), F.xxhash64("h"), "h").limit(most[y])
+        best = mine if best is None else best.unionByName(mine)
+    out: dict[tuple, dict[str, int]] = {}
+    for r in best.collect() if best is not None else []:  # most rows of each kind
+        out.setdefault((r["id"], r["h"]), {})[r["teach"]] = r["y"]
     drop_stash(merged)
     return out
