@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import runtime
 from ..runtime import delete, new_folder
@@ -79,5 +80,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns of a row, or those given, as one struct."""
+    return F.struct(*[named(c) for c in (df.columns if columns is None else columns)])
+
+
+def with_carried(fields: str, df: DataFrame | None) -> StructType:
+    """A schema from its text, and the struct of df's rows behind it as carried, if df is given."""
+    found = StructType.fromDDL(fields)
+    return found if df is None else found.add("carried", df.schema)
+
+
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

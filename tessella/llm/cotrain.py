@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, id_type, lean, ship, stash, trim
+from .common import drop_stash, id_type, lean, ship, stash, trim, whole_row, with_carried
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
@@ -229,7 +229,7 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
         F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"),
         F.col(size_col).cast("bigint").alias("n_chars"),
-        *([F.struct(*docs.columns).alias("carried")] if carry else []),
+        *([whole_row(docs).alias("carried")] if carry else []),
     )
 
 
@@ -343,8 +343,7 @@ def classify_quality(
                 yield pa.RecordBatch.from_arrays([part.column("id"), *found, kept, *part.columns[5:]], names=["id", "text_score", "meta_score", "score", "kept", *part.schema.names[5:]])
 
     rows_in = _picked(docs, id_col, text_col, lang_col, source_col, size_col, carry)
-    row = f", carried {docs.schema.simpleString()}" if carry else ""
-    return rows_in.mapInArrow(lean(score), f"id {kind}, text_score double, meta_score double, score double, kept boolean{row}").withColumnRenamed("id", id_col)
+    return rows_in.mapInArrow(lean(score), with_carried(f"id {kind}, text_score double, meta_score double, score double, kept boolean", docs if carry else None)).withColumnRenamed("id", id_col)
 
 
 def _most_confident(hashed: DataFrame, known: DataFrame, model: CoTrained, used: dict[str, set[int]], kind: str, limit: float, most: dict[int, int]) -> dict[tuple, dict[str, int]]:

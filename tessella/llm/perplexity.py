@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .common import id_type, lean, ship, stash, trim
+from .common import id_type, lean, ship, stash, trim, whole_row, with_carried
 from .textkit import flat, mix64, slices, span_hashes, word_spans
 
 #: The characters that count as symbols.
@@ -386,7 +386,7 @@ def quality_rules(
     spark = docs.sparkSession
     ship(spark)
     with Scratch(spark) as scratch:
-        picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), language_key(F.col(lang_col).cast("string")).alias("lang"), *([F.struct(*docs.columns).alias("carried")] if carry else []))
+        picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), language_key(F.col(lang_col).cast("string")).alias("lang"), *([whole_row(docs).alias("carried")] if carry else []))
         top = stash(count_grams(picked), "grams")
         classes = sorted(((r["c"], r["k"]) for r in top.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a few hundred classes at most
         least, held = 0, 0
@@ -448,8 +448,7 @@ def quality_rules(
                     )
 
         fields = ", ".join(f"{c} bigint" for c in BASE)
-        row = f", carried {docs.schema.simpleString()}" if carry else ""
-        scored = picked.mapInArrow(lean(score), f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang string, chars bigint, mark bigint, total bigint, keys array<bigint>, times array<bigint>{row}")
+        scored = picked.mapInArrow(lean(score), with_carried(f"id {id_type(docs, id_col)}, {fields}, base_failed boolean, lang string, chars bigint, mark bigint, total bigint, keys array<bigint>, times array<bigint>", docs if carry else None))
         if least > 0:  # entries that were not sent: their slices are asked
             scored = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
             asked = scored.where(F.size("keys") > 0).select("uid", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("uid", "a.keys", "a.times")

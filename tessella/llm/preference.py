@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.placement import unique_places
+from .common import whole_row
 
 #: How a turn is rendered: the role between OPEN and CLOSE, the text, the end of the turn.
 OPEN, CLOSE, STOP = "<|", "|>\n", "<|end|>\n"
@@ -44,7 +45,7 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
         return F.transform(c, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
     other = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *RESULTS)]
-    held = pairs.select(F.struct(*other).alias("_row"), F.coalesce(clean(F.col(chosen_col)), F.expr(f"cast(array() as {TURNS})")).alias("c"), clean(F.col(rejected_col)).alias("r"))
+    held = pairs.select(whole_row(pairs, other).alias("_row"), F.coalesce(clean(F.col(chosen_col)), F.expr(f"cast(array() as {TURNS})")).alias("c"), clean(F.col(rejected_col)).alias("r"))
     common = "least(size(c), size(r))"
     differ = f"coalesce(array_min(filter(transform(c, (t, i) -> if(i < {common} and t <> r[i], i, null)), i -> i is not null)), {common})"
     last = f"coalesce(array_max(filter(transform(c, (t, i) -> if(t.role = '{learned_role}', i, null)), i -> i is not null)), size(c))"

@@ -773,6 +773,22 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, sf, odd, none, place):
         assert got.count() == rows.count()
 
 
+def test_columns_of_any_name_pass_through(spark, sf, odd):
+    import corpus_pipeline as c
+
+    names = ["a.b", "two words", "a`b", "ключ", "carried", "text_score", "id", "lang.x", "1"]
+    rows = odd.drop("id")
+    for n in names:
+        rows = rows.withColumn(n, F.lit(n))
+    rows = rows.where("doc_id in (5, 9, 10)").unionByName(rows.where("doc_id = 10").withColumn("text", F.lit(" ".join(f"word{i}" for i in range(99)))))
+    for _, stage in c.STAGES[:3]:
+        got = stage(spark, rows, sf)
+        assert got.columns == rows.columns and all(r[n] == n for r in got.collect() for n in names)
+    pairs = preference.pair_conversations(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn int, role string, text string"))
+    got = preference.format_preferences(pairs.withColumn("a.b", F.lit(1)).withColumn("c d", F.lit(2))).collect()[0]
+    assert got["a.b"] == 1 and got["c d"] == 2
+
+
 def test_pipeline_follows_brute_force(spark, sf, docs):
     """From what the first two stages keep: one of each group by all pairs, and pieces by the library."""
     import corpus_pipeline as c
