@@ -43,7 +43,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     staying = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return staying.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    own = "_text"
+    while own in docs.columns:
+        own += "_"
+    return staying.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
