@@ -776,7 +776,7 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, sf, odd, none, place):
 def test_columns_of_any_name_pass_through(spark, sf, odd):
     import corpus_pipeline as c
 
-    names = ["a.b", "two words", "a`b", "ключ", "carried", "text_score", "id", "lang.x", "1"]
+    names = ["a.b", "two words", "a`b", "ключ", "carried", "text_score", "id", "lang.x", "1", "_text", "_kept"]
     rows = odd.drop("id")
     for n in names:
         rows = rows.withColumn(n, F.lit(n))
