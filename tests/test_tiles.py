@@ -495,3 +495,22 @@ def test_associated_images(tmp_path):
     assert tiff.associated_images(str(path)) == {"label": 2, "image 3": 3}
     assert [int(tiff.read_image(str(path), i).mean()) for i in range(4)] == [1, 2, 3, 4] and tiff.read_image(str(path), 9) is None
     assert len(list(tiff.directories(path.read_bytes()))) == 4 and list(tiff.directories(b"II*\0\xff\xff\xff\xff")) == []
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Tasks are as many as shuffle partitions, not as files; the files are those that Spark's readers find."""
+    p = np.zeros((2, 3), np.uint8)
+    for i in range(60):
+        _tile(tmp_path / "in" / f"g{i % 2}", f"t[{i},0].tif", p)
+    for name in (".h[1,0].tif", "_h[1,0].tif", "_k=1[1,0].tif", "u[1,0].TIF", "x [1,0]%20.ome.tif.bak", "b[2,0].tif._COPYING_"):
+        _tile(tmp_path / "in" / "g0", name, p)
+    (tmp_path / "in" / "g0" / "e[3,0].tif").write_bytes(b"")
+    _tile(tmp_path / "in", "top[1,0].tif", p)
+    spark.sparkContext.setJobGroup("few", "files of two folders")
+    found = catalog.with_headers(catalog.tile_files(spark, str(tmp_path / "in"))).collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = [r.path for r in spark.read.format("binaryFile").load(f"{tmp_path}/in/*/*.tif*").select("path").collect()]
+    assert sorted(r.path for r in found) == sorted(want) and len(want) == 62 and all((r.w, r.h) == (3, 2) for r in found)
+    assert {r.subdir for r in found} == {"g0", "g1"} and max(s.numTasks for s in stages if s) <= 4
