@@ -514,3 +514,21 @@ def test_many_small_files_take_few_tasks(spark, tmp_path):
     want = [r.path for r in spark.read.format("binaryFile").load(f"{tmp_path}/in/*/*.tif*").select("path").collect()]
     assert sorted(r.path for r in found) == sorted(want) and len(want) == 62 and all((r.w, r.h) == (3, 2) for r in found)
     assert {r.subdir for r in found} == {"g0", "g1"} and max(s.numTasks for s in stages if s) <= 4
+
+
+def test_region_of_many_small_files(spark, tmp_path):
+    """A request over 48 tiles of one image: its pixels, by fewer tasks than tiles."""
+    from tessella.operators import raster
+
+    want = np.random.default_rng(3).integers(1, 250, (24, 32, 1)).astype(np.uint8)
+    for i in range(48):
+        y, x = i // 8 * 4, i % 8 * 4
+        _tile(tmp_path / "in" / "g", f"t[{x // 2},{y // 2}].tif", want[y : y + 4, x : x + 4])
+    spark.sparkContext.setJobGroup("region", "one image of 48 files")
+    chunks = api.level_zero(spark, StitchConfig(FILE_NAME, str(tmp_path / "in"), "", "", 0.5, 1.0, "", 1.0), chunk=8)
+    r = raster.read_region(chunks, 8, 3.0, 5, 2, 20, 17).collect()[0]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("region") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (np.frombuffer(r.data, r.dtype).reshape(r.h, r.w, r.bands) == _means(want[2:19, 5:25], 3.0)).all()
+    assert max(s.numTasks for s in stages if s) <= 8
