@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, id_type, lean, ship, stash, trim, whole_row, with_carried
+from .common import drop_stash, id_type, lean, ship, stash, text_field, trim, whole_row, with_carried
 from .textkit import SPACE, flat, slices, span_hashes, word_spans
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
@@ -217,15 +217,15 @@ def fit_pair(rows: Rows, n_labelled: int) -> CoTrained | None:
     return CoTrained(views["text"], views["meta"], float(np.log(base / (1 - base))))
 
 
-def _views(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
+def _views(batch: pa.RecordBatch, texts: pa.Array) -> tuple[tuple, tuple]:
     lang, source, size = (batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))
-    return text_view(batch.column("text")), meta_view(lang, source, size)
+    return text_view(texts), meta_view(lang, source, size)
 
 
-def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str, carry: bool = False) -> DataFrame:
+def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str, carry: bool = False, text: bool = True) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("id"),
-        F.col(text_col).cast("string").alias("text"),
+        *([F.col(text_col).cast("string").alias("text")] if text else []),
         F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"),
         F.col(size_col).cast("bigint").alias("n_chars"),
@@ -235,8 +235,8 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
 
 #: Width of the classes of log-odds by which the most confident rows are found.
 STEP = 0.05
-#: Bytes of text that are worked on at a time.
-SLICE = 1 << 20
+#: Bytes of text that are worked on at a time: some fifty times as many are in use meanwhile.
+SLICE = 1 << 18
 
 
 def classify_quality(
@@ -284,7 +284,7 @@ def classify_quality(
             for batch in batches:
                 for a, b in slices(batch.column("text"), SLICE):
                     part = batch.slice(a, b - a)
-                    (td, tb), (md, mb) = _views(part)
+                    (td, tb), (md, mb) = _views(part, part.column("text"))
                     yield pa.RecordBatch.from_arrays(
                         [*(part.column(c) for c in ("id", "h", "for_text", "for_meta")), pa.array(list(td), pa.list_(pa.float64())), pa.array(tb, pa.list_(pa.int32())), pa.array(list(md), pa.list_(pa.float64())), pa.array(mb, pa.list_(pa.int32()))],
                         names=["id", "h", "for_text", "for_meta", "td", "tb", "md", "mb"],
@@ -327,22 +327,24 @@ def classify_quality(
     del rows
     trim()
     sent = spark.sparkContext.broadcast(model)
+    at = text_field(docs, text_col) if carry else None  # a row that is carried has its text with it, so that it is not sent twice
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for a, b in slices(batch.column("text"), SLICE):
+            texts = batch.column("text") if at is None else batch.column("carried").field(at)
+            for a, b in slices(texts, SLICE):
                 part = batch.slice(a, b - a)
                 if m is None:
                     found = [pa.nulls(b - a, pa.float64())] * 3
                     kept = pa.array([True] * (b - a))
                 else:
-                    text, meta = _views(part)
+                    text, meta = _views(part, texts.slice(a, b - a))
                     found = [pa.array(x) for x in (_sigmoid(m.text.logit(*text)), _sigmoid(m.meta.logit(*meta)), m.score(text, meta))]
                     kept = pc.greater_equal(found[2], threshold)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *found, kept, *part.columns[5:]], names=["id", "text_score", "meta_score", "score", "kept", *part.schema.names[5:]])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *found, kept, *([part.column("carried")] if carry else [])], names=["id", "text_score", "meta_score", "score", "kept", *(["carried"] if carry else [])])
 
-    rows_in = _picked(docs, id_col, text_col, lang_col, source_col, size_col, carry)
+    rows_in = _picked(docs, id_col, text_col, lang_col, source_col, size_col, carry, text=at is None)
     return rows_in.mapInArrow(lean(score), with_carried(f"id {kind}, text_score double, meta_score double, score double, kept boolean", docs if carry else None)).withColumnRenamed("id", id_col)
 
 
@@ -357,7 +359,7 @@ def _most_confident(hashed: DataFrame, known: DataFrame, model: CoTrained, used:
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
-                text, meta = _views(part)
+                text, meta = _views(part, part.column("text"))
                 h = part.column("h").to_numpy()
                 for teach, z in (("meta", m.text.logit(*text)), ("text", m.meta.logit(*meta))):
                     at = np.flatnonzero((np.abs(z) >= limit) & ~np.isin(h, done[teach]))

@@ -141,6 +141,29 @@ def test_co_training(spark, sf, odd, none):
     assert rows[4] < min(rows[9], rows[10]) and len(rows) == len({r[0] for r in ODD})
 
 
+def test_carried_texts_go_to_workers_once(spark, odd):
+    known = spark.createDataFrame([(4, 0), (5, 0), (6, 1), (9, 1), (10, 1)], "doc_id long, quality int")
+    plain, carried = cotrain.classify_quality(odd, known), cotrain.classify_quality(odd, known, carry=True)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    assert sorted(plain.collect(), key=key) == sorted(carried.drop("carried").collect(), key=key)
+    again = cotrain.classify_quality(carried.select("carried.*").withColumn("text", F.encode("text", "utf-8")), known, carry=True)  # not a column of strings
+    assert sorted(plain.collect(), key=key) == sorted(again.drop("carried").collect(), key=key)
+    sent = carried._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n")[1]
+    assert "carried" in sent and " AS text#" not in sent and "text#" not in sent.split("struct(")[0]
+    assert carried.select("carried.*").exceptAll(odd).isEmpty() and odd.exceptAll(carried.select("carried.*")).isEmpty()
+
+
+def test_batches_bounded_by_bytes(spark):
+    common.ship(spark)
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["n", "b"])
+
+    got = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text")).mapInArrow(size, "n long, b long").collect()
+    assert sum(r.n for r in got) == 600 and max(r.b for r in got) <= 9 << 20
+
+
 def _auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
